@@ -63,7 +63,10 @@ def blank_to_null(value: Column) -> Column:
 def ascii_fold(value: Column) -> Column:
     """Compatibility-decompose and drop whatever is not ASCII."""
     source, target, longer = _fold_tables()
-    expansions = F.create_map(*[F.lit(part) for pair in longer for part in pair])
+    # One constant literal; the optimizer folds it to a map.
+    expansions = F.str_to_map(
+        F.lit("\x01".join(f"{char}\x02{kept}" for char, kept in longer)), F.lit("\x01"), F.lit("\x02")
+    )
     letters = F.transform(
         F.split(F.translate(value, source, target), ""),
         lambda c: F.when(c.rlike(_NON_ASCII), F.coalesce(F.element_at(expansions, c), F.lit("")))

@@ -39,10 +39,15 @@ def _name_counts(df: DataFrame, contract: SourceContract, code: Column, eligible
 
 
 def _keyed(counted: DataFrame, contract: SourceContract) -> DataFrame:
-    """Names that are neither blank nor PII-shaped, with their keys; empty keys are dropped."""
-    named = counted.where((F.col("name") != "") & ~contains_pii(F.col("name")))
-    keyed = named.withColumn("strict_key", strict_name_key(F.col("name")))
-    keyed = keyed.where(F.col("strict_key") != "")
+    """Names that are neither blank nor PII-shaped, with their keys; empty keys are dropped.
+
+    The name test also mentions the row count, which keeps Catalyst from moving it below the
+    aggregation and back to every row. An empty key leaves through the explode, so each key is
+    computed once instead of once to filter and once to keep.
+    """
+    safe = F.when(F.col("rows") > 0, (F.col("name") != "") & ~contains_pii(F.col("name")))
+    key = F.filter(F.array(strict_name_key(F.col("name"))), lambda k: k != "")
+    keyed = counted.where(safe).select("*", F.explode(key).alias("strict_key"))
     keyed = keyed.withColumn("suffix_key", suffix_of_strict_key(F.col("strict_key")))
     return keyed.withColumn("source", F.lit(contract.slug)).select(*NAME_COLUMNS)
 
