@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,9 +114,9 @@ def parse_amount(spark, d):
 @query(
     "parse_dates",
     with_views(
-        f"""SELECT row_number, at IS NOT NULL AS valid, coalesce(CAST(epoch_us(at) AS BIGINT), 0) AS micros,
-            coalesce(year(at) < 1900 OR year(at) > 2046, false) AS suspicious
-            FROM (SELECT row_number, {sql_date('trim(ordered)')} AS at FROM orders_snapshot)""",
+        f"""SELECT row_number, moment IS NOT NULL AS valid, coalesce(CAST(epoch_us(moment) AS BIGINT), 0) AS micros,
+            coalesce(year(moment) < 1900 OR year(moment) > 2046, false) AS suspicious
+            FROM (SELECT row_number, {sql_date('trim(ordered)')} AS moment FROM orders_snapshot)""",
         "orders_snapshot",
     ),
 )
@@ -249,8 +249,8 @@ query(
     ),
 )(_all_sources(lambda df, c: profile.top_values(df, list(c.fields("category")))))
 
-_DATED = f"""(SELECT *, coalesce(year(at) < 1900 OR year(at) > {T.AS_OF_YEAR + 20}, false) AS odd
-  FROM (SELECT *, {sql_date('value')} AS at FROM {_COUNTED}))"""
+_DATED = f"""(SELECT *, coalesce(year(moment) < 1900 OR year(moment) > {T.AS_OF_YEAR + 20}, false) AS odd
+  FROM (SELECT *, {sql_date('value')} AS moment FROM {_COUNTED}))"""
 
 
 def _dates(df: DataFrame, c: SourceContract) -> DataFrame | None:
@@ -269,9 +269,9 @@ query(
     "profile_dates",
     _sql_profile(
         f"""SELECT source, field,
-          first(value ORDER BY at, first_row, value) FILTER (at IS NOT NULL) AS minimum,
-          first(value ORDER BY at DESC, first_row, value DESC) FILTER (at IS NOT NULL) AS maximum,
-          CAST(coalesce(sum(n) FILTER (at IS NULL), 0) AS BIGINT) AS invalid_date_count,
+          first(value ORDER BY moment, first_row, value) FILTER (moment IS NOT NULL) AS minimum,
+          first(value ORDER BY moment DESC, first_row, value DESC) FILTER (moment IS NOT NULL) AS maximum,
+          CAST(coalesce(sum(n) FILTER (moment IS NULL), 0) AS BIGINT) AS invalid_date_count,
           CAST(coalesce(sum(n) FILTER (odd), 0) AS BIGINT) AS suspicious_date_count,
           coalesce(string_agg(value, ' | ' ORDER BY value) FILTER (odd AND odd_rank <= 5), '') AS examples
         FROM (SELECT *, row_number() OVER (PARTITION BY source, field, odd ORDER BY first_row, value) AS odd_rank
@@ -918,15 +918,17 @@ def field_dictionary(spark, d):
 # --- snapshots ------------------------------------------------------------------------------------
 
 
+def _new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def _written_csv(spark, d) -> str:
     """The documents as CSV files with quotes, blanks and line breaks inside cells."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/csv-{id(object())}-{spark.sparkContext.defaultParallelism}"
-    import uuid
-
-    path = f"{path}-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "csv")
     rows = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("Doc ID"), F.col("text").alias("Text (full)"), F.col("lang").alias("lang"),
-        F.when(F.col("doc_id") % 3 == 0, "").otherwise('say "' + F.col("source") + '", ok').alias("Note"),
+        F.when(F.col("doc_id") % 3 == 0, "")
+        .otherwise(F.concat(F.lit('say "'), "source", F.lit('", ok'))).alias("Note"),
     )
     rows.write.csv(path, header=True, escape='"', emptyValue="")
     return path
@@ -966,9 +968,7 @@ def land_snapshot(spark, d):
        WHERE o_orderkey % 5 IN (2, 3) GROUP BY 1""",
 )
 def ragged_records(spark, d):
-    import uuid
-
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/ragged-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "ragged")
     key = F.col("o_orderkey")
     cells = F.concat_ws(",", key, "o_custkey", "o_orderstatus")
     record = F.when(key % 5 == 3, F.concat(cells, F.lit(",extra"))).when(
@@ -1354,7 +1354,7 @@ _REVIEW_RULES = (
     ("candidate_id_shape", "NOT regexp_matches(candidate_id, '^[0-9a-f]{16}$')"),
     ("duplicate_candidate_id", "regexp_matches(candidate_id, '^[0-9a-f]{16}$') AND nth > 1"),
     ("evidence_changed", "candidate_fingerprint = 'tampered'"),
-    ("partial_decision", "review_status = 'UNREVIEWED' AND review_notes <> ''"),
+    ("partial_decision", "review_status = 'UNREVIEWED' AND trim(review_notes) <> ''"),
     ("review_status", "review_status = 'DONE'"),
     ("same_organization", f"{_DONE} AND {_DECISION} NOT IN ('YES', 'NO', 'UNCERTAIN')"),
     ("review_reason", f"{_DONE} AND {_DECISION} IN ('YES', 'NO', 'UNCERTAIN') AND NOT ({_ALLOWED})"),
