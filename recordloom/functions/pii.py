@@ -12,19 +12,23 @@ _D = r"\p{Nd}"
 _S = r"[\p{IsWhite_Space}\x1c-\x1f]"
 _EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
+# A look at the first character alone, which rejects most positions before anything slower runs.
+_DIGIT_AHEAD = r"(?=[0-9]|[^\x00-\x7F])"
+_PHONE_AHEAD = r"(?=[0-9+(]|[^\x00-\x7F])"
+
 # Both letter ranges are written out: case-insensitive matching alone misses the Kelvin sign and dotted I.
 # What counts as an e-mail, phone number, SSN, P.O. box or street address.
 EMAIL = rf"(?iu){_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(?!{_W})"
 PHONE = (
-    rf"(?<!{_D})(?:\+?1[\p{{IsWhite_Space}}\x1c-\x1f./-]*)?(?:\({_S}*{_D}{{3}}{_S}*\)|{_D}{{3}})"
+    rf"{_PHONE_AHEAD}(?<!{_D})(?:\+?1[\p{{IsWhite_Space}}\x1c-\x1f./-]*)?(?:\({_S}*{_D}{{3}}{_S}*\)|{_D}{{3}})"
     rf"[\p{{IsWhite_Space}}\x1c-\x1f./-]*{_D}{{3}}[\p{{IsWhite_Space}}\x1c-\x1f./-]*{_D}{{4}}(?!{_D})"
 )
-SSN = rf"(?<!{_D}){_D}{{3}}[ -]{_D}{{2}}[ -]{_D}{{4}}(?!{_D})"
+SSN = rf"{_DIGIT_AHEAD}(?<!{_D}){_D}{{3}}[ -]{_D}{{2}}[ -]{_D}{{4}}(?!{_D})"
 PO_BOX = (
-    rf"(?iu)(?<!{_W})P(?:OST(?:AL)?)?\.?{_S}*O(?:FFICE)?\.?{_S}+BOX{_S}+{_D}+[A-Za-z0-9-]*{_EDGE}"
+    rf"(?iu)(?=[Pp])(?<!{_W})P(?:OST(?:AL)?)?\.?{_S}*O(?:FFICE)?\.?{_S}+BOX{_S}+{_D}+[A-Za-z0-9-]*{_EDGE}"
 )
 STREET = (
-    rf"(?iu)(?<!{_W}){_D}{{1,6}}{_S}+(?:[A-Za-z0-9.'-]+{_S}+){{0,5}}"
+    rf"(?iu){_DIGIT_AHEAD}(?<!{_W}){_D}{{1,6}}{_S}+(?:[A-Za-z0-9.'-]+{_S}+){{0,5}}"
     r"(?:ST(?:REET)?|AVE(?:NUE)?|RD|ROAD|BLVD|BOULEVARD|DR|DRIVE|LN|LANE|"
     rf"CT|COURT|WAY|PL|PLACE|PKWY|PARKWAY)(?!{_W})"
 )

@@ -15,10 +15,9 @@ LEGAL_SUFFIXES = (
     "ASSN", "ASSOCIATION", "CO", "COMPANY", "CORP", "CORPORATION", "INC", "INCORPORATED", "LC",
     "LLC", "LLP", "LP", "LTD", "LIMITED", "PA", "PC", "PLLC",
 )
-# Fixed value: two or more dotted capitals, as in "L.L.C." or "U.S.A".
-DOTTED_CAPITALS = r"(?:\b[A-Z]\.){2,}[A-Z]?\.?"
-
 _NON_ASCII = r"[^\x00-\x7F]"
+# Around every non-ASCII character, but not inside a surrogate pair.
+_CHARACTER_EDGE = rf"(?![\x{{DC00}}-\x{{DFFF}}])(?:(?<={_NON_ASCII})|(?={_NON_ASCII}))"
 
 
 @lru_cache(maxsize=1)
@@ -67,24 +66,25 @@ def ascii_fold(value: Column) -> Column:
     expansions = F.str_to_map(
         F.lit("\x01".join(f"{char}\x02{kept}" for char, kept in longer)), F.lit("\x01"), F.lit("\x02")
     )
-    letters = F.transform(
-        F.split(F.translate(value, source, target), ""),
-        lambda c: F.when(c.rlike(_NON_ASCII), F.coalesce(F.element_at(expansions, c), F.lit("")))
-        .otherwise(c),
+    # Runs of ASCII and single other characters; only the latter are looked up.
+    pieces = F.split(F.translate(value, source, target), _CHARACTER_EDGE)
+    folded = F.transform(
+        pieces,
+        lambda p: F.when(p > "\x7f", F.coalesce(F.element_at(expansions, p), F.lit(""))).otherwise(p),
     )
-    return F.when(value.rlike(_NON_ASCII), F.array_join(letters, "")).otherwise(value)
+    return F.when(value.rlike(_NON_ASCII), F.array_join(folded, "")).otherwise(value)
+
+
+# The dots of such a run, one by one: a dot after a lone capital that another dotted capital follows or
+# precedes, and one dot more right after a run. Looking around each dot needs no callback.
+_RUN_DOT = (
+    r"\.(?:(?<=\b[A-Z]\.)(?=[A-Z]\.)|(?<=\b[A-Z]\.[A-Z]\.)|(?<=\b[A-Z]\.[A-Z]\.\.))"
+)
 
 
 def join_dotted_capitals(value: Column) -> Column:
     """Drop the dots of dotted acronyms only. Expects upper-case ASCII text."""
-    marked = F.regexp_replace(
-        F.translate(value, "\x01\x02", "  "), f"({DOTTED_CAPITALS})", "\x01$1\x02"
-    )
-    pieces = F.transform(
-        F.split(marked, "[\x01\x02]"),
-        lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit("."), F.lit(""))).otherwise(piece),
-    )
-    return F.when(value.contains("."), F.array_join(pieces, "")).otherwise(value)
+    return F.regexp_replace(value, _RUN_DOT, "")
 
 
 def strict_name_key(name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import stage
+
 
 class GateError(ValueError):
     """A gate found violations."""
@@ -41,9 +43,13 @@ def explode_rules(df: DataFrame, rules: list[tuple[str, Column]], keep: list[str
 
 
 def first_violations(violations: DataFrame, order: list[str], count: int = 25) -> DataFrame:
-    """The first ``count`` violations in order, each with the number left out."""
+    """The first ``count`` violations in order, each with the number left out.
+
+    The violations are written out once, to be both counted and cut.
+    """
     if count < 1:
         raise ValueError("count must be positive")
+    violations = stage(violations, "violations")
     total = violations.groupBy().agg(F.greatest(F.count("*") - count, F.lit(0)).alias("n"))
     top = violations.orderBy(*order).limit(count)
     return top.withColumn("remaining", total.select("n").scalar())

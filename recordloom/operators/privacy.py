@@ -12,6 +12,7 @@ from recordloom.functions.text import strip
 from recordloom.operators.checks import require_empty
 from recordloom.operators.schema import check_public_columns, public_projection
 from recordloom.sources.contracts import SourceContract
+from recordloom.session import stage
 from recordloom.sources.snapshot import ROW
 
 FINDING = ("row_number", "field", "kind", "preview")
@@ -49,9 +50,13 @@ def pii_scan(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
 
 
 def first_findings(findings: DataFrame, count: int = 25) -> DataFrame:
-    """The first ``count`` findings in record, column and pattern order, and the exact total."""
+    """The first ``count`` findings in record, column and pattern order, and the exact total.
+
+    The findings are written out once (they hold no values), to be both counted and cut.
+    """
     if count < 1:
         raise ValueError("count must be positive")
+    findings = stage(findings, "findings")
     total = findings.groupBy().agg(F.count("*").alias("n"))
     first = findings.orderBy(*_FINDING_ORDER).limit(count)
     return first.select(*FINDING, total.scalar().alias("total_findings"))

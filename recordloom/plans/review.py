@@ -49,8 +49,8 @@ SUMMARY_FIELDS = (
 TOTAL_FIELDS = ("candidates", "reviewed", "unreviewed")
 GROUP_FIELDS = ("total", "reviewed", "decisions")
 
-# One digest covers this many lines (some 8 MB); larger sets are digested by id prefix.
-LEAF_ROWS = 100_000
+# One digest covers this many lines (some 80 MB); larger sets are digested by id prefix.
+LEAF_ROWS = 1_000_000
 _FAN_OUT_DIGITS = 3
 
 
@@ -114,34 +114,36 @@ def _reason_allowed(decision: Column, reason: Column) -> Column:
     return allowed
 
 
-def review_rules(fingerprint: Column | None = None) -> list[tuple[str, Column]]:
-    """Row rules after the two id rules, in reporting order."""
-    cell = {c: strip(F.coalesce(c, F.lit(""))) for c in REVIEW}
-    entries = [cell[c] for c in REVIEW[2:]]
-    filled = F.lit(False)
-    for entry in entries:
-        filled = filled | (entry != "")
-    status, complete = cell["review_status"], cell["review_status"] == "COMPLETE"
-    decision, known = cell["same_organization"], cell["same_organization"].isin(*DECISIONS)
-    reason, evidence = cell["review_reason"], cell["external_evidence_url"]
-    expected = row_fingerprint(EVIDENCE) if fingerprint is None else fingerprint
+def review_rules() -> list[tuple[str, Column]]:
+    """Row rules after the two id rules, in reporting order, over stripped review cells."""
+    entries = [F.col(c) for c in REVIEW[2:]]
+    filled = F.concat(*entries) != ""
+    status, complete = F.col("review_status"), F.col("review_status") == "COMPLETE"
+    decision, known = F.col("same_organization"), F.col("same_organization").isin(*DECISIONS)
+    reason, evidence = F.col("review_reason"), F.col("external_evidence_url")
     return [
-        ("evidence_changed", F.coalesce("candidate_fingerprint", F.lit("")) != expected),
+        ("evidence_changed", F.col("candidate_fingerprint") != F.col("_expected")),
         ("partial_decision", (status == "UNREVIEWED") & filled),
         ("review_status", ~status.isin("UNREVIEWED", "COMPLETE")),
         ("same_organization", complete & ~known),
         ("review_reason", complete & known & ~_reason_allowed(decision, reason)),
         ("external_evidence_url", complete & ~((evidence != "") & valid_evidence_urls(evidence))),
-        ("review_notes", complete & (cell["review_notes"] == "")),
-        ("reviewer", complete & (cell["reviewer"] == "")),
-        ("reviewed_at", complete & ~is_aware_timestamp(cell["reviewed_at"])),
+        ("review_notes", complete & (F.col("review_notes") == "")),
+        ("reviewer", complete & (F.col("reviewer") == "")),
+        ("reviewed_at", complete & ~is_aware_timestamp(F.col("reviewed_at"))),
     ]
 
 
 def review_violations(review: DataFrame, row: str = ROW) -> DataFrame:
     """(row_number, rule_position, rule) for every broken rule of every row."""
     keyed = review.withColumnRenamed(row, ROW) if row != ROW else review
-    rules = explode_rules(keyed, review_rules(), [ROW])
+    filled = {c: F.coalesce(c, F.lit("")) for c in REVIEW}
+    cells = keyed.select(
+        ROW,
+        row_fingerprint(EVIDENCE).alias("_expected"),
+        *[(v if c == "candidate_fingerprint" else strip(v)).alias(c) for c, v in filled.items()],
+    )
+    rules = explode_rules(cells, review_rules(), [ROW])
     shifted = rules.withColumn("rule_position", F.col("rule_position") + 2)
     return id_violations(keyed).unionByName(shifted)
 
@@ -241,8 +243,10 @@ def set_digest(
 
     A digest over one long text cannot be split, so past ``leaf_rows`` lines it is taken per key
     prefix (keys are hexadecimal and spread evenly) and then over the prefixes' digests, level by
-    level. Every group stays near ``leaf_rows`` lines or at most 4,096 prefixes.
+    level. Every group stays near ``leaf_rows`` lines or at most 4,096 prefixes. Repeated lines, which
+    a valid review does not have, count once, so none can fill a group.
     """
+    df = df.select(key, fingerprint).distinct()
     count = df.count() if rows is None else rows
     digits = 0
     while count > leaf_rows * 16**digits:
@@ -318,20 +322,22 @@ def publish_summary(
     return review_summary(review, provenance)
 
 
-_COUNTS = "map<string,string>"
-_OBJECTS = ("totals", "decisions", "review_reasons", "evidence_tiers", "public_record_sources")
-_SUMMARY_TYPE = ", ".join(
-    f"{name} {_COUNTS if name in _OBJECTS else 'string'}" for name in SUMMARY_FIELDS
+_COUNT = r"^\d{1,18}$"
+_MAP = "map<string,string>"
+_GROUP = f"struct<total:string,reviewed:string,decisions:{_MAP}>"
+# The document twice: once with the shapes its values are read in, once with every object as a flat map,
+# which is what tells its exact fields.
+_VALUES = (
+    "review_summary_version string, review_provenance string, candidate_set_sha256 string, "
+    f"complete string, totals {_MAP}, decisions {_MAP}, review_reasons {_MAP}, "
+    f"evidence_tiers map<string,{_GROUP}>, public_record_sources map<string,{_GROUP}>, "
+    "reviewed_through string"
 )
-
-
-def _same_keys(json: Column, keys: tuple[str, ...]) -> Column:
-    found = F.array_sort(F.json_object_keys(json))
-    return F.coalesce(found == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
+_KEYS = f"evidence_tiers map<string,{_MAP}>, public_record_sources map<string,{_MAP}>"
 
 
 def _counts_ok(values: Column) -> Column:
-    return F.forall(F.map_values(values), lambda v: F.coalesce(v.rlike(r"^\d{1,18}$"), F.lit(False)))
+    return F.forall(F.map_values(values), lambda v: F.coalesce(v.rlike(_COUNT), F.lit(False)))
 
 
 def _count_sum(values: Column) -> Column:
@@ -340,38 +346,50 @@ def _count_sum(values: Column) -> Column:
     )
 
 
-def _group_ok(raw: Column) -> Column:
-    group = F.from_json(raw, _COUNTS)
-    decisions = F.from_json(group["decisions"], _COUNTS)
+def _has_keys(found: Column, keys: tuple[str, ...]) -> Column:
+    wanted = F.array(*[F.lit(k) for k in sorted(keys)])
+    return F.coalesce(F.array_sort(F.map_keys(found)) == wanted, F.lit(False))
+
+
+def _group_ok(group: Column, keys: Column) -> Column:
+    """One group: its exact fields, and counts that agree. ``keys`` is the same object as a flat map."""
     total, reviewed = group["total"].try_cast("bigint"), group["reviewed"].try_cast("bigint")
-    counts = F.create_map(F.lit("t"), group["total"], F.lit("r"), group["reviewed"])
+    decisions = group["decisions"]
     return F.coalesce(
-        _same_keys(raw, GROUP_FIELDS) & _same_keys(group["decisions"], DECISIONS)
-        & _counts_ok(counts) & _counts_ok(decisions)
+        _has_keys(keys, GROUP_FIELDS) & _has_keys(decisions, DECISIONS)
+        & group["total"].rlike(_COUNT) & group["reviewed"].rlike(_COUNT) & _counts_ok(decisions)
         & (total >= 1) & (reviewed == total) & (_count_sum(decisions) == total),
         F.lit(False),
     )
 
 
-def _group_rules(groups: Column, allowed: tuple[str, ...], expected: Column, name: str) -> list[tuple[str, Column]]:
+def _group_rules(
+    groups: Column, keys: Column, allowed: tuple[str, ...], expected: Column, name: str
+) -> list[tuple[str, Column]]:
     known = F.forall(F.map_keys(groups), lambda k: k.isin(*allowed))
+    counted = F.forall(F.map_entries(groups), lambda e: _group_ok(e["value"], F.element_at(keys, e["key"])))
     totals = F.aggregate(
         F.map_values(groups),
         F.lit(0).cast("bigint"),
-        lambda a, raw: a + F.coalesce(F.get_json_object(raw, "$.total").try_cast("bigint"), F.lit(0)),
+        lambda a, group: a + F.coalesce(group["total"].try_cast("bigint"), F.lit(0)),
     )
     return [
         (f"{name}_groups", F.coalesce((F.size(groups) < 1) | ~known, F.lit(True))),
-        (f"{name}_counts", ~F.coalesce(F.forall(F.map_values(groups), _group_ok), F.lit(False))),
+        (f"{name}_counts", ~F.coalesce(counted, F.lit(False))),
         (f"{name}_total", F.coalesce(totals != expected, F.lit(True))),
     ]
 
 
 def summary_violations(summaries: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule_position, rule) over a table of summary documents held as JSON text."""
-    parsed = summaries.select(key, F.col(text).alias("t"), F.from_json(F.col(text), _SUMMARY_TYPE).alias("s"))
+    parsed = summaries.select(
+        key,
+        F.array_sort(F.json_object_keys(text)).alias("fields"),
+        F.from_json(text, _VALUES).alias("s"),
+        F.from_json(text, _KEYS).alias("k"),
+    )
     s = {name: F.col(f"s.{name}") for name in SUMMARY_FIELDS}
-    totals = {n: F.when(s["totals"][n].rlike(r"^\d{1,18}$"), s["totals"][n].cast("bigint")) for n in TOTAL_FIELDS}
+    totals = {n: F.when(s["totals"][n].rlike(_COUNT), s["totals"][n].cast("bigint")) for n in TOTAL_FIELDS}
     reviewed = totals["reviewed"]
     every_reason = [reason for reasons in REASONS.values() for reason in reasons]
     reasons = s["review_reasons"]
@@ -380,17 +398,17 @@ def summary_violations(summaries: DataFrame, key: str, text: str) -> DataFrame:
         return ~F.coalesce(condition, F.lit(False))
 
     rules = [
-        ("fields", ~_same_keys(F.col("t"), SUMMARY_FIELDS)),
+        ("fields", unless(F.col("fields") == F.array(*[F.lit(f) for f in sorted(SUMMARY_FIELDS)]))),
         ("version", unless(s["review_summary_version"] == str(SUMMARY_VERSION))),
         ("provenance", unless(s["review_provenance"].isin(*PROVENANCES))),
         ("digest", unless(s["candidate_set_sha256"].rlike(SHA256_HEX))),
-        ("complete", unless(F.get_json_object("t", "$.complete") == "true")),
-        ("total_fields", ~_same_keys(F.get_json_object("t", "$.totals"), TOTAL_FIELDS)),
+        ("complete", unless(s["complete"] == "true")),
+        ("total_fields", ~_has_keys(s["totals"], TOTAL_FIELDS)),
         (
             "totals",
             unless((totals["candidates"] >= 1) & (reviewed == totals["candidates"]) & (totals["unreviewed"] == 0)),
         ),
-        ("decision_fields", ~_same_keys(F.get_json_object("t", "$.decisions"), DECISIONS)),
+        ("decision_fields", ~_has_keys(s["decisions"], DECISIONS)),
         ("decisions", unless(_counts_ok(s["decisions"]) & (_count_sum(s["decisions"]) == reviewed))),
         (
             "known_reasons",
@@ -404,8 +422,13 @@ def summary_violations(summaries: DataFrame, key: str, text: str) -> DataFrame:
                 & (_count_sum(reasons) == reviewed)
             ),
         ),
-        *_group_rules(s["evidence_tiers"], (STRICT, SUFFIX), reviewed, "evidence_tiers"),
-        *_group_rules(s["public_record_sources"], tuple(sorted(PUBLIC_SOURCES)), reviewed, "public_record_sources"),
+        *_group_rules(
+            s["evidence_tiers"], F.col("k.evidence_tiers"), (STRICT, SUFFIX), reviewed, "evidence_tiers"
+        ),
+        *_group_rules(
+            s["public_record_sources"], F.col("k.public_record_sources"), PUBLIC_SOURCES, reviewed,
+            "public_record_sources",
+        ),
         ("reviewed_through", unless(is_aware_timestamp(s["reviewed_through"]))),
     ]
     return explode_rules(parsed, rules, [key])
