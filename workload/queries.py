@@ -247,7 +247,9 @@ query(
             ORDER BY n DESC, first_row NULLS LAST, value) AS rank FROM {_COUNTED}) WHERE rank <= 25""",
         _role("category"),
     ),
-)(_all_sources(lambda df, c: profile.top_values(df, list(c.fields("category")))))
+)(_all_sources(
+    lambda df, c: profile.top_values(df, list(c.fields("category"))).withColumn("rank", F.col("rank").cast("bigint"))
+))
 
 _DATED = f"""(SELECT *, coalesce(year(moment) < 1900 OR year(moment) > {T.AS_OF_YEAR + 20}, false) AS odd
   FROM (SELECT *, {sql_date('value')} AS moment FROM {_COUNTED}))"""
@@ -1004,8 +1006,9 @@ _SQL_LOCATED = """SELECT *, CASE WHEN event_id % 19 = 0 THEN substr(content, 1,
     WHEN event_id % 41 = 0 THEN '/data/raw/' || dataset_id || '/' || content || '.csv'
     WHEN operation = 'freeze-metadata' THEN 'data/metadata/ds-' || user_id || '/' || content || '.json'
     ELSE 'data/raw/ds-' || user_id || '/' || content || '.csv' END AS artifact FROM base"""
-_SQL_SOURCES = """SELECT DISTINCT 'user' || user_id AS source, 'ds-' || user_id AS dataset_id, CAST(10 AS BIGINT) AS expected_minimum_rows
-  FROM events WHERE user_id % 10 <> 7"""
+# The suppliers are the configured sources, so some users are unknown.
+_SQL_SOURCES = """SELECT 'user' || s_suppkey AS source, 'ds-' || s_suppkey AS dataset_id, CAST(10 AS BIGINT) AS expected_minimum_rows
+  FROM supplier"""
 _MANIFEST_SQL = dict(base=_SQL_MANIFESTS, manifests=_SQL_LOCATED, sources=_SQL_SOURCES)
 
 
@@ -1040,9 +1043,8 @@ def _manifests(spark, d):
 
 
 def _sources(spark, d):
-    users = table(spark, d, "events").select("user_id").distinct().where(F.col("user_id") % 10 != 7)
-    return users.select(
-        F.concat(F.lit("user"), "user_id").alias("source"), F.concat(F.lit("ds-"), "user_id").alias("dataset_id"),
+    return table(spark, d, "supplier").select(
+        F.concat(F.lit("user"), "s_suppkey").alias("source"), F.concat(F.lit("ds-"), "s_suppkey").alias("dataset_id"),
         F.lit(10).cast("bigint").alias("expected_minimum_rows"),
     )
 
@@ -1091,7 +1093,7 @@ def latest_artifacts(spark, d):
     return M.latest_artifacts(_manifests(spark, d))
 
 
-_SQL_STORED = """SELECT artifact, min(sha256) AS sha256, max(bytes) AS bytes FROM manifests WHERE event_id % 3 <> 0 GROUP BY artifact"""
+_SQL_STORED = """SELECT artifact, min(sha256) AS sha256, max(bytes) AS bytes FROM manifests WHERE event_type <> 'view' GROUP BY artifact"""
 
 
 @query(
@@ -1106,8 +1108,9 @@ _SQL_STORED = """SELECT artifact, min(sha256) AS sha256, max(bytes) AS bytes FRO
 )
 def artifact_violations(spark, d):
     manifests = _manifests(spark, d)
-    kept = manifests.where(F.col("manifest").cast("bigint") % 3 != 0)
-    stored = kept.groupBy("artifact").agg(
+    # Raw files of "view" events were never stored.
+    views = table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").cast("string").alias("manifest"))
+    stored = manifests.join(views, "manifest", "left_anti").groupBy("artifact").agg(
         F.min("receipt.sha256").alias("sha256"), F.max("receipt.bytes").alias("bytes")
     )
     return M.artifact_violations(manifests, stored)
@@ -1204,13 +1207,13 @@ def latest_profiles(spark, d):
     with_views(
         """SELECT source, 'no_metadata' AS rule FROM sources WHERE source NOT IN (SELECT source_slug FROM manifests WHERE operation = 'freeze-metadata')
            UNION ALL SELECT source, 'no_profile' FROM sources WHERE source NOT IN (SELECT source FROM profiles)
-           UNION ALL SELECT source, 'no_fixture' FROM sources WHERE source NOT IN (SELECT 'user' || s_suppkey FROM supplier)""",
+           UNION ALL SELECT source, 'no_fixture' FROM sources WHERE source NOT IN (SELECT 'user' || n_nationkey FROM nation)""",
         **_MANIFEST_SQL,
         profiles=_SQL_PROFILES,
     ),
 )
 def coverage_violations(spark, d):
-    fixtures = table(spark, d, "supplier").select(F.concat(F.lit("user"), "s_suppkey").alias("source"))
+    fixtures = table(spark, d, "nation").select(F.concat(F.lit("user"), "n_nationkey").alias("source"))
     return gates.coverage_violations(_sources(spark, d), _manifests(spark, d), _profiles(spark, d), fixtures)
 
 
@@ -1261,20 +1264,29 @@ def set_digest(spark, d):
     return review.set_digest(_doc_fp(spark, d), "id", "fp")
 
 
+# The labelled documents and the benchmark items were reviewed; low-quality ones have changed since.
+_SQL_REVIEWED = f"""SELECT id, CASE WHEN quality = 0 THEN upper(fp) ELSE fp END AS fp FROM ({_SQL_DOC_FP}) JOIN labels USING (doc_id)
+  UNION ALL SELECT substr(sha256('b' || item_id), 1, 16), sha256(text) FROM benchmark"""
+
+
 @query(
     "candidate_drift",
     f"""SELECT coalesce(c.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'missing' WHEN c.id IS NULL THEN 'added' ELSE 'changed' END AS drift
-        FROM (SELECT * FROM ({_SQL_DOC_FP}) WHERE doc_id % 7 <> 0) c FULL OUTER JOIN
-          (SELECT id, CASE WHEN doc_id % 3 = 0 THEN upper(fp) ELSE fp END AS fp FROM ({_SQL_DOC_FP}) WHERE doc_id % 11 <> 0) r ON c.id = r.id
+        FROM ({_SQL_DOC_FP}) c FULL OUTER JOIN ({_SQL_REVIEWED}) r ON c.id = r.id
         WHERE c.id IS NULL OR r.id IS NULL OR c.fp <> r.fp""",
 )
 def candidate_drift(spark, d):
-    made = _doc_fp(spark, d)
-    current = made.where(F.col("doc_id") % 7 != 0).select("id", F.col("fp").alias("_current"))
-    reviewed = made.where(F.col("doc_id") % 11 != 0).select(
-        "doc_id", "id", F.when(F.col("doc_id") % 3 == 0, F.upper("fp")).otherwise(F.col("fp")).alias("fp")
+    current = _doc_fp(spark, d)
+    labelled = current.join(table(spark, d, "labels"), "doc_id").select(
+        "doc_id", "id", F.when(F.col("quality") == 0, F.upper("fp")).otherwise(F.col("fp")).alias("fp")
+    )
+    items = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("doc_id"),
+        F.substring(F.sha2(F.concat(F.lit("b"), "item_id"), 256), 1, 16).alias("id"),
+        F.sha2("text", 256).alias("fp"),
     )
-    return review.fingerprint_drift(current, reviewed, "id", "fp", "doc_id")
+    current = current.select("id", F.col("fp").alias("_current"))
+    return review.fingerprint_drift(current, labelled.unionByName(items), "id", "fp", "doc_id")
 
 
 # Orders are review rows; statuses, decisions and mistakes come from their keys.
@@ -1395,13 +1407,13 @@ def first_violations(spark, d):
     "init_review",
     with_views(
         f"""SELECT candidate_id, {_SQL_FP} AS candidate_fingerprint, 'UNREVIEWED' AS review_status, '' AS reviewed_at FROM evidence
-            WHERE candidate_id NOT IN (SELECT candidate_id FROM evidence WHERE o_orderkey % 2 = 0)""",
+            WHERE candidate_id NOT IN (SELECT candidate_id FROM evidence WHERE evidence_tier = 'A_STRICT')""",
         evidence=_SQL_EVIDENCE,
     ),
 )
 def init_review(spark, d):
     rows = _review(spark, d)
-    existing = rows.where(F.col("row_number") % 2 == 0)
+    existing = rows.where(F.col("evidence_tier") == limits.STRICT)
     made = review.init_review(rows.select(*candidates.EVIDENCE), existing)
     return made.select("candidate_id", "candidate_fingerprint", "review_status", "reviewed_at")
 
@@ -1466,7 +1478,8 @@ def reviewed_through(spark, d):
     return review.reviewed_through(_review(spark, d)).select("reviewed_through")
 
 
-_LINES = "string_agg(candidate_id || ':' || candidate_fingerprint, chr(10) ORDER BY candidate_id, candidate_fingerprint)"
+_LINES = """(SELECT string_agg(candidate_id || ':' || candidate_fingerprint, chr(10) ORDER BY candidate_id, candidate_fingerprint)
+  FROM (SELECT DISTINCT candidate_id, candidate_fingerprint FROM review))"""
 
 
 @query(

@@ -18,7 +18,11 @@ from recordloom.sources.snapshot import ROW
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Each is one file with one row group, which one task would read and then work on
+    alone; with fewer files than cores the rows are spread first. Larger tables are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def money(value: Column) -> Column:
