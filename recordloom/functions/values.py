@@ -10,11 +10,11 @@ from recordloom.functions.text import strip
 AMOUNT_TYPE = "decimal(38,6)"
 
 # The date spellings open-data exports use.
-_US_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-_US_CLOCK = r"^\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{1,2}:\d{1,2}\s+[AaPp][Mm]$"
-_YMD = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_US_DATE = r"^(\d{1,2})/(\d{1,2})/(?!0000)(\d{4})$"
+_US_CLOCK = r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}\s+\d{1,2}:\d{1,2}:\d{1,2}\s+[AaPp][Mm]$"
+_YMD = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
 _ISO = (
-    r"^\d{4}(?:-\d{2}-\d{2}|\d{4})"
+    r"^(?!0000)\d{4}(?:-\d{2}-\d{2}|\d{4})"
     r"(?:[^0-9]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
     r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
@@ -41,8 +41,7 @@ def _iso_timestamp(value: Column) -> Column:
         .when(zoned.rlike(r"T.*(?:Z|[+-]\d{2}:\d{2})$"), zoned)
         .otherwise(F.concat(zoned, F.lit("Z")))
     )
-    instant = F.when(value.rlike(_ISO) & ~value.startswith("0000"), complete)
-    return instant.try_cast("timestamp")
+    return F.when(value.rlike(_ISO), complete).try_cast("timestamp")
 
 
 def parse_date(value: Column) -> Column:
@@ -61,8 +60,7 @@ def parse_date(value: Column) -> Column:
         ),
     )
     ymd = F.when(value.rlike(_YMD), F.concat(value, F.lit("T00:00:00Z"))).try_cast("timestamp")
-    parsed = F.coalesce(us_date, us_clock, ymd, _iso_timestamp(value))
-    return F.when(parsed >= F.lit("0001-01-01T00:00:00Z").cast("timestamp"), parsed)
+    return F.coalesce(us_date, us_clock, ymd, _iso_timestamp(value))
 
 
 def is_suspicious(instant: Column, as_of_year: int) -> Column:

@@ -10,6 +10,31 @@ STRICT = "A_STRICT"
 SUFFIX = "B_LEGAL_SUFFIX"
 
 
+_GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+_SALTS = 64
+
+
+def top_per_group(
+    df: DataFrame, keys: list[str], order: list[Column], keep: int, rank: str = "rank"
+) -> DataFrame:
+    """First ``keep`` rows of each group in a total order, with their ``rank``.
+
+    Up to its threshold Spark cuts every group to ``keep`` rows in each task before the shuffle, so a
+    group holding most rows is never gathered whole. Past the threshold it would be: groups are then
+    cut in salted parts first, which keeps the same rows.
+    """
+    spark = df.sparkSession
+    if keep > int(spark.conf.get(_GROUP_LIMIT_CONF, "1000")):
+        # Any split of a group will do: no row of its first ``keep`` ranks lower within a part.
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).alias("_part")
+        salted = df.select("*", part)
+        by_part = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+        df = salted.withColumn("_in_part", by_part).where(F.col("_in_part") <= keep)
+        df = df.drop("_part", "_in_part")
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(rank) <= keep)
+
+
 def stratified_limit(rows: DataFrame, limit: int, order: list[Column], tier: str = "evidence_tier") -> DataFrame:
     """Half of ``limit`` (rounded up) from the strict tier, the rest from the other, then backfill.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import blank_to_null
 from recordloom.functions.values import is_suspicious, parse_date
+from recordloom.operators.limits import top_per_group
 from recordloom.operators.schema import CONFIGURED_ROLES
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.snapshot import FILE, ROW
@@ -53,20 +53,15 @@ def distinct_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     return value_counts(df, fields).groupBy("field").agg(F.count("*").alias("distinct"))
 
 
-def _ranked(counted: DataFrame, order: list[Column], keep: int) -> DataFrame:
-    """First ``keep`` values per field. Spark limits each task to ``keep`` per field before the
-    shuffle, so a field with very many values does not gather them in one task."""
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("field").orderBy(*order)))
-    return ranked.where(F.col("rank") <= keep)
-
-
 def top_values(df: DataFrame, fields: list[str], keep: int = TOP_VALUES) -> DataFrame:
     """(field, rank, value, n): most frequent values, ties by first appearance."""
     order = [F.desc("n"), F.asc_nulls_last("first_row"), F.asc("value")]
-    return _ranked(value_counts(df, fields), order, keep).select("field", "rank", "value", "n")
+    counted = value_counts(df, fields)
+    return top_per_group(counted, ["field"], order, keep).select("field", "rank", "value", "n")
 
 
 def _dated(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
+    """Value counts with their instants; dates are parsed once per distinct value, not per row."""
     dated = value_counts(df, fields).withColumn("at", parse_date(F.col("value")))
     return dated.withColumn("suspicious", F.coalesce(is_suspicious(F.col("at"), as_of_year), F.lit(False)))
 
@@ -75,7 +70,6 @@ def date_ranges(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     """(field, minimum, maximum, invalid and suspicious counts).
 
     Chronological extremes in their source spelling; the first spelling wins among equal instants.
-    Dates are parsed once per distinct value, not per row.
     """
     valid = F.col("at").isNotNull()
     first = F.struct("at", "first_row", "value")
@@ -91,9 +85,12 @@ def date_ranges(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
 
 def suspicious_examples(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     """(field, suspicious_date_examples): the first five distinct suspicious texts, sorted."""
-    suspicious = _dated(df, fields, as_of_year).where("suspicious")
+    # Mentioning the count keeps the test above the aggregation instead of on every row.
+    test = F.when(F.col("n") > 0, F.col("suspicious"))
+    suspicious = _dated(df, fields, as_of_year).where(test)
     order = [F.asc_nulls_last("first_row"), F.asc("value")]
-    first = _ranked(suspicious.select("field", "value", "first_row"), order, DATE_EXAMPLES)
+    narrow = suspicious.select("field", "value", "first_row")
+    first = top_per_group(narrow, ["field"], order, DATE_EXAMPLES)
     return first.groupBy("field").agg(
         F.array_sort(F.collect_list("value")).alias("suspicious_date_examples")
     )

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordloom.functions.digests import candidate_id
@@ -18,7 +17,7 @@ from recordloom.operators.entities import (
     name_lists,
     public_names,
 )
-from recordloom.operators.limits import STRICT, SUFFIX, stratified_limit
+from recordloom.operators.limits import STRICT, SUFFIX, stratified_limit, top_per_group
 from recordloom.session import stage
 from recordloom.sources.contracts import SourceContract
 
@@ -108,11 +107,6 @@ def _public_side(names: DataFrame) -> DataFrame:
     )
 
 
-def _first(df: DataFrame, keys: list[str], order: list[Column], keep: int, rank: str) -> DataFrame:
-    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col(rank) <= keep)
-
-
 def _campaign_order() -> list[Column]:
     return [F.desc("campaign_rows"), F.lower("campaign_name"), F.col("strict_campaign_key")]
 
@@ -125,7 +119,7 @@ def _public_order() -> list[Column]:
 def strict_pairs(campaign: DataFrame, public: DataFrame, limit: int | None) -> DataFrame:
     """Pairs with equal strict keys. With a limit, only those that can rank among the first."""
     if limit is not None:
-        public = _first(public, ["strict_public_key"], _public_order(), limit, "_rank").drop("_rank")
+        public = top_per_group(public, ["strict_public_key"], _public_order(), limit, "_rank").drop("_rank")
     left = campaign.drop("suffix_candidate_key")
     joined = left.join(public, F.col("strict_campaign_key") == F.col("strict_public_key"))
     return joined.withColumn("evidence_tier", F.lit(STRICT))
@@ -148,10 +142,10 @@ def suffix_pairs(campaign: DataFrame, public: DataFrame, limit: int | None) -> D
     suffix = ["suffix_candidate_key"]
     condition = F.col("strict_campaign_key") != F.col("strict_public_key")
     if limit is not None:
-        campaign = _first(campaign, suffix, _campaign_order(), limit + 1, "_i")
+        campaign = top_per_group(campaign, suffix, _campaign_order(), limit + 1, "_i")
         per_key = [*suffix, "strict_public_key"]
-        public = _first(public, per_key, _public_order(), limit, "_rank").drop("_rank")
-        public = _first(public, suffix, _public_order(), 2 * limit, "_j")
+        public = top_per_group(public, per_key, _public_order(), limit, "_rank").drop("_rank")
+        public = top_per_group(public, suffix, _public_order(), 2 * limit, "_j")
         condition = condition & (F.col("_j") * (F.col("_i") - 1) <= limit)
     left, right = campaign.alias("c"), public.alias("p")
     same = F.col("c.suffix_candidate_key") == F.col("p.suffix_candidate_key")

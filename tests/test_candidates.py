@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.urls import source_rows_url
 from recordloom.operators.checks import GateError
 from recordloom.operators.entities import campaign_names, entities, keys_per_suffix, public_names
-from recordloom.operators.limits import later_occurrences, stratified_limit
+from recordloom.operators.limits import later_occurrences, stratified_limit, top_per_group
 from recordloom.plans import candidates as plan
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.inventory import INVENTORY
@@ -198,3 +198,18 @@ def test_contract_rules():
     for contract in INVENTORY.values():
         assert contract.public_fields and "address" in contract.restricted_patterns
         assert not any(contract.is_restricted(f) for f in contract.public_fields)
+
+
+@pytest.mark.parametrize("threshold", ["1000", "2"])
+def test_top_per_group(spark, threshold):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 6}") for i in range(300)], "n long, k string")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+    try:
+        got = {(r["k"], r["n"], r["rank"]) for r in top_per_group(df, ["k"], [F.desc("n")], 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    want = set()
+    for key in ("hot", "k0", "k3"):
+        rows = sorted((i for i in range(300) if ("hot" if i % 3 else f"k{i % 6}") == key), reverse=True)[:5]
+        want |= {(key, n, r + 1) for r, n in enumerate(rows)}
+    assert got == want

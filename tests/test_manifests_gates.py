@@ -167,3 +167,25 @@ def test_audit_card_and_sinks(spark, tmp_path):
     fixture = spark.createDataFrame([(2, "EXAMPLE ORGANIZATION 0001")], "row_number bigint, lgl_nm string")
     sinks.write_fixture(fixture, CHECKS, str(tmp_path / "f"))
     assert sinks.output_rows(spark, str(tmp_path / "f"), "csv").first()[0] == 1
+
+
+def test_incremental_landing(spark, tmp_path):
+    from recordloom.streaming.landing import land_new_files
+
+    landing, root, table = tmp_path / "in", tmp_path / "root", str(tmp_path / "manifests")
+    (landing / "contracts").mkdir(parents=True)
+    root.mkdir()
+    sources = contract_sources(spark, INVENTORY.values())
+
+    def run():
+        land_new_files(spark, str(landing), str(root), table, sources, str(tmp_path / "checkpoint")).awaitTermination()
+        return spark.read.parquet(table)
+
+    (landing / "contracts" / "a.csv").write_bytes(b"a,b\n1,2\n")
+    assert run().count() == 1
+    (landing / "contracts" / "b.csv").write_bytes(b"a,b\n1,2\n")
+    (landing / "contracts" / "c.csv").write_bytes(b"a,b\n3,4\n")
+    registered = run()
+    assert registered.count() == 3 and registered.select("artifact").distinct().count() == 2
+    assert len([p for p in root.rglob("*.csv")]) == 2
+    assert M.verify_artifacts(spark, registered, str(root)).count() == 0
