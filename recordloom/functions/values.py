@@ -18,6 +18,8 @@ _ISO = (
     r"(?:[^0-9]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
     r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
+# The commonest spelling, which needs nothing but its zone.
+_ISO_PLAIN = r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?$"
 _ISO_ZONED = r"^\d{4}(?:-\d{2}-\d{2}|\d{4})[^0-9]\d{2}.*(?:Z|[+-]\d{2}(?::?\d{2})?)$"
 
 
@@ -41,7 +43,8 @@ def _iso_timestamp(value: Column) -> Column:
         .when(zoned.rlike(r"T.*(?:Z|[+-]\d{2}:\d{2})$"), zoned)
         .otherwise(F.concat(zoned, F.lit("Z")))
     )
-    return F.when(value.rlike(_ISO), complete).try_cast("timestamp")
+    plain = F.concat(value, F.lit("Z"))
+    return F.when(value.rlike(_ISO_PLAIN), plain).when(value.rlike(_ISO), complete).try_cast("timestamp")
 
 
 def parse_date(value: Column) -> Column:

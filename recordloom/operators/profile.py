@@ -60,37 +60,33 @@ def top_values(df: DataFrame, fields: list[str], keep: int = TOP_VALUES) -> Data
     return top_per_group(counted, ["field"], order, keep).select("field", "rank", "value", "n")
 
 
-def _dated(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
-    """Value counts with their instants; dates are parsed once per distinct value, not per row."""
-    dated = value_counts(df, fields).withColumn("at", parse_date(F.col("value")))
-    return dated.withColumn("suspicious", F.coalesce(is_suspicious(F.col("at"), as_of_year), F.lit(False)))
-
-
 def date_ranges(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     """(field, minimum, maximum, invalid and suspicious counts).
 
     Chronological extremes in their source spelling; the first spelling wins among equal instants.
+    Dates are parsed once per distinct value, not per row.
     """
+    dated = value_counts(df, fields).withColumn("at", parse_date(F.col("value")))
     valid = F.col("at").isNotNull()
+    suspicious = is_suspicious(F.col("at"), as_of_year)
     first = F.struct("at", "first_row", "value")
     last = F.struct("at", (-F.col("first_row")).alias("o"), "value")
-    return _dated(df, fields, as_of_year).groupBy("field").agg(
+    return dated.groupBy("field").agg(
         F.min_by("value", F.when(valid, first)).alias("minimum"),
         F.max_by("value", F.when(valid, last)).alias("maximum"),
         F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("invalid_date_count"),
-        F.coalesce(F.sum(F.when(F.col("suspicious"), F.col("n"))), F.lit(0))
-        .alias("suspicious_date_count"),
+        F.coalesce(F.sum(F.when(suspicious, F.col("n"))), F.lit(0)).alias("suspicious_date_count"),
     )
 
 
 def suspicious_examples(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     """(field, suspicious_date_examples): the first five distinct suspicious texts, sorted."""
-    # Mentioning the count keeps the test above the aggregation instead of on every row.
-    test = F.when(F.col("n") > 0, F.col("suspicious"))
-    suspicious = _dated(df, fields, as_of_year).where(test)
+    # A filter would move below the aggregation and parse every row; the generator parses each
+    # distinct value once, where it stands.
+    at = F.filter(F.array(parse_date(F.col("value"))), lambda t: is_suspicious(t, as_of_year))
+    suspicious = value_counts(df, fields).select("field", "value", "first_row", F.explode(at).alias("at"))
     order = [F.asc_nulls_last("first_row"), F.asc("value")]
-    narrow = suspicious.select("field", "value", "first_row")
-    first = top_per_group(narrow, ["field"], order, DATE_EXAMPLES)
+    first = top_per_group(suspicious.drop("at"), ["field"], order, DATE_EXAMPLES)
     return first.groupBy("field").agg(
         F.array_sort(F.collect_list("value")).alias("suspicious_date_examples")
     )
