@@ -96,11 +96,12 @@ def _classification_inputs(fields: DataFrame, patterns: DataFrame) -> tuple[Data
 
 
 def _with_roles(observed: DataFrame, fields: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Observed fields with contract flags. Contract tables are as small as the configuration."""
+    """Observed fields with contract flags.
+
+    Contract tables made from contracts are local data of known size, so Spark broadcasts them unasked.
+    """
     roles, listed = _classification_inputs(fields, patterns)
-    joined = observed.join(F.broadcast(roles), ["source", "field"], "left").join(
-        F.broadcast(listed), "source", "left"
-    )
+    joined = observed.join(roles, ["source", "field"], "left").join(listed, "source", "left")
     matches = F.exists("patterns", lambda p: F.lower("field").contains(F.lower(p)))
     return (
         joined.withColumn("is_public", F.coalesce("is_public", F.lit(False)))

@@ -161,7 +161,9 @@ def candidate_pairs(
     Two equality joins instead of one join on "either key": the pairs of equal strict keys, and the
     pairs of equal suffix keys whose strict keys differ. They are disjoint, so nothing is deduplicated.
     """
-    left, right = _campaign_side(campaign), _public_side(public)
+    # Each side feeds both joins, so its entities are aggregated once and written out.
+    left = stage(_campaign_side(campaign), "campaign-entities")
+    right = stage(_public_side(public), "public-entities")
     pairs = strict_pairs(left, right, limit).unionByName(suffix_pairs(left, right, limit))
     identity = candidate_id(
         F.col("strict_campaign_key"),
@@ -181,8 +183,7 @@ def _source_lookup(pairs: DataFrame, public: Sequence[Source], value) -> Column:
 
 def _keys_for_suffix(names: DataFrame, selected: DataFrame, name: str) -> DataFrame:
     wanted = selected.select(F.col("suffix_candidate_key").alias("suffix_key")).distinct()
-    # ``selected`` has at most ``limit`` rows.
-    keys = names.join(F.broadcast(wanted), "suffix_key", "left_semi").where(F.col("suffix_key") != "")
+    keys = names.join(wanted, "suffix_key", "left_semi").where(F.col("suffix_key") != "")
     return keys.groupBy(F.col("suffix_key").alias("suffix_candidate_key")).agg(
         F.count_distinct("strict_key").alias(name)
     )
@@ -191,18 +192,21 @@ def _keys_for_suffix(names: DataFrame, selected: DataFrame, name: str) -> DataFr
 def _decorate(
     selected: DataFrame, campaign: Source, public: Sequence[Source], left: DataFrame, right: DataFrame
 ) -> DataFrame:
-    """Names, links and ambiguity counts of the chosen pairs only."""
+    """Names, links and ambiguity counts of the chosen pairs only.
+
+    ``selected`` is a written table of at most ``limit`` rows; Spark broadcasts it if its files are small.
+    """
     chosen_left = selected.select(F.col("strict_campaign_key").alias("strict_key")).distinct()
     chosen_right = selected.select(
         F.col("public_record_source").alias("source"),
         F.col("strict_public_key").alias("strict_key"),
         F.col("public_record_code").alias("code"),
     ).distinct()
-    left_names = name_lists(left.join(F.broadcast(chosen_left), "strict_key", "left_semi")).select(
+    left_names = name_lists(left.join(chosen_left, "strict_key", "left_semi")).select(
         F.col("strict_key").alias("strict_campaign_key"), F.col("names").alias("_campaign_names")
     )
     right_names = name_lists(
-        right.join(F.broadcast(chosen_right), ["source", "strict_key", "code"], "left_semi")
+        right.join(chosen_right, ["source", "strict_key", "code"], "left_semi")
     ).select(
         F.col("source").alias("public_record_source"),
         F.col("strict_key").alias("strict_public_key"),

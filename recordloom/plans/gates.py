@@ -37,7 +37,7 @@ def path_parent(path: Column) -> Column:
 
 def manifest_violations(manifests: DataFrame, sources: DataFrame) -> DataFrame:
     """(manifest, rule_position, rule). ``sources`` is the contract table."""
-    known = F.broadcast(sources.select(F.col("source").alias("source_slug"), F.col("dataset_id").alias("expected")))
+    known = sources.select(F.col("source").alias("source_slug"), F.col("dataset_id").alias("expected"))
     joined = manifests.join(known, "source_slug", "left")
     artifact, digest, size = F.col("artifact"), F.col("receipt.sha256"), F.col("receipt.bytes")
     operation = F.coalesce("operation", F.lit(""))
@@ -67,12 +67,10 @@ def manifest_violations(manifests: DataFrame, sources: DataFrame) -> DataFrame:
 
 def profile_violations(profiles: DataFrame, sources: DataFrame, manifests: DataFrame) -> DataFrame:
     """(profile_file, rule_position, rule) for profile headers."""
-    contract = F.broadcast(
-        sources.select(
-            "source",
-            F.col("dataset_id").alias("expected_id"),
-            F.col("expected_minimum_rows").alias("expected_floor"),
-        )
+    contract = sources.select(
+        "source",
+        F.col("dataset_id").alias("expected_id"),
+        F.col("expected_minimum_rows").alias("expected_floor"),
     )
     joined = profiles.join(contract, "source", "left")
     known = F.col("expected_id").isNotNull()

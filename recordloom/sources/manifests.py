@@ -138,8 +138,7 @@ def register_snapshots(
     folder = "raw" if operation == ACQUIRE else "metadata"
     slug = F.element_at(F.split("path", "/"), -2)
     observed = hashed.join(files.select("path", "modified"), "path")
-    # The contract table is as small as the configuration.
-    known = observed.withColumn("source", slug).join(F.broadcast(sources), "source")
+    known = observed.withColumn("source", slug).join(sources, "source")
     artifact = F.concat(F.lit(f"data/{folder}/"), "dataset_id", F.lit("/"), "sha256", F.lit(suffix))
     retrieved = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     return known.select(
