@@ -116,19 +116,18 @@ def _public_order() -> list[Column]:
     return [F.desc("public_record_rows"), F.lower("public_record_name"), *map(F.col, keys)]
 
 
-def strict_pairs(campaign: DataFrame, public: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs with equal strict keys. With a limit, only those that can rank among the first."""
-    if limit is not None:
-        public = top_per_group(public, ["strict_public_key"], _public_order(), limit, "_rank").drop("_rank")
+def strict_pairs(campaign: DataFrame, public: DataFrame, limit: int) -> DataFrame:
+    """Pairs with equal strict keys that can rank among the first ``limit``."""
+    public = top_per_group(public, ["strict_public_key"], _public_order(), limit, "_rank").drop("_rank")
     left = campaign.drop("suffix_candidate_key")
     joined = left.join(public, F.col("strict_campaign_key") == F.col("strict_public_key"))
     return joined.withColumn("evidence_tier", F.lit(STRICT))
 
 
-def suffix_pairs(campaign: DataFrame, public: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs that agree only without their legal suffixes.
+def suffix_pairs(campaign: DataFrame, public: DataFrame, limit: int) -> DataFrame:
+    """Pairs that agree only without their legal suffixes and can rank among the first ``limit``.
 
-    With a limit, a pair that at least ``limit`` other pairs of its own suffix group precede can never
+    A pair that at least ``limit`` other pairs of its own suffix group precede can never
     be chosen, and ranks show that before anything is paired. Order each side of a group by the
     columns of the ranking that it owns. Pairs made from the first ``i`` campaign and the first ``j``
     public entries all precede pair (i, j); at most ``j`` of those ``i * j`` are strict pairs (a public
@@ -140,23 +139,47 @@ def suffix_pairs(campaign: DataFrame, public: DataFrame, limit: int | None) -> D
     campaign = campaign.where(F.col("suffix_candidate_key") != "")
     public = public.where(F.col("suffix_candidate_key") != "")
     suffix = ["suffix_candidate_key"]
-    condition = F.col("strict_campaign_key") != F.col("strict_public_key")
-    if limit is not None:
-        campaign = top_per_group(campaign, suffix, _campaign_order(), limit + 1, "_i")
-        per_key = [*suffix, "strict_public_key"]
-        public = top_per_group(public, per_key, _public_order(), limit, "_rank").drop("_rank")
-        public = top_per_group(public, suffix, _public_order(), 2 * limit, "_j")
-        condition = condition & (F.col("_j") * (F.col("_i") - 1) <= limit)
+    campaign = top_per_group(campaign, suffix, _campaign_order(), limit + 1, "_i")
+    per_key = [*suffix, "strict_public_key"]
+    public = top_per_group(public, per_key, _public_order(), limit, "_rank").drop("_rank")
+    public = top_per_group(public, suffix, _public_order(), 2 * limit, "_j")
+    differ = F.col("strict_campaign_key") != F.col("strict_public_key")
+    condition = differ & (F.col("_j") * (F.col("_i") - 1) <= limit)
     left, right = campaign.alias("c"), public.alias("p")
     same = F.col("c.suffix_candidate_key") == F.col("p.suffix_candidate_key")
     joined = left.join(right, same & condition).drop(F.col("c.suffix_candidate_key"))
     return joined.drop("_i", "_j").withColumn("evidence_tier", F.lit(SUFFIX))
 
 
-def candidate_pairs(
-    campaign: DataFrame, public: DataFrame, limit: int | None = None
-) -> DataFrame:
-    """All pairs of two name tables, or those that can appear in a limited selection.
+def candidate_counts(campaign: DataFrame, public: DataFrame) -> DataFrame:
+    """(public_record_source, evidence_tier, pairs): how many pairs there are in all, without making them.
+
+    A suffix group holds as many pairs as the product of its sides, strict pairs among them.
+    """
+    ours = campaign.select("strict_key", "suffix_key").distinct()
+    theirs = public.select("source", "strict_key", "suffix_key", "code").distinct()
+    strict = theirs.join(ours.select("strict_key"), "strict_key", "left_semi").groupBy("source").agg(
+        F.count("*").alias("strict"), F.count_if(F.col("suffix_key") != "").alias("_within")
+    )
+    left = ours.where(F.col("suffix_key") != "").groupBy("suffix_key").agg(F.count("*").alias("_left"))
+    right = theirs.where(F.col("suffix_key") != "").groupBy("source", "suffix_key").agg(
+        F.count("*").alias("_right")
+    )
+    grouped = right.join(left, "suffix_key").groupBy("source").agg(
+        F.sum(F.col("_left") * F.col("_right")).alias("_all")
+    )
+    sources = public.select("source").distinct()
+    joined = sources.join(grouped, "source", "left").join(strict, "source", "left").fillna(0)
+    tiers = F.create_map(
+        F.lit(STRICT), F.col("strict"), F.lit(SUFFIX), F.col("_all") - F.col("_within")
+    )
+    return joined.select(
+        F.col("source").alias("public_record_source"), F.explode(tiers).alias("evidence_tier", "pairs")
+    )
+
+
+def candidate_pairs(campaign: DataFrame, public: DataFrame, limit: int) -> DataFrame:
+    """The pairs of two name tables that can appear in a selection of ``limit``.
 
     Two equality joins instead of one join on "either key": the pairs of equal strict keys, and the
     pairs of equal suffix keys whose strict keys differ. They are disjoint, so nothing is deduplicated.

@@ -90,7 +90,7 @@ def profile_violations(profiles: DataFrame, sources: DataFrame, manifests: DataF
     header = explode_rules(joined, rules, ["profile_file"])
     acquired = manifests.where(F.col("operation") == ACQUIRE).select(
         F.col("source_slug").alias("source"), "artifact"
-    )
+    ).distinct()
     orphans = profiles.join(acquired, ["source", "artifact"], "left_anti").select(
         "profile_file",
         F.lit(len(rules)).alias("rule_position"),
@@ -106,7 +106,7 @@ def coverage_violations(
     frozen = manifests.where(F.col("operation") == FREEZE).select(F.col("source_slug").alias("source"))
     out = None
     for present, rule in ((frozen, "no_metadata"), (profiles, "no_profile"), (fixtures, "no_fixture")):
-        lacking = sources.select("source").join(present.select("source"), "source", "left_anti")
+        lacking = sources.select("source").join(present.select("source").distinct(), "source", "left_anti")
         lacking = lacking.select("source", F.lit(rule).alias("rule"))
         out = lacking if out is None else out.unionByName(lacking)
     return out

@@ -151,7 +151,11 @@ def test_limited_candidates_equal_brute_force(spark, seed, limit):
         for r in got
     ]
     assert keys == wanted
-    assert plan.candidate_pairs(*names).count() == len(every)
+    counts = Counter()
+    for row in plan.candidate_counts(*names).collect():
+        counts[row["public_record_source"], row["evidence_tier"]] += row["pairs"]
+    wanted_counts = Counter((r[7], "B_LEGAL_SUFFIX" if r[0] else "A_STRICT") for r in every)
+    assert +counts == wanted_counts
     assert tuple(got[0].asDict())[:-1] == plan.EVIDENCE + plan.WORKSHEET
     for row, key in zip(got, keys):
         assert row["candidate_id"] == hashlib.sha256("|".join(key).encode()).hexdigest()[:16]

@@ -473,15 +473,19 @@ def generate_candidates(spark, d):
     return made
 
 
-_PAIR_COLUMNS = """candidate_id, evidence_tier, campaign_name, public_record_name, public_record_source, public_record_code,
-  strict_campaign_key, strict_public_key, suffix_candidate_key, campaign_rows, public_record_rows, campaign_amount"""
+_COUNTS_SQL = """
+  SELECT s.source AS public_record_source, t.tier AS evidence_tier,
+    count(p.public_record_source) AS pairs
+  FROM (SELECT DISTINCT source FROM public_entities) s
+    CROSS JOIN (SELECT unnest(['A_STRICT', 'B_LEGAL_SUFFIX']) AS tier) t
+    LEFT JOIN pairs p ON p.public_record_source = s.source AND p.evidence_tier = t.tier
+  GROUP BY s.source, t.tier"""
 
 
-@query("candidate_pairs", with_views(f"SELECT {_PAIR_COLUMNS} FROM pairs", *_CANDIDATE_VIEWS, pairs=_PAIRS))
-def candidate_pairs(spark, d):
+@query("candidate_counts", with_views(_COUNTS_SQL, *_CANDIDATE_VIEWS, pairs=_PAIRS))
+def candidate_counts(spark, d):
     names = candidates.staged_names(T.campaign_source(spark, d), T.public_sources(spark, d))
-    pairs = candidates.candidate_pairs(*names).withColumn("campaign_amount", F.col("campaign_amount").cast("double"))
-    return pairs.select(*[c.strip() for c in _PAIR_COLUMNS.split(",")])
+    return candidates.candidate_counts(*names)
 
 
 @query(
