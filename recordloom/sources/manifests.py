@@ -140,7 +140,8 @@ def register_snapshots(
     observed = hashed.join(files.select("path", "modified"), "path")
     known = observed.withColumn("source", slug).join(sources, "source")
     artifact = F.concat(F.lit(f"data/{folder}/"), "dataset_id", F.lit("/"), "sha256", F.lit(suffix))
-    retrieved = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    utc = F.to_utc_timestamp("modified", F.current_timezone())
+    retrieved = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     return known.select(
         F.lit(1).cast("bigint").alias("manifest_version"),
         F.lit(operation).alias("operation"),
@@ -155,7 +156,7 @@ def register_snapshots(
             "sha256",
         ).alias("receipt"),
         F.concat_ws(
-            "-", F.date_format("modified", "yyyyMMdd'T'HHmmss'Z'"), F.lit(operation), "source",
+            "-", F.date_format(utc, "yyyyMMdd'T'HHmmss'Z'"), F.lit(operation), "source",
             F.substring("sha256", 1, 12),
         ).alias("manifest"),
         "path",
