@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.pii import REDACTED, pattern_hits
 from recordloom.functions.text import strip
 from recordloom.operators.checks import require_empty
-from recordloom.operators.schema import check_public_columns, public_projection
+from recordloom.operators.schema import check_public_columns
 from recordloom.sources.contracts import SourceContract
 from recordloom.session import stage
 from recordloom.sources.snapshot import ROW
@@ -123,8 +123,3 @@ def checked_fixture(df: DataFrame, contract: SourceContract, rows: int = 20, row
     require_empty(check_public(fixture, contract, row), f"{contract.slug}: fixture failed its scan")
     return fixture
 
-
-__all__ = [
-    "audit_source", "check_public", "checked_fixture", "finding_counts", "first_findings", "pii_scan",
-    "public_projection", "redact",
-]

@@ -2,9 +2,6 @@ import hashlib
 import json
 import os
 
-import pytest
-from pyspark.sql import functions as F
-
 from recordloom.plans import audit, cards, gates
 from recordloom.plans import candidates as plan
 from recordloom.sources import manifests as M

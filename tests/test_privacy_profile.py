@@ -2,14 +2,12 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
-
 from recordloom.operators import privacy, profile, schema
 from recordloom.operators.checks import GateError, require_empty
 from recordloom.sources import contracts as C
 from recordloom.sources.contracts import ContractError, SourceContract
 from recordloom.sources.inventory import INVENTORY
-from tests.test_functions import PY_PATTERNS, py_date
+from tests.test_functions import py_date
 
 CONTRACTS = INVENTORY.require("contracts")
 

@@ -989,7 +989,7 @@ def ragged_records(spark, d):
 
 
 @query(
-    "null_cells_public_projection",
+    "public_projection",
     with_views("SELECT order_id, customer_id, status, total, ordered, priority FROM orders_snapshot", "orders_snapshot"),
 )
 def public_projection(spark, d):
