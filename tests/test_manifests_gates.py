@@ -186,3 +186,19 @@ def test_incremental_landing(spark, tmp_path):
     assert registered.count() == 3 and registered.select("artifact").distinct().count() == 2
     assert len([p for p in root.rglob("*.csv")]) == 2
     assert M.verify_artifacts(spark, registered, str(root)).count() == 0
+
+
+def test_metadata_names_its_own_dataset(spark):
+    sources = contract_sources(spark, INVENTORY.values())
+    metadata = spark.createDataFrame(
+        [("contracts", "84ih-p28j"), ("echeckbook", "zzzz-zzzz"), ("purchase-orders", None)], "source string, id string"
+    )
+    found = {r["source"] for r in M.metadata_violations(metadata, sources).collect()}
+    assert found == {"echeckbook", "purchase-orders"}
+
+
+def test_fixture_scans(spark):
+    clean = spark.createDataFrame([(2, "EXAMPLE ORGANIZATION 0001")], "row_number bigint, lgl_nm string")
+    leaky = spark.createDataFrame([(2, "call (512) 555-0199")], "row_number bigint, doc_dscr string")
+    found = gates.fixture_violations({"echeckbook": clean, "contracts": leaky}, INVENTORY).collect()
+    assert [tuple(r) for r in found] == [("contracts", "doc_dscr", "phone", 1)]
