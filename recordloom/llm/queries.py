@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact_dedup, line_dedup, mixing
+from recordloom.llm import exact_dedup, line_dedup, mixing, quality_rules
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _words_sql() -> str:
+    lists = ", ".join(f"({code!r}, {listed!r})" for code, listed in quality_rules.COMMON_WORDS.items())
+    return f"(VALUES {lists}) AS common(lang, listed)"
+
+
 def query(sql: str | None = None):
     def register(function):
         QUERIES[function.__name__] = function
@@ -114,3 +119,62 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query(
+    r"""
+    WITH base AS MATERIALIZED (
+        SELECT doc_id, d.lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, listed
+        FROM documents d LEFT JOIN @WORDS@ ON d.lang = common.lang
+    ), windows AS (
+        SELECT doc_id, i, w[i + 1 : i + 5] AS content FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM base)
+    ), repeats AS (
+        SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (
+            SELECT doc_id, i + unnest(range(5)) AS place FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, content) > 1
+        ) GROUP BY doc_id
+    ), left_over AS (
+        SELECT *, regexp_replace(t, '\p{Ll}+', '', 'g') AS l1 FROM base
+    ), l2 AS (SELECT *, regexp_replace(l1, '[\x20\x09-\x0D]+', '', 'g') AS l2 FROM left_over
+    ), l3 AS (SELECT *, regexp_replace(l2, '\p{Lu}+', '', 'g') AS l3 FROM l2
+    ), l4 AS (SELECT *, regexp_replace(l3, '\p{L}+', '', 'g') AS l4 FROM l3
+    ), l5 AS (SELECT *, regexp_replace(l4, '\p{N}+', '', 'g') AS l5 FROM l4
+    ), l6 AS (SELECT *, regexp_replace(l5, '[.,;:?''"()-]+', '', 'g') AS l6 FROM l5
+    ), counts AS (
+        SELECT doc_id, lang, [length(t) - length(l1), length(l1) - length(l2), length(l2) - length(l3), length(l3) - length(l4),
+                length(l4) - length(l5), length(l5) - length(l6), length(l6)] AS chars,
+            list_transform(range(1, 21), lambda k: len(list_filter(w, lambda x: lower(x) = listed[k]))) AS found, len(w) AS n
+        FROM l6
+    ), bins AS (
+        SELECT doc_id, lang, 'chars' AS kind, unnest(range(1, 8)) AS k, unnest(chars) AS n FROM counts
+        UNION ALL
+        SELECT doc_id, c.lang, 'words', unnest(range(1, 22)), unnest(list_append(found, n - list_sum(found)))
+        FROM counts c JOIN @WORDS@ ON c.lang = common.lang
+    ), langs AS (
+        SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 200 >= (SELECT count(*) FROM documents)
+    ), refs AS (
+        SELECT lang, kind, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind)::DOUBLE AS q
+        FROM bins JOIN langs USING (lang) GROUP BY lang, kind, k
+    ), shares AS (
+        SELECT doc_id, lang, kind, k, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1)::DOUBLE AS p FROM bins
+    ), distances AS (
+        SELECT doc_id, kind, sqrt(greatest(sum(
+            CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0)) AS d
+        FROM shares JOIN refs USING (lang, kind, k) GROUP BY doc_id, kind
+    ), off AS (
+        SELECT doc_id, bool_or(kind = 'chars' AND d > 0.3 AND length(t) >= 200 OR kind = 'words' AND d > 0.27 AND len(w) >= 100) AS off
+        FROM distances JOIN base USING (doc_id) GROUP BY doc_id
+    ), judged AS (
+        SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+            len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed
+        FROM base LEFT JOIN repeats USING (doc_id)
+    )
+    SELECT j.*, NOT base_failed AND NOT coalesce(off, false) AS kept FROM judged j LEFT JOIN off USING (doc_id)
+    """.replace("@WORDS@", _words_sql())
+)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.score_quality(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
