@@ -62,3 +62,49 @@ def with_position(df: DataFrame, key: str, name: str) -> DataFrame:
         seen += n
     offsets = df.sparkSession.createDataFrame(starts, "_task long, _start long")
     return ranged.join(F.broadcast(offsets), "_task").withColumn(name, F.col("_start") + F.col("_n")).drop("_task", "_n", "_start")
+
+
+# --- labelled samples and texts in Python ------------------------------------------------------------
+
+#: A training text is whole up to PIECES * PIECE_CHARS code points; of a longer one, PIECES pieces from all over it.
+PIECES, PIECE_CHARS = 32, 1024
+#: Words are taken from texts in blocks of about so many code points, to bound the memory of a task.
+BLOCK_CHARS = 1 << 20
+
+
+def fold(doc_id: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], usable: Column) -> list[tuple[str, int]]:
+    """At most ``per_class`` (text, label) pairs of labels 0 and 1, those with the smallest hashed ids.
+
+    Only labels that meet ``usable`` (a condition on doc_id) are looked at. The chosen ids are at most
+    sum(per_class) rows, so they are broadcast; of rows that share an id one text is used.
+    """
+    known = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    order = F.xxhash64("doc_id")
+    chosen = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(n) for y, n in enumerate(per_class)]
+    last = F.expr(f"(length(text) - {PIECE_CHARS}) / {PIECES - 1}")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (i * last).cast("int") + 1, F.lit(PIECE_CHARS)))
+    text = F.when(F.length("text") <= PIECES * PIECE_CHARS, F.col("text")).otherwise(F.array_join(spread, "\n"))
+    rows = (
+        docs.select("doc_id", text_of("text").alias("text"))
+        .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min(text).alias("text"))
+        .collect()
+    )
+    return [(r["text"], int(r["label"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def word_blocks(text: str):
+    """The words of a text in lists, cut at white space after about BLOCK_CHARS code points."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + BLOCK_CHARS)
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end].split()
+        at = end
