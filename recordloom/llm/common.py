@@ -27,8 +27,8 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per ``key``; ``size``: its number of rows; ``total``: of all).
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``groups`` (one row per ``key``; ``size``: its number of rows; ``total``: of all).
 
     Hot groups would send a large share of the rows to one task. At most HOT_SHARE groups can be hot, so those are
     broadcast and their rows stay where they are; the other groups are small and take the ordinary join. Null keys
@@ -36,7 +36,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """
     hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total))
     cold = groups.where(F.col(size) * HOT_SHARE <= total)
-    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
     return rows.join(hot, key).unionByName(rest)
 
 
