@@ -44,6 +44,14 @@ IDENTIFIER_PARTS = frozenset({"cd", "code", "id", "key", "no", "number"})
 REDACTED = "[redacted]"
 
 
+#: Every pattern but the e-mail address needs a decimal digit, which most texts lack.
+_DIGIT = rf"{_D}"
+
+
+def has_digit(value: Column) -> Column:
+    return value.rlike(_DIGIT)
+
+
 def is_identifier_field(field: str) -> bool:
     """Digits in such a column are an identifier, not a phone number or SSN."""
     return not IDENTIFIER_PARTS.isdisjoint(field.split("_"))
@@ -64,7 +72,10 @@ def pattern_hits(value: Column, field: str = "") -> list[tuple[int, str, Column]
 
 
 def contains_pii(value: Column, field: str = "") -> Column:
-    found = F.lit(False)
-    for _, _, hit in pattern_hits(value, field):
-        found = found | hit
-    return found
+    email, numbered = F.lit(False), F.lit(False)
+    for _, kind, hit in pattern_hits(value, field):
+        if kind == "email":
+            email = email | hit
+        else:
+            numbered = numbered | hit
+    return email | (has_digit(value) & numbered)

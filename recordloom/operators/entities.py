@@ -65,13 +65,13 @@ def campaign_names(df: DataFrame, contract: SourceContract) -> DataFrame:
 
 
 def public_names(df: DataFrame, contract: SourceContract) -> DataFrame:
-    """Names of rows without a placeholder code, one row per raw (name, code)."""
+    """Names of rows without a placeholder code, one row per raw (name, code). A missing code cell counts as blank."""
     if not contract.name_field:
         raise GateError(f"{contract.slug}: no organization name field in the contract")
     contract.require_fields(
         df.columns, [contract.name_field, contract.code_field, contract.candidate_amount]
     )
-    code = strip(F.col(contract.code_field)) if contract.code_field else F.lit("")
+    code = strip(F.coalesce(F.col(contract.code_field), F.lit(""))) if contract.code_field else F.lit("")
     eligible = ~has_code_prefix(code, contract.code_prefixes)
     return _keyed(_name_counts(df, contract, code, eligible), contract)
 

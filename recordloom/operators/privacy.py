@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.pii import REDACTED, pattern_hits
+from recordloom.functions.pii import REDACTED, has_digit, pattern_hits
 from recordloom.functions.text import strip
 from recordloom.operators.checks import require_empty
 from recordloom.operators.schema import check_public_columns
@@ -16,6 +16,7 @@ from recordloom.session import stage
 from recordloom.sources.snapshot import ROW
 
 FINDING = ("row_number", "field", "kind", "preview")
+_FOUND = "struct<field: string, kind: string, field_position: int, pattern_position: int>"
 _FINDING_ORDER = ("row_number", "field_position", "pattern_position")
 
 # The texts a redacted fixture is filled with.
@@ -34,7 +35,7 @@ def pii_scan(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
     """
     flags: list[Column] = []
     for position, field in enumerate(fields):
-        value = F.col(field)
+        value, numbered = F.col(field), []
         for pattern, kind, hit in pattern_hits(value, field):
             finding = F.struct(
                 F.lit(field).alias("field"),
@@ -42,8 +43,12 @@ def pii_scan(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
                 F.lit(position).alias("field_position"),
                 F.lit(pattern).alias("pattern_position"),
             )
-            flags.append(F.when((value != "") & hit, finding))
-    found = df.select(F.col(row).alias(ROW), F.explode(F.array_compact(F.array(*flags))).alias("f"))
+            if kind == "email":
+                flags.append(F.array(F.when(hit, finding)))
+            else:
+                numbered.append(F.when(hit, finding))
+        flags.append(F.coalesce(F.when(has_digit(value), F.array(*numbered)), F.array(F.lit(None).cast(_FOUND))))
+    found = df.select(F.col(row).alias(ROW), F.explode(F.array_compact(F.concat(*flags))).alias("f"))
     return found.select(
         ROW, "f.field", "f.kind", F.lit(REDACTED).alias("preview"), "f.field_position", "f.pattern_position"
     )

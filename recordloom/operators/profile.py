@@ -9,6 +9,7 @@ from recordloom.functions.text import blank_to_null
 from recordloom.functions.values import is_suspicious, parse_date
 from recordloom.operators.limits import top_per_group
 from recordloom.operators.schema import CONFIGURED_ROLES
+from recordloom.session import stage
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.snapshot import FILE, ROW
 
@@ -50,13 +51,20 @@ def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def distinct_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, distinct); a field without any value has no row."""
-    return value_counts(df, fields).groupBy("field").agg(F.count("*").alias("distinct"))
+    return distinct_of(value_counts(df, fields))
+
+
+def distinct_of(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("field").agg(F.count("*").alias("distinct"))
 
 
 def top_values(df: DataFrame, fields: list[str], keep: int = TOP_VALUES) -> DataFrame:
     """(field, rank, value, n): most frequent values, ties by first appearance."""
+    return top_of(value_counts(df, fields), keep)
+
+
+def top_of(counted: DataFrame, keep: int = TOP_VALUES) -> DataFrame:
     order = [F.desc("n"), F.asc_nulls_last("first_row"), F.asc("value")]
-    counted = value_counts(df, fields)
     return top_per_group(counted, ["field"], order, keep).select("field", "rank", "value", "n")
 
 
@@ -66,7 +74,11 @@ def date_ranges(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     Chronological extremes in their source spelling; the first spelling wins among equal instants.
     Dates are parsed once per distinct value, not per row.
     """
-    dated = value_counts(df, fields).withColumn("at", parse_date(F.col("value")))
+    return ranges_of(value_counts(df, fields), as_of_year)
+
+
+def ranges_of(counted: DataFrame, as_of_year: int) -> DataFrame:
+    dated = counted.withColumn("at", parse_date(F.col("value")))
     valid = F.col("at").isNotNull()
     suspicious = is_suspicious(F.col("at"), as_of_year)
     first = F.struct("at", "first_row", "value")
@@ -81,10 +93,14 @@ def date_ranges(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
 
 def suspicious_examples(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     """(field, suspicious_date_examples): the first five distinct suspicious texts, sorted."""
+    return examples_of(value_counts(df, fields), as_of_year)
+
+
+def examples_of(counted: DataFrame, as_of_year: int) -> DataFrame:
     # A filter would move below the aggregation and parse every row; the generator parses each
     # distinct value once, where it stands.
     at = F.filter(F.array(parse_date(F.col("value"))), lambda t: is_suspicious(t, as_of_year))
-    suspicious = value_counts(df, fields).select("field", "value", "first_row", F.explode(at).alias("at"))
+    suspicious = counted.select("field", "value", "first_row", F.explode(at).alias("at"))
     order = [F.asc_nulls_last("first_row"), F.asc("value")]
     first = top_per_group(suspicious.drop("at"), ["field"], order, DATE_EXAMPLES)
     return first.groupBy("field").agg(
@@ -111,25 +127,39 @@ def row_floor(df: DataFrame, contract: SourceContract) -> DataFrame:
 
 
 def profile_fields(df: DataFrame, contract: SourceContract, as_of_year: int) -> DataFrame:
-    """One row per observed column.
+    """One row per observed column, from two scans of the snapshot.
 
-    Counts over all columns come from one aggregation; value statistics from the tracked columns
-    only, each read no more often than its role needs. The joined tables have a row per column.
+    One scan counts the values of the tracked columns; the counts are written once, and distinct values, top
+    values, dates and the nulls of tracked columns all come from them. The other counts records, and the nulls of the
+    remaining columns. The joined tables have a row per column.
     """
     observed = set(df.columns)
     tracked = [f for f in contract.tracked_fields if f in observed]
     categories = [f for f in contract.fields("category") if f in observed]
     dates = [f for f in contract.fields("date") if f in observed]
 
-    out = null_counts(df).withColumn(
-        "null_rate", F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows"))
+    columns = observed_columns(df)
+    plain = [c for c in columns if c not in tracked]
+    totals = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(blank_to_null(F.col(c)).isNull()).alias(f"n{columns.index(c)}") for c in plain],
     )
+    pairs = [
+        F.struct(F.lit(c).alias("field"), (F.col(f"n{i}") if c in plain else F.lit(None).cast("bigint")).alias("nulls"))
+        for i, c in enumerate(columns)
+    ]
+    out = totals.select("rows", F.inline(F.array(*pairs)))
     if tracked:
-        out = out.join(F.broadcast(distinct_counts(df, tracked)), "field", "left")
+        counted = stage(value_counts(df, tracked), "value_counts")
+        known = counted.groupBy("field").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
+        out = out.join(F.broadcast(known), "field", "left")
+        filled = F.when(F.col("field").isin(tracked), F.coalesce("filled", F.lit(0)))
+        out = out.withColumn("nulls", F.coalesce("nulls", F.col("rows") - filled)).drop("filled")
     else:
         out = out.withColumn("distinct", F.lit(None).cast("bigint"))
+    out = out.withColumn("null_rate", F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")))
     if categories:
-        ranked = top_values(df, categories).groupBy("field").agg(
+        ranked = top_of(counted.where(F.col("field").isin(categories))).groupBy("field").agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                 lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")),
@@ -139,8 +169,8 @@ def profile_fields(df: DataFrame, contract: SourceContract, as_of_year: int) ->
     else:
         out = out.withColumn("top_values", F.lit(None).cast("array<struct<value:string,n:bigint>>"))
     if dates:
-        ranges = date_ranges(df, dates, as_of_year)
-        examples = suspicious_examples(df, dates, as_of_year)
+        dated = counted.where(F.col("field").isin(dates))
+        ranges, examples = ranges_of(dated, as_of_year), examples_of(dated, as_of_year)
         out = out.join(F.broadcast(ranges), "field", "left")
         out = out.join(F.broadcast(examples), "field", "left")
     else:

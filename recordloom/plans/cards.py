@@ -31,6 +31,6 @@ def organization_card(
     typed = F.lower(strip(F.col(campaign.contract.type_field))).isin(types)
     coded = F.lit(True)
     if public.contract.code_field:
-        coded = strip(F.col(public.contract.code_field)) == code
+        coded = strip(F.coalesce(F.col(public.contract.code_field), F.lit(""))) == code
     left = _side(campaign, "campaign", campaign_names, typed)
     return left.unionByName(_side(public, "public", public_names, coded))

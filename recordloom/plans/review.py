@@ -12,6 +12,7 @@ from recordloom.functions.values import is_aware_timestamp, parse_date
 from recordloom.operators.checks import GateError, explode_rules, require_empty, require_rows
 from recordloom.operators.limits import STRICT, SUFFIX, later_occurrences
 from recordloom.plans.candidates import EVIDENCE, WORKSHEET
+from recordloom.session import stage
 from recordloom.sources.inventory import PUBLIC_SOURCES
 from recordloom.sources.snapshot import ROW
 
@@ -49,9 +50,8 @@ SUMMARY_FIELDS = (
 TOTAL_FIELDS = ("candidates", "reviewed", "unreviewed")
 GROUP_FIELDS = ("total", "reviewed", "decisions")
 
-# One digest covers this many lines (some 80 MB); larger sets are digested by id prefix.
-LEAF_ROWS = 1_000_000
-_FAN_OUT_DIGITS = 3
+# Hexadecimal digits of a key's hash that name its bucket in a set digest: 65,536 buckets.
+_BUCKET_DIGITS = 4
 
 
 def _check_candidate_columns(columns: list[str]) -> None:
@@ -236,30 +236,18 @@ def _digest(label: str, value: str) -> Column:
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
-def set_digest(
-    df: DataFrame, key: str, fingerprint: str, rows: int | None = None, leaf_rows: int = LEAF_ROWS
-) -> DataFrame:
-    """One row, ``set_sha256``: SHA-256 of the ``key:fingerprint`` lines in key order.
+def set_digest(df: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """One row, ``set_sha256``: a SHA-256 over the set of ``key:fingerprint`` lines, in two levels.
 
-    A digest over one long text cannot be split, so past ``leaf_rows`` lines it is taken per key
-    prefix (keys are hexadecimal and spread evenly) and then over the prefixes' digests, level by
-    level. Every group stays near ``leaf_rows`` lines or at most 4,096 prefixes. Repeated lines, which
-    a valid review does not have, count once, so none can fill a group.
+    A digest over one long text cannot be split. So the lines are dealt to 65,536 buckets by the first digits of
+    their key's SHA-256, whatever the keys look like; a bucket's digest covers its lines in key order, and the result
+    covers the ``bucket:digest`` lines in order. The definition is the same at every size. A repeated line, which a
+    valid review does not have, counts once. No lines give the digest of the empty text.
     """
-    df = df.select(key, fingerprint).distinct()
-    count = df.count() if rows is None else rows
-    digits = 0
-    while count > leaf_rows * 16**digits:
-        digits += 1
-    level = df.groupBy(F.substring(key, 1, digits).alias("prefix")).agg(
-        _digest(key, fingerprint).alias("digest")
-    )
-    while digits:
-        digits = max(digits - _FAN_OUT_DIGITS, 0)
-        level = level.groupBy(F.substring("prefix", 1, digits).alias("prefix_")).agg(
-            _digest("prefix", "digest").alias("digest")
-        ).withColumnRenamed("prefix_", "prefix")
-    return level.select(F.col("digest").alias("set_sha256"))
+    lines = df.select(key, fingerprint).distinct()
+    bucket = F.substring(F.sha2(F.col(key), 256), 1, _BUCKET_DIGITS)
+    buckets = lines.groupBy(bucket.alias("bucket")).agg(_digest(key, fingerprint).alias("digest"))
+    return buckets.groupBy().agg(_digest("bucket", "digest").alias("set_sha256"))
 
 
 def reviewed_through(review: DataFrame) -> DataFrame:
@@ -270,43 +258,63 @@ def reviewed_through(review: DataFrame) -> DataFrame:
     )
 
 
+_SUMMARIZED = (
+    "candidate_id", "candidate_fingerprint", "evidence_tier", "public_record_source", "review_status",
+    "same_organization", "review_reason", "reviewed_at",
+)
+
+
+def _as_map(names, value) -> Column:
+    return F.create_map(*[x for name in names for x in (F.lit(name), value(name))])
+
+
 def review_summary(review: DataFrame, provenance: str) -> DataFrame:
-    """The aggregate report as one nested row. It holds counts and digests only."""
+    """The aggregate report as one nested row. It holds counts and digests only.
+
+    A narrow copy of the review is written and read three times: for the overall counts, the groups and the digest.
+    Reasons and groups are those of the vocabularies, so the row is bounded even for an invalid review.
+    """
     if provenance not in PROVENANCES:
         raise GateError(f"review provenance must be one of: {', '.join(PROVENANCES)}")
-    totals, decisions = review_totals(review), decision_counts(review)
-    # Reasons and groups are as many as the vocabularies allow in a valid review.
-    reasons = reason_counts(review).groupBy().agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("review_reason", "rows")))).alias("m")
+    narrow = stage(review.select(*_SUMMARIZED), "summarized")
+    decision = strip(F.coalesce("same_organization", F.lit("")))
+    reason = strip(F.coalesce("review_reason", F.lit("")))
+    reasons = [r for listed in REASONS.values() for r in listed]
+    totals = narrow.groupBy().agg(
+        F.count("*").alias("candidates"),
+        F.count_distinct(F.when(_complete(), F.col("candidate_id"))).alias("reviewed"),
+        F.max(F.when(_complete(), F.col("reviewed_at"))).alias("reviewed_through"),
+        *[F.count_if(_complete() & (decision == d)).alias(f"decision_{d}") for d in DECISIONS],
+        *[F.count_if(_complete() & (reason == r)).alias(f"reason_{r}") for r in dict.fromkeys(reasons)],
     )
-    groups = group_report(review).select(
-        "dimension",
-        "group",
-        F.struct(
-            "total", "reviewed",
-            F.create_map(*[x for d in DECISIONS for x in (F.lit(d), F.col(d))]).alias("decisions"),
-        ).alias("report"),
+    counts = F.struct("total", "reviewed", _as_map(DECISIONS, F.col).alias("decisions"))
+    entry = F.struct(F.col("group"), counts.alias("report"))
+    known = {"evidence_tiers": (STRICT, SUFFIX), "public_record_sources": PUBLIC_SOURCES}
+    groups = group_report(narrow).groupBy().agg(
+        *[
+            F.map_from_entries(
+                F.collect_list(F.when((F.col("dimension") == name) & F.col("group").isin(*allowed), entry))
+            ).alias(name)
+            for name, allowed in known.items()
+        ]
     )
-
-    def report(dimension: str) -> Column:
-        entries = groups.where(F.col("dimension") == dimension)
-        return entries.groupBy().agg(
-            F.map_from_entries(F.collect_list(F.struct("group", "report"))).alias("m")
-        ).scalar()
-
-    digest = set_digest(review, "candidate_id", "candidate_fingerprint")
-    decided = decisions.select(F.create_map(*[x for d in DECISIONS for x in (F.lit(d), F.col(d))]).alias("m"))
-    return totals.select(
+    gathered = totals.select(
+        "*",
+        set_digest(narrow, "candidate_id", "candidate_fingerprint").scalar().alias("digest"),
+        groups.select(F.struct(*known)).scalar().alias("groups"),
+    )
+    given = F.map_filter(_as_map(dict.fromkeys(reasons), lambda r: F.col(f"reason_{r}")), lambda _, n: n > 0)
+    unreviewed = F.col("candidates") - F.col("reviewed")
+    return gathered.select(
         F.lit(SUMMARY_VERSION).cast("bigint").alias("review_summary_version"),
         F.lit(provenance).alias("review_provenance"),
-        digest.scalar().alias("candidate_set_sha256"),
-        "complete",
-        F.struct(*TOTAL_FIELDS).alias("totals"),
-        decided.scalar().alias("decisions"),
-        reasons.scalar().alias("review_reasons"),
-        report("evidence_tiers").alias("evidence_tiers"),
-        report("public_record_sources").alias("public_record_sources"),
-        reviewed_through(review).select("reviewed_through").scalar().alias("reviewed_through"),
+        F.col("digest").alias("candidate_set_sha256"),
+        (unreviewed == 0).alias("complete"),
+        F.struct("candidates", "reviewed", unreviewed.alias("unreviewed")).alias("totals"),
+        _as_map(DECISIONS, lambda d: F.col(f"decision_{d}")).alias("decisions"),
+        given.alias("review_reasons"),
+        *[F.col(f"groups.{name}").alias(name) for name in known],
+        "reviewed_through",
     )
 
 
@@ -322,28 +330,33 @@ def publish_summary(
     return review_summary(review, provenance)
 
 
-_COUNT = r"^\d{1,18}$"
 _MAP = "map<string,string>"
-_GROUP = f"struct<total:string,reviewed:string,decisions:{_MAP}>"
-# The document twice: once with the shapes its values are read in, once with every object as a flat map,
-# which is what tells its exact fields.
+# The document three times: with every value as text, for names and texts; with typed counts and flags, which read
+# quoted numbers, fractions and quoted booleans as null; and with every group as a flat map, which tells its fields.
+_COUNTS = "map<string,bigint>"
+_TYPED_GROUP = f"struct<total:bigint,reviewed:bigint,decisions:{_COUNTS}>"
+_TYPED = (
+    f"review_summary_version bigint, complete boolean, totals {_COUNTS}, decisions {_COUNTS}, review_reasons {_COUNTS}, "
+    f"evidence_tiers map<string,{_TYPED_GROUP}>, public_record_sources map<string,{_TYPED_GROUP}>"
+)
 _VALUES = (
     "review_summary_version string, review_provenance string, candidate_set_sha256 string, "
-    f"complete string, totals {_MAP}, decisions {_MAP}, review_reasons {_MAP}, "
-    f"evidence_tiers map<string,{_GROUP}>, public_record_sources map<string,{_GROUP}>, "
-    "reviewed_through string"
+    f"totals {_MAP}, decisions {_MAP}, review_reasons {_MAP}, reviewed_through string"
 )
 _KEYS = f"evidence_tiers map<string,{_MAP}>, public_record_sources map<string,{_MAP}>"
 
 
+def _is_count(value: Column) -> Column:
+    return F.coalesce((value >= 0) & (value < 10**18), F.lit(False))
+
+
 def _counts_ok(values: Column) -> Column:
-    return F.forall(F.map_values(values), lambda v: F.coalesce(v.rlike(_COUNT), F.lit(False)))
+    """Whole numbers of at most 18 digits, none of them missing; false if there is no such object."""
+    return F.coalesce(F.forall(F.map_values(values), _is_count), F.lit(False))
 
 
 def _count_sum(values: Column) -> Column:
-    return F.aggregate(
-        F.map_values(values), F.lit(0).cast("bigint"), lambda a, v: a + F.coalesce(v.try_cast("bigint"), F.lit(0))
-    )
+    return F.aggregate(F.map_values(values), F.lit(0).cast("bigint"), lambda a, v: a + F.coalesce(v, F.lit(0)))
 
 
 def _has_keys(found: Column, keys: tuple[str, ...]) -> Column:
@@ -353,11 +366,10 @@ def _has_keys(found: Column, keys: tuple[str, ...]) -> Column:
 
 def _group_ok(group: Column, keys: Column) -> Column:
     """One group: its exact fields, and counts that agree. ``keys`` is the same object as a flat map."""
-    total, reviewed = group["total"].try_cast("bigint"), group["reviewed"].try_cast("bigint")
-    decisions = group["decisions"]
+    total, reviewed, decisions = group["total"], group["reviewed"], group["decisions"]
     return F.coalesce(
         _has_keys(keys, GROUP_FIELDS) & _has_keys(decisions, DECISIONS)
-        & group["total"].rlike(_COUNT) & group["reviewed"].rlike(_COUNT) & _counts_ok(decisions)
+        & _is_count(total) & _is_count(reviewed) & _counts_ok(decisions)
         & (total >= 1) & (reviewed == total) & (_count_sum(decisions) == total),
         F.lit(False),
     )
@@ -366,15 +378,13 @@ def _group_ok(group: Column, keys: Column) -> Column:
 def _group_rules(
     groups: Column, keys: Column, allowed: tuple[str, ...], expected: Column, name: str
 ) -> list[tuple[str, Column]]:
-    known = F.forall(F.map_keys(groups), lambda k: k.isin(*allowed))
-    counted = F.forall(F.map_entries(groups), lambda e: _group_ok(e["value"], F.element_at(keys, e["key"])))
+    known = F.forall(F.map_keys(keys), lambda k: k.isin(*allowed))
+    counted = F.forall(F.map_entries(keys), lambda e: _group_ok(F.element_at(groups, e["key"]), e["value"]))
     totals = F.aggregate(
-        F.map_values(groups),
-        F.lit(0).cast("bigint"),
-        lambda a, group: a + F.coalesce(group["total"].try_cast("bigint"), F.lit(0)),
+        F.map_values(groups), F.lit(0).cast("bigint"), lambda a, group: a + F.coalesce(group["total"], F.lit(0))
     )
     return [
-        (f"{name}_groups", F.coalesce((F.size(groups) < 1) | ~known, F.lit(True))),
+        (f"{name}_groups", F.coalesce((F.size(keys) < 1) | ~known, F.lit(True))),
         (f"{name}_counts", ~F.coalesce(counted, F.lit(False))),
         (f"{name}_total", F.coalesce(totals != expected, F.lit(True))),
     ]
@@ -386,10 +396,13 @@ def summary_violations(summaries: DataFrame, key: str, text: str) -> DataFrame:
         key,
         F.array_sort(F.json_object_keys(text)).alias("fields"),
         F.from_json(text, _VALUES).alias("s"),
+        F.from_json(text, _TYPED).alias("t"),
         F.from_json(text, _KEYS).alias("k"),
     )
-    s = {name: F.col(f"s.{name}") for name in SUMMARY_FIELDS}
-    totals = {n: F.when(s["totals"][n].rlike(_COUNT), s["totals"][n].cast("bigint")) for n in TOTAL_FIELDS}
+    texts = ("review_provenance", "candidate_set_sha256", "totals", "decisions", "review_reasons", "reviewed_through")
+    s = {name: F.col(f"s.{name}") for name in texts}
+    t = {name: F.col(f"t.{name}") for name in ("totals", "decisions", "review_reasons", "evidence_tiers", "public_record_sources")}
+    totals = {n: F.when(_is_count(t["totals"][n]), t["totals"][n]) for n in TOTAL_FIELDS}
     reviewed = totals["reviewed"]
     every_reason = [reason for reasons in REASONS.values() for reason in reasons]
     reasons = s["review_reasons"]
@@ -399,17 +412,17 @@ def summary_violations(summaries: DataFrame, key: str, text: str) -> DataFrame:
 
     rules = [
         ("fields", unless(F.col("fields") == F.array(*[F.lit(f) for f in sorted(SUMMARY_FIELDS)]))),
-        ("version", unless(s["review_summary_version"] == str(SUMMARY_VERSION))),
+        ("version", unless(F.col("t.review_summary_version") == SUMMARY_VERSION)),
         ("provenance", unless(s["review_provenance"].isin(*PROVENANCES))),
         ("digest", unless(s["candidate_set_sha256"].rlike(SHA256_HEX))),
-        ("complete", unless(s["complete"] == "true")),
+        ("complete", unless(F.col("t.complete"))),
         ("total_fields", ~_has_keys(s["totals"], TOTAL_FIELDS)),
         (
             "totals",
             unless((totals["candidates"] >= 1) & (reviewed == totals["candidates"]) & (totals["unreviewed"] == 0)),
         ),
         ("decision_fields", ~_has_keys(s["decisions"], DECISIONS)),
-        ("decisions", unless(_counts_ok(s["decisions"]) & (_count_sum(s["decisions"]) == reviewed))),
+        ("decisions", unless(_counts_ok(t["decisions"]) & (_count_sum(t["decisions"]) == reviewed))),
         (
             "known_reasons",
             unless((F.size(reasons) > 0) & F.forall(F.map_keys(reasons), lambda k: k.isin(*every_reason))),
@@ -417,16 +430,16 @@ def summary_violations(summaries: DataFrame, key: str, text: str) -> DataFrame:
         (
             "reasons",
             unless(
-                _counts_ok(reasons)
-                & F.forall(F.map_values(reasons), lambda v: F.coalesce(v.try_cast("bigint") >= 1, F.lit(False)))
-                & (_count_sum(reasons) == reviewed)
+                _counts_ok(t["review_reasons"])
+                & F.forall(F.map_values(t["review_reasons"]), lambda v: F.coalesce(v >= 1, F.lit(False)))
+                & (_count_sum(t["review_reasons"]) == reviewed)
             ),
         ),
         *_group_rules(
-            s["evidence_tiers"], F.col("k.evidence_tiers"), (STRICT, SUFFIX), reviewed, "evidence_tiers"
+            t["evidence_tiers"], F.col("k.evidence_tiers"), (STRICT, SUFFIX), reviewed, "evidence_tiers"
         ),
         *_group_rules(
-            s["public_record_sources"], F.col("k.public_record_sources"), PUBLIC_SOURCES, reviewed,
+            t["public_record_sources"], F.col("k.public_record_sources"), PUBLIC_SOURCES, reviewed,
             "public_record_sources",
         ),
         ("reviewed_through", unless(is_aware_timestamp(s["reviewed_through"]))),

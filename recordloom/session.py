@@ -50,7 +50,8 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later readers get column pruning, pushed filters and true file sizes (so Spark's own broadcast
-    choice rests on a measured size), and a lost executor re-reads files instead of recomputing.
+    choice rests on a measured size), and a lost executor re-reads files instead of recomputing. ``release`` deletes
+    what was staged.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -58,6 +59,12 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application has staged. Frames read from them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once an application. Call it before Python functions run in tasks.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.session import ship_package
+
 ACQUIRE = "acquire-csv"
 FREEZE = "freeze-metadata"
 
@@ -21,7 +23,6 @@ MANIFEST_SCHEMA = (
 )
 HASH_SCHEMA = "path string, sha256 string, bytes bigint, header_line boolean"
 _CHUNK = 1 << 20
-_FIRST_LINE = 256 * 1024
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +55,30 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def list_empty_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
+    """(path, bytes, modified) of the files without content below ``root``, which Spark's readers pass over.
+
+    The folders directly below ``root`` are listed in the tasks, one by one.
+    """
+    from pyarrow import fs
+
+    base = root if "://" in root else "file://" + root.removeprefix("file:")
+    system, top = fs.FileSystem.from_uri(base.rstrip("/"))
+    scheme = base.partition("://")[0]
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                own, name = fs.FileSystem.from_uri(folder)
+                found = [f for f in own.get_file_info(fs.FileSelector(name, recursive=True)) if f.is_file and not f.size]
+                rows = [(f"{scheme}:{f.path}" if scheme == "file" else f.path, 0, f.mtime) for f in found if f.path.endswith(suffix)]
+                yield pd.DataFrame(rows, columns=["path", "bytes", "modified"]).astype({"bytes": "int64", "modified": "datetime64[ns, UTC]"})
+
+    folders = [f.path for f in system.get_file_info(fs.FileSelector(top)) if not f.is_file]
+    rows = spark.createDataFrame([(f"{scheme}://{folder}",) for folder in folders], "folder string")
+    return rows.repartition(max(1, len(folders))).mapInPandas(listed, "path string, bytes bigint, modified timestamp")
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -66,14 +91,16 @@ def _hash_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path in batch["path"]:
-            digest, size, head = hashlib.sha256(), 0, b""
+            digest, size, comma, header = hashlib.sha256(), 0, False, None
             with _open(path) as stream:
                 while chunk := stream.read(_CHUNK):
-                    head = head or chunk[:_FIRST_LINE]
                     digest.update(chunk)
                     size += len(chunk)
-            first, newline, _ = head.partition(b"\n")
-            rows.append((path, digest.hexdigest(), size, bool(newline) and b"," in first))
+                    if header is None:  # the first line may be longer than a chunk
+                        first, newline, _ = chunk.partition(b"\n")
+                        comma = comma or b"," in first
+                        header = comma if newline else None
+            rows.append((path, digest.hexdigest(), size, bool(header)))
         yield pd.DataFrame(rows, columns=["path", "sha256", "bytes", "header_line"])
 
 
@@ -81,11 +108,35 @@ def hash_files(files: DataFrame) -> DataFrame:
     """(path, sha256, bytes, header_line) of each listed file.
 
     Spark spreads the files by size over the tasks; a file is read in chunks, so its size does not
-    matter to memory. ``header_line`` tells whether its first line looks like a CSV header.
+    matter to memory. ``header_line`` tells whether its first line, however long, looks like a CSV header.
     """
+    ship_package(files.sparkSession)
     return files.select("path").mapInPandas(_hash_paths, HASH_SCHEMA)
 
 
+def write_files(contents: DataFrame, root: str) -> DataFrame:
+    """Write each (artifact, content) row as one file below ``root``, in the tasks; lists what was written.
+
+    A file appears under its name when it is complete, so a task that is run again starts over.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        base = root if "://" in root else "file://" + root.removeprefix("file:")
+        for batch in batches:
+            for artifact, content in zip(batch["artifact"], batch["content"]):
+                system, name = fs.FileSystem.from_uri(f"{base.rstrip('/')}/{artifact}")
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name + ".part") as sink:
+                    sink.write(content)
+                system.move(name + ".part", name)
+            yield batch[["artifact"]]
+
+    ship_package(contents.sparkSession)
+    return contents.select("artifact", "content").mapInPandas(write, "artifact string")
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Path below ``root`` of a file found by listing it."""
     bare = root.rstrip("/").removeprefix("file://").removeprefix("file:")
@@ -121,6 +172,26 @@ def snapshot_violations(hashed: DataFrame) -> DataFrame:
     return hashed.select("path", rule.alias("rule")).where(F.col("rule").isNotNull())
 
 
+def source_of(path: Column) -> Column:
+    """The source a landed file ``<landing>/<source>/<file>`` belongs to."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def landing_rejects(hashed: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, rule): landed files that cannot be registered. Every other file gets a manifest.
+
+    A file is reported once, under the first rule that it breaks: empty, no_csv_header or unknown_source.
+    """
+    known = sources.select(F.col("source").alias("_known")).distinct()
+    joined = hashed.join(known, source_of(F.col("path")) == F.col("_known"), "left")
+    rule = (
+        F.when(F.col("bytes") == 0, "empty")
+        .when(~F.col("header_line"), "no_csv_header")
+        .when(F.col("_known").isNull(), "unknown_source")
+    )
+    return joined.select("path", rule.alias("rule")).where(F.col("rule").isNotNull())
+
+
 def metadata_violations(metadata: DataFrame, sources: DataFrame) -> DataFrame:
     """Metadata documents (source, id) that name another dataset than their contract."""
     joined = metadata.join(sources, "source", "left")
@@ -133,12 +204,12 @@ def register_snapshots(
 ) -> DataFrame:
     """Manifest rows for landed files ``<landing>/<source>/<file>``, one per observed file.
 
-    The artifact is named by its content, so equal files share one.
+    The artifact is named by its content, so equal files share one. Files of unknown sources have no place to go;
+    ``landing_rejects`` reports them.
     """
     folder = "raw" if operation == ACQUIRE else "metadata"
-    slug = F.element_at(F.split("path", "/"), -2)
     observed = hashed.join(files.select("path", "modified"), "path")
-    known = observed.withColumn("source", slug).join(sources, "source")
+    known = observed.withColumn("source", source_of(F.col("path"))).join(sources, "source")
     artifact = F.concat(F.lit(f"data/{folder}/"), "dataset_id", F.lit("/"), "sha256", F.lit(suffix))
     utc = F.to_utc_timestamp("modified", F.current_timezone())
     retrieved = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
@@ -190,4 +261,23 @@ def _copier(root: str):
 
 def store_content(content: DataFrame, root: str) -> DataFrame:
     """Copy new content to its artifact path below ``root``, in the tasks; lists what was stored."""
+    ship_package(content.sparkSession)
     return content.select("artifact", "path").mapInPandas(_copier(root), "artifact string")
+
+
+def frozen_metadata_violations(spark: SparkSession, manifests: DataFrame, root: str, sources: DataFrame) -> DataFrame:
+    """(manifest, artifact, rule) for stored metadata documents below ``root``.
+
+    Rules: missing, integrity_mismatch (hash or byte count), and other_dataset (the document names another dataset
+    than its source's contract, or none). A document may break the last two.
+    """
+    frozen = manifests.where(F.col("operation") == FREEZE)
+    stored = hash_files(list_files(spark, root, "*.json")).select(
+        relative_path(F.col("path"), root).alias("artifact"), "sha256", "bytes"
+    )
+    reader = spark.read.schema("id string").options(multiLine="true", recursiveFileLookup="true", pathGlobFilter="*.json")
+    documents = reader.json(root).select(relative_path(F.col("_metadata.file_path"), root).alias("artifact"), "id")
+    named = frozen.select("manifest", "artifact", F.col("source_slug").alias("source")).join(documents, "artifact")
+    wrong = ~F.coalesce(F.col("id") == F.col("dataset_id"), F.lit(False))
+    other = named.join(sources.select("source", "dataset_id"), "source", "left").where(wrong)
+    return artifact_violations(frozen, stored).unionByName(other.select("manifest", "artifact", F.lit("other_dataset").alias("rule")))

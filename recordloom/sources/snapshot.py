@@ -42,7 +42,8 @@ def _raw(spark: SparkSession, path: str | Sequence[str], header: list[str], mult
     return (
         spark.read.options(**_options(multi_line), header="true", mode="PERMISSIVE")
         # The header of every file must equal the first one's; a reordered file fails the scan.
-        .options(enforceSchema="false", columnNameOfCorruptRecord=_CORRUPT)
+        # With pruned columns the parser would not notice records of another length.
+        .options(enforceSchema="false", columnNameOfCorruptRecord=_CORRUPT, columnPruning="false")
         .schema(T.StructType(fields))
         .csv(path)
     )

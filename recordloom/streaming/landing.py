@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from recordloom.session import stage
 from recordloom.sources import manifests as M
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def land_new_files(
-    spark: SparkSession, landing: str, root: str, manifest_table: str, sources: DataFrame, checkpoint: str
+    spark: SparkSession, landing: str, root: str, manifest_table: str, reject_table: str, sources: DataFrame, checkpoint: str
 ) -> StreamingQuery:
     """Register every file not seen before below ``<landing>/<source>/`` and store new content.
 
-    Each batch writes the manifests of its files to its own folder of the manifest table. A batch that
-    is run again after a failure replaces that folder and finds its content stored, so the outcome is
-    the same. Only names and sizes travel in the stream; contents are read by the hashing tasks.
+    Each batch writes the manifests of its files to its own folder of the manifest table, and the files that it
+    cannot register, with the reason, to one of the reject table: every landed file is in one of the two. A batch
+    that is run again after a failure replaces its folders and finds its content stored, so the outcome is the same. Only names and sizes travel in the stream; contents are read by the hashing tasks.
     """
 
     def register(batch: DataFrame, batch_id: int) -> None:
         files = batch.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-        hashed = M.hash_files(files)
+        hashed = stage(M.hash_files(files), "landed")
+        # Files without content never enter the stream; every batch reports those that lie in the folder.
+        empty = M.hash_files(M.list_empty_files(spark, landing, ".csv"))
+        M.landing_rejects(hashed.unionByName(empty), sources).write.mode("overwrite").parquet(f"{reject_table}/batch={batch_id}")
         registered = M.register_snapshots(hashed.where(F.col("header_line")), files, sources)
         folder = f"{manifest_table}/batch={batch_id}"
         registered.write.mode("overwrite").parquet(folder)

@@ -44,7 +44,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     rows = [tuple(r) for r in df.collect()]
     spent = time.time() - start
     if name not in ORACLE:
-        return True, f"{len(rows)} rows, no SQL, {spent:.1f}s"
+        return False, f"{len(rows)} rows, no SQL, {spent:.1f}s"
     result = con.execute(ORACLE[name])
     columns = [c[0] for c in result.description]
     want = result.fetchall()

@@ -15,7 +15,7 @@ from recordloom.session import shared_dir, stage
 from recordloom.sources import manifests as M
 from recordloom.sources import snapshot
 from recordloom.sources.contracts import SourceContract
-from recordloom.sources.inventory import INVENTORY
+from recordloom.sources.inventory import INVENTORY, PUBLIC_SOURCES
 from workload import tables as T
 from workload.tables import sql_case, sql_date, sql_money, sql_strict, sql_suffix, table, with_views
 
@@ -335,13 +335,16 @@ def profile_orders(spark, d):
 # --- entities and candidates ----------------------------------------------------------------------
 
 _ENTITY_SQL = """SELECT source, strict_key, suffix_key, code, CAST(rows AS BIGINT) AS rows,
-  CAST(amount AS DOUBLE) AS amount, display_name, names FROM {}"""
+  CAST(amount AS DOUBLE) AS amount, display_name, spellings, first_name, last_name FROM {}"""
 
 
 def _entity_rows(names: DataFrame) -> DataFrame:
-    both = entities.entities(names).join(entities.name_lists(names), ["source", "strict_key", "code"])
-    return both.select(
-        "source", "strict_key", "suffix_key", "code", "rows", double("amount"), "display_name", joined("names")
+    spellings = names.groupBy("source", "strict_key", "code").agg(
+        F.count_distinct("name").alias("spellings"), F.min("name").alias("first_name"), F.max("name").alias("last_name")
+    )
+    return entities.entities(names).join(spellings, ["source", "strict_key", "code"]).select(
+        "source", "strict_key", "suffix_key", "code", "rows", double("amount"), "display_name",
+        "spellings", "first_name", "last_name",
     )
 
 
@@ -980,12 +983,10 @@ def ragged_records(spark, d):
     record = F.when(key % 5 == 3, F.concat(cells, F.lit(",extra"))).when(
         key % 5 == 2, F.concat_ws(",", key, "o_custkey")
     ).otherwise(cells)
-    # Each file starts with its header line.
-    lines = table(spark, d, "orders").select(record.alias("value"))
-    lines.coalesce(1).write.option("lineSep", "\n").text(path + "-lines")
-    header = spark.range(1).select(F.lit("order,customer,status").alias("value"))
-    header.unionByName(spark.read.text(path + "-lines")).coalesce(1).write.text(path)
-    return snapshot.ragged_records(spark, path).groupBy("kind").agg(F.count("*").alias("records"))
+    # Whole lines as cells of a file whose own separator does not occur: every task's file starts with the header line.
+    lines = table(spark, d, "orders").select(record.alias("order,customer,status"))
+    lines.write.csv(path, header=True, sep="\x01", quote="", escapeQuotes=False)
+    return snapshot.ragged_records(spark, path, multi_line=False).groupBy("kind").agg(F.count("*").alias("records"))
 
 
 @query(
@@ -1120,26 +1121,148 @@ def artifact_violations(spark, d):
     return M.artifact_violations(manifests, stored)
 
 
-@query("verify_artifacts")
+# One stored file for each document. Some are missing, some have changed since their manifest was written.
+
+def _stored_documents(spark, d) -> tuple[str, DataFrame]:
+    """The folder of the files, and the documents with their artifact names."""
+    root = _new_folder(spark, "artifacts")
+    docs = table(spark, d, "documents").select(
+        "doc_id", "text", F.concat(F.lit("data/raw/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("artifact")
+    )
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    kept = docs.where(F.col("doc_id") % 11 != 0).select("artifact", content.cast("binary").alias("content"))
+    M.write_files(kept, root).write.format("noop").mode("overwrite").save()
+    return root, docs
+
+
+_SQL_FILES = """SELECT 'data/raw/' || source || '/' || doc_id || '.txt' AS artifact, doc_id, text,
+  CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS content FROM documents"""
+
+
+@query(
+    "hash_files",
+    f"""SELECT artifact, sha256(content) AS sha256, CAST(octet_length(encode(content)) AS BIGINT) AS bytes,
+          strpos(content, chr(10)) > 0 AND strpos(split_part(content, chr(10), 1), ',') > 0 AS header_line
+        FROM ({_SQL_FILES}) WHERE doc_id % 11 <> 0""",
+)
+def hash_files(spark, d):
+    root, _ = _stored_documents(spark, d)
+    hashed = M.hash_files(M.list_files(spark, root))
+    return hashed.select(M.relative_path(F.col("path"), root).alias("artifact"), "sha256", "bytes", "header_line")
+
+
+@query(
+    "verify_artifacts",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS manifest, artifact,
+          CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'integrity_mismatch' END AS rule FROM ({_SQL_FILES})
+        WHERE doc_id % 11 = 0 OR sha256(content) <> sha256(text)""",
+)
 def verify_artifacts(spark, d):
-    """Re-hash the table files themselves against manifests that claim what a first pass found."""
-    files = M.hash_files(M.list_files(spark, d, "*.parquet"))
-    artifact = M.relative_path(F.col("path"), d)
-    claimed = files.select(
-        artifact.alias("manifest"), artifact.alias("artifact"),
-        F.struct(F.col("bytes"), F.col("sha256")).alias("receipt"),
+    root, docs = _stored_documents(spark, d)
+    receipt = F.struct(F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    manifests = docs.select(F.col("doc_id").cast("string").alias("manifest"), "artifact", receipt.alias("receipt"))
+    return M.verify_artifacts(spark, manifests, root)
+
+
+# One landed file for each document, below its source. One source is unknown; some files are empty or have no header.
+_SQL_LANDED = """SELECT *, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'no header' WHEN 2 THEN 'id,note' || chr(10)
+  ELSE repeat('x', 300) || ',lang' || chr(10) || doc_id || ',' || lang || chr(10) END AS content FROM documents"""
+_UNKNOWN = "src3"
+
+
+def _landed(spark, d) -> tuple[str, DataFrame]:
+    landing, case = _new_folder(spark, "landing"), F.col("doc_id") % 5
+    content = (
+        F.when(case == 0, "").when(case == 1, "no header").when(case == 2, "id,note\n")
+        .otherwise(F.concat(F.lit("x" * 300 + ",lang\n"), "doc_id", F.lit(","), "lang", F.lit("\n")))
     )
-    return M.verify_artifacts(spark, stage(claimed, "claimed"), d)
+    files = table(spark, d, "documents").select(
+        F.concat("source", F.lit("/"), "doc_id", F.lit(".csv")).alias("artifact"), content.cast("binary").alias("content")
+    )
+    M.write_files(files, landing).write.format("noop").mode("overwrite").save()
+    known = table(spark, d, "documents").where(F.col("source") != _UNKNOWN).select("source").distinct()
+    return landing, known.withColumn("dataset_id", F.concat(F.lit("ds-"), "source"))
 
 
-@query("register_snapshots")
+@query(
+    "register_snapshots",
+    f"""SELECT source || '/' || doc_id || '.csv' AS file, 'acquire-csv' AS operation, source AS source_slug, 'ds-' || source AS dataset_id,
+          'data/raw/ds-' || source || '/' || sha256(content) || '.csv' AS artifact, CAST(length(content) AS BIGINT) AS bytes,
+          sha256(content) AS sha256
+        FROM ({_SQL_LANDED}) WHERE doc_id % 5 > 1 AND source <> '{_UNKNOWN}'""",
+)
 def register_snapshots(spark, d):
-    """Manifest rows for the table files; their folder is the source."""
-    slug = d.rstrip("/").rpartition("/")[2]
-    files = M.list_files(spark, d, "*.parquet")
-    sources = spark.createDataFrame([(slug, f"ds-{slug}", 0)], "source string, dataset_id string, expected_minimum_rows bigint")
-    registered = M.register_snapshots(M.hash_files(files), files, sources, suffix=".parquet")
-    return registered.select("manifest", "operation", "source_slug", "dataset_id", "artifact", "receipt.bytes", "receipt.sha256")
+    landing, sources = _landed(spark, d)
+    files = M.list_files(spark, landing, "*.csv")
+    registered = M.register_snapshots(M.hash_files(files).where("header_line"), files, sources)
+    return registered.select(
+        M.relative_path(F.col("path"), landing).alias("file"), "operation", "source_slug", "dataset_id", "artifact",
+        "receipt.bytes", "receipt.sha256",
+    )
+
+
+@query(
+    "landing_rejects",
+    f"""SELECT source || '/' || doc_id || '.csv' AS file,
+          CASE WHEN doc_id % 5 = 0 THEN 'empty' WHEN doc_id % 5 = 1 THEN 'no_csv_header' ELSE 'unknown_source' END AS rule
+        FROM documents WHERE doc_id % 5 < 2 OR source = '{_UNKNOWN}'""",
+)
+def landing_rejects(spark, d):
+    landing, sources = _landed(spark, d)
+    files = M.list_files(spark, landing, "*.csv").unionByName(M.list_empty_files(spark, landing, ".csv"))
+    rejects = M.landing_rejects(M.hash_files(files), sources)
+    return rejects.select(M.relative_path(F.col("path"), landing).alias("file"), "rule")
+
+
+@query(
+    "snapshot_violations",
+    """SELECT source || '/' || doc_id || '.csv' AS file, CASE doc_id % 5 WHEN 0 THEN 'empty' ELSE 'no_csv_header' END AS rule
+       FROM documents WHERE doc_id % 5 < 2""",
+)
+def snapshot_violations(spark, d):
+    landing, _ = _landed(spark, d)
+    files = M.list_files(spark, landing, "*.csv").unionByName(M.list_empty_files(spark, landing, ".csv"))
+    found = M.snapshot_violations(M.hash_files(files))
+    return found.select(M.relative_path(F.col("path"), landing).alias("file"), "rule")
+
+
+# Frozen metadata: one document for each order, kept for its customer's dataset.
+_SQL_FROZEN = """SELECT o_orderkey, 'user' || o_custkey AS source, 'data/metadata/ds-' || o_custkey || '/' || o_orderkey || '.json' AS artifact,
+  '{"id":"' || CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE 'ds-' || o_custkey END || '","name":"n' || o_orderkey || '"}' AS content FROM orders
+  WHERE o_custkey % 10 = 0"""
+
+
+@query(
+    "frozen_metadata_violations",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS manifest, artifact, rule FROM (
+          SELECT *, unnest(CASE WHEN o_orderkey % 7 = 0 THEN ['missing'] WHEN o_orderkey % 5 = 0 AND o_orderkey % 13 = 0
+            THEN ['integrity_mismatch', 'other_dataset'] WHEN o_orderkey % 5 = 0 THEN ['integrity_mismatch']
+            WHEN o_orderkey % 13 = 0 THEN ['other_dataset'] ELSE [] END) AS rule FROM ({_SQL_FROZEN}))""",
+)
+def frozen_metadata_violations(spark, d):
+    root, key = _new_folder(spark, "frozen"), F.col("o_orderkey")
+    orders = table(spark, d, "orders").where("o_custkey % 10 = 0").select(
+        "o_orderkey", F.concat(F.lit("user"), "o_custkey").alias("source_slug"),
+        F.concat(F.lit("data/metadata/ds-"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".json")).alias("artifact"),
+        F.to_json(
+            F.struct(
+                F.when(key % 13 == 0, "other").otherwise(F.concat(F.lit("ds-"), "o_custkey")).alias("id"),
+                F.concat(F.lit("n"), "o_orderkey").alias("name"),
+            )
+        ).alias("content"),
+    )
+    M.write_files(orders.where(key % 7 != 0).select("artifact", F.col("content").cast("binary").alias("content")), root).write.format(
+        "noop"
+    ).mode("overwrite").save()
+    size = F.octet_length("content") + F.when(key % 5 == 0, 1).otherwise(0)
+    manifests = orders.select(
+        key.cast("string").alias("manifest"), F.lit(M.FREEZE).alias("operation"), "source_slug", "artifact",
+        F.struct(size.cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256")).alias("receipt"),
+    )
+    sources = orders.select(F.col("source_slug").alias("source")).distinct().withColumn(
+        "dataset_id", F.concat(F.lit("ds-"), F.substring("source", 5, 20))
+    )
+    return M.frozen_metadata_violations(spark, manifests, root, sources)
 
 
 # Orders are profile headers: one per order, of the customer's source.
@@ -1263,7 +1386,13 @@ def _doc_fp(spark, d):
     )
 
 
-@query("set_digest", f"SELECT sha256(string_agg(id || ':' || fp, chr(10) ORDER BY id)) AS set_sha256 FROM ({_SQL_DOC_FP})")
+def _sql_set_digest(key: str, fingerprint: str, relation: str) -> str:
+    return f"""SELECT sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS set_sha256 FROM (
+      SELECT substr(sha256(k), 1, 4) AS bucket, sha256(string_agg(k || ':' || f, chr(10) ORDER BY k, f)) AS digest
+      FROM (SELECT DISTINCT {key} AS k, {fingerprint} AS f FROM {relation}) GROUP BY 1)"""
+
+
+@query("set_digest", _sql_set_digest("id", "fp", f"({_SQL_DOC_FP})"))
 def set_digest(spark, d):
     return review.set_digest(_doc_fp(spark, d), "id", "fp")
 
@@ -1482,21 +1611,25 @@ def reviewed_through(spark, d):
     return review.reviewed_through(_review(spark, d)).select("reviewed_through")
 
 
-_LINES = """(SELECT string_agg(candidate_id || ':' || candidate_fingerprint, chr(10) ORDER BY candidate_id, candidate_fingerprint)
-  FROM (SELECT DISTINCT candidate_id, candidate_fingerprint FROM review))"""
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
 @query(
     "review_summary",
     with_views(
-        f"""SELECT CAST(1 AS BIGINT) AS review_summary_version, 'HUMAN' AS review_provenance, sha256({_LINES}) AS candidate_set_sha256,
+        f"""SELECT CAST(1 AS BIGINT) AS review_summary_version, 'HUMAN' AS review_provenance,
+              ({_sql_set_digest("candidate_id", "candidate_fingerprint", "review")}) AS candidate_set_sha256,
               count(*) AS candidates, count(*) FILTER ({_DONE} AND {_DECISION} = 'YES') AS yes,
               (SELECT string_agg(review_reason || '=' || n, ' | ' ORDER BY review_reason) FROM
-                (SELECT review_reason, count(*) AS n FROM review WHERE {_DONE} GROUP BY 1)) AS reasons,
+                (SELECT review_reason, count(*) AS n FROM review WHERE {_DONE}
+                   AND review_reason IN ({_listed(r for rs in review.REASONS.values() for r in rs)}) GROUP BY 1)) AS reasons,
               (SELECT string_agg(evidence_tier || '=' || n, ' | ' ORDER BY evidence_tier) FROM
-                (SELECT evidence_tier, count(*) AS n FROM review GROUP BY 1)) AS tiers,
+                (SELECT evidence_tier, count(*) || '/' || count(*) FILTER ({_DONE} AND {_DECISION} = 'NO') AS n FROM review
+                   WHERE evidence_tier IN ({_listed((limits.STRICT, limits.SUFFIX))}) GROUP BY 1)) AS tiers,
               (SELECT string_agg(public_record_source || '=' || n, ' | ' ORDER BY public_record_source) FROM
-                (SELECT public_record_source, count(*) FILTER ({_DONE}) AS n FROM review GROUP BY 1)) AS sources,
+                (SELECT public_record_source, count(*) FILTER ({_DONE}) || '/' || count(*) FILTER ({_DONE} AND {_DECISION} = 'NO') AS n
+                   FROM review WHERE public_record_source IN ({_listed(PUBLIC_SOURCES)}) GROUP BY 1)) AS sources,
               max(reviewed_at) FILTER ({_DONE}) AS reviewed_through
             FROM review""",
         **_REVIEW_SQL,
@@ -1511,7 +1644,8 @@ def review_summary(spark, d):
 
     def keyed(name: str, field: str) -> Column:
         keys = F.array_sort(F.map_keys(name))
-        return F.array_join(F.transform(keys, lambda k: F.concat_ws("=", k, F.col(name)[k][field])), SEPARATOR)
+        group = lambda k: F.concat_ws("/", F.col(name)[k][field], F.col(name)[k]["decisions"]["NO"])
+        return F.array_join(F.transform(keys, lambda k: F.concat_ws("=", k, group(k))), SEPARATOR)
 
     return one.select(
         "review_summary_version", "review_provenance", "candidate_set_sha256",

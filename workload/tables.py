@@ -18,11 +18,7 @@ from recordloom.sources.snapshot import ROW
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Each is one file with one row group, which one task would read and then work on
-    alone; with fewer files than cores the rows are spread first. Larger tables are left as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def money(value: Column) -> Column:
@@ -95,9 +91,10 @@ def echeckbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every seventh record lacks its code cell.
     return table(spark, sf_dir, "customer").select(
         F.concat("c_name", F.lit(" Co.")).alias("lgl_nm"),
-        F.concat(F.lit("V"), F.col("c_nationkey")).alias("vend_cust_cd"),
+        F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("V"), F.col("c_nationkey"))).alias("vend_cust_cd"),
     )
 
 
@@ -237,6 +234,7 @@ def conversations_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL ------------------------------------------------------------------------------------------
 
+# The legal suffixes and the personal-data patterns in the dialect of the SQL engine.
 SUFFIX_WORDS = "ASSN|ASSOCIATION|CO|COMPANY|CORP|CORPORATION|INC|INCORPORATED|LC|LLC|LLP|LP|LTD|LIMITED|PA|PC|PLLC"
 
 
@@ -326,7 +324,8 @@ def sql_names(source: str, name: str, code: str, amount: str, where: str, relati
 _ENTITY = """
   SELECT source, strict_key, suffix_key, code, sum(rows) AS rows, sum(amount) AS amount,
     first(name ORDER BY rows DESC, lower(name), name) AS display_name,
-    string_agg(name, ' | ' ORDER BY name) AS names, list(name ORDER BY name) AS name_list
+    string_agg(name, ' | ' ORDER BY name) AS names, list(name ORDER BY name) AS name_list,
+    count(DISTINCT name) AS spellings, min(name) AS first_name, max(name) AS last_name
   FROM {names} GROUP BY source, strict_key, suffix_key, code"""
 
 _DATE_SPELLINGS = sql_case(
@@ -370,7 +369,7 @@ VIEWS = {
         CASE WHEN l_suppkey % 10 = 0 THEN 'mis' || l_suppkey ELSE 'V' || c_nationkey END AS vend_cust_cd,
         {sql_money("l_extendedprice")} AS amount
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
-    "contracts": "SELECT c_name || ' Co.' AS lgl_nm, 'V' || c_nationkey AS vend_cust_cd FROM customer",
+    "contracts": "SELECT c_name || ' Co.' AS lgl_nm, CASE WHEN c_custkey % 7 <> 0 THEN 'V' || c_nationkey END AS vend_cust_cd FROM customer",
     "purchase_orders": f"""
       SELECT upper(p_name) || CASE p_partkey % 5 WHEN 0 THEN ', Inc.' WHEN 1 THEN ', L.L.C.' ELSE '' END AS lgl_nm,
         p_brand AS vendor_code, {sql_money("l_extendedprice")} AS itm_tot_am
@@ -381,10 +380,10 @@ VIEWS = {
     ),
     "public_names": " UNION ALL ".join(
         (
-            sql_names("echeckbook", "lgl_nm", "trim(vend_cust_cd)", sql_amount("amount"),
-                      "NOT starts_with(upper(trim(vend_cust_cd)), 'MIS')", "echeckbook"),
-            sql_names("contracts", "lgl_nm", "trim(vend_cust_cd)", "CAST(0 AS DECIMAL(38,6))",
-                      "NOT starts_with(upper(trim(vend_cust_cd)), 'MIS')", "contracts"),
+            sql_names("echeckbook", "lgl_nm", "coalesce(trim(vend_cust_cd), '')", sql_amount("amount"),
+                      "NOT starts_with(upper(coalesce(trim(vend_cust_cd), '')), 'MIS')", "echeckbook"),
+            sql_names("contracts", "lgl_nm", "coalesce(trim(vend_cust_cd), '')", "CAST(0 AS DECIMAL(38,6))",
+                      "NOT starts_with(upper(coalesce(trim(vend_cust_cd), '')), 'MIS')", "contracts"),
             sql_names("purchase-orders", "lgl_nm", "trim(vendor_code)", sql_amount("itm_tot_am"),
                       "NOT starts_with(upper(trim(vendor_code)), 'BRAND#1')", "purchase_orders"),
         )
