@@ -14,7 +14,7 @@ from dataclasses import replace
 
 from recordloom.operators import privacy, profile
 from recordloom.plans import audit, candidates, review
-from recordloom.session import build_session, stage
+from recordloom.session import build_session, release, stage
 from workload import queries as Q
 from workload import tables as T
 
@@ -98,6 +98,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

@@ -12,9 +12,10 @@ from recordloom.operators.checks import GateError
 from recordloom.operators.entities import campaign_names, entities, keys_per_suffix, public_names
 from recordloom.operators.limits import later_occurrences, stratified_limit, top_per_group
 from recordloom.plans import candidates as plan
+from recordloom.plans.cards import organization_card
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.inventory import INVENTORY
-from tests.test_functions import py_strict, py_suffix
+from tests.test_functions import name_words, without_suffixes
 
 CAMPAIGN = INVENTORY.require("campaign-contributions")
 CHECKS = INVENTORY.require("echeckbook")
@@ -85,12 +86,12 @@ def brute_force(campaign, public, limit):
     """Every pair, ranked and cut in plain Python."""
     left = defaultdict(Counter)
     for name, kind, _ in campaign:
-        if kind == "ENTITY" and py_strict(name):
-            left[py_strict(name)][name] += 1
+        if kind == "ENTITY" and " ".join(name_words(name)):
+            left[" ".join(name_words(name))][name] += 1
     right = defaultdict(Counter)
     for slug, name, code in public:
-        if py_strict(name) and not code.startswith("MIS"):
-            right[(py_strict(name), slug, code)][name] += 1
+        if " ".join(name_words(name)) and not code.startswith("MIS"):
+            right[(" ".join(name_words(name)), slug, code)][name] += 1
 
     def display(names):
         return min(names, key=lambda n: (-names[n], n.lower(), n))
@@ -98,8 +99,8 @@ def brute_force(campaign, public, limit):
     rows = []
     for ckey, cnames in left.items():
         for (pkey, slug, code), pnames in right.items():
-            suffix = py_suffix(pkey)
-            if ckey != pkey and (not suffix or py_suffix(ckey) != suffix):
+            suffix = " ".join(without_suffixes(name_words(pkey)))
+            if ckey != pkey and (not suffix or " ".join(without_suffixes(name_words(ckey))) != suffix):
                 continue
             order = (
                 ckey != pkey, -sum(cnames.values()), -sum(pnames.values()),
@@ -161,9 +162,9 @@ def test_limited_candidates_equal_brute_force(spark, seed, limit):
         assert row["candidate_id"] == hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
         suffix = row["suffix_candidate_key"]
         assert row["campaign_keys_for_suffix"] == (
-            len({py_strict(n) for n, k, _ in campaign if k == "ENTITY" and py_suffix(n) == suffix}) if suffix else 0
+            len({" ".join(name_words(n)) for n, k, _ in campaign if k == "ENTITY" and " ".join(without_suffixes(name_words(n))) == suffix}) if suffix else 0
         )
-        spellings = sorted({n for n, k, _ in campaign if k == "ENTITY" and py_strict(n) == key[0]})
+        spellings = sorted({n for n, k, _ in campaign if k == "ENTITY" and " ".join(name_words(n)) == key[0]})
         assert row["campaign_names_aggregated"] == " | ".join(spellings)
         assert (row["public_record_amount"] is None) == (key[2] == "contracts")
     text = plan.as_text(plan.generate_candidates(left, sources, limit, names))
@@ -217,3 +218,20 @@ def test_top_per_group(spark, threshold):
         rows = sorted((i for i in range(300) if ("hot" if i % 3 else f"k{i % 6}") == key), reverse=True)[:5]
         want |= {(key, n, r + 1) for r, n in enumerate(rows)}
     assert got == want
+
+
+def test_missing_code_cells_count_as_blank(spark):
+    rows = [("Mill Board", None, "5"), ("Mill Board", "", "7"), ("Mill Board", "  ", "1"), ("Mill Board", "V2", "2")]
+    found = {(r["code"], r["rows"], r["amount"]) for r in entities(public_names(checks_df(spark, rows), CHECKS)).collect()}
+    assert found == {("", 3, Decimal(13)), ("V2", 1, Decimal(2))}
+    source = plan.Source(checks_df(spark, rows), CHECKS)
+    campaign = plan.Source(campaign_df(spark, [("Mill Board", "ENTITY", "9")]), CAMPAIGN)
+    card = {r["side"]: r["rows"] for r in organization_card(campaign, source, ["Mill Board"], ["Mill Board"], "").collect()}
+    assert card == {"campaign": 1, "public": 3}
+
+
+@pytest.mark.parametrize("keep", [999, 1000, 1001])
+def test_top_per_group_around_the_threshold(spark, keep):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("n"))
+    got = {(r["k"], r["n"], r["rank"]) for r in top_per_group(df, ["k"], [F.desc("n")], keep).collect()}
+    assert got == {(k, 2999 - (1 - k) - 2 * i, i + 1) for k in (0, 1) for i in range(keep)}

@@ -170,12 +170,13 @@ def test_incremental_landing(spark, tmp_path):
     from recordloom.streaming.landing import land_new_files
 
     landing, root, table = tmp_path / "in", tmp_path / "root", str(tmp_path / "manifests")
+    rejects = str(tmp_path / "rejects")
     (landing / "contracts").mkdir(parents=True)
     root.mkdir()
     sources = contract_sources(spark, INVENTORY.values())
 
     def run():
-        land_new_files(spark, str(landing), str(root), table, sources, str(tmp_path / "checkpoint")).awaitTermination()
+        land_new_files(spark, str(landing), str(root), table, rejects, sources, str(tmp_path / "checkpoint")).awaitTermination()
         return spark.read.parquet(table)
 
     (landing / "contracts" / "a.csv").write_bytes(b"a,b\n1,2\n")
@@ -186,6 +187,14 @@ def test_incremental_landing(spark, tmp_path):
     assert registered.count() == 3 and registered.select("artifact").distinct().count() == 2
     assert len([p for p in root.rglob("*.csv")]) == 2
     assert M.verify_artifacts(spark, registered, str(root)).count() == 0
+    # A header longer than any read buffer is one; whatever cannot be registered is reported, not lost.
+    (landing / "elsewhere").mkdir()
+    wide = ",".join(f"column_{i:06d}" for i in range(150_000)).encode() + b"\n1\n"
+    for name, content in (("contracts/wide.csv", wide), ("contracts/none.csv", b"no header"), ("elsewhere/a.csv", b"a,b\n"), ("contracts/empty.csv", b"")):
+        (landing / name).write_bytes(content)
+    assert run().count() == 4
+    found = {(os.path.basename(r["path"]), r["rule"]) for r in spark.read.parquet(rejects).collect()}
+    assert found == {("none.csv", "no_csv_header"), ("a.csv", "unknown_source"), ("empty.csv", "empty")}
 
 
 def test_metadata_names_its_own_dataset(spark):

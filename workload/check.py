@@ -9,7 +9,7 @@ from decimal import Decimal
 
 import duckdb
 
-from recordloom.session import build_session
+from recordloom.session import build_session, release
 from workload.queries import ORACLE, QUERIES
 
 TABLES = (
@@ -73,6 +73,7 @@ def main() -> int:
         failed += not good
         print(f"{'ok  ' if good else 'FAIL'} {name}: {note[:1500]}", flush=True)
     print(f"{len(names) - failed} of {len(names)} agree")
+    release(spark)
     spark.stop()
     return 1 if failed else 0
 

@@ -312,14 +312,18 @@ def profile_summary(spark, d):
     "profile_orders",
     with_views(
         f"""SELECT field, rows, nulls, nulls / rows AS null_rate,
-          CASE WHEN role <> 'none' AND n_distinct > 0 THEN n_distinct END AS "distinct",
-          coalesce(top, '') AS top_values
-        FROM (SELECT field, count(*) AS rows, count(*) - count(value) AS nulls, count(DISTINCT value) AS n_distinct,
-                CASE WHEN field = 'note' THEN 'none' ELSE 'tracked' END AS role FROM long GROUP BY field)
+          CASE WHEN field <> 'note' AND n_distinct > 0 THEN n_distinct END AS "distinct",
+          coalesce(top, '') AS top_values, minimum, maximum,
+          CASE WHEN field IN ('ordered', 'approved') THEN coalesce(invalid_date_count, 0) END AS invalid_date_count,
+          CASE WHEN field IN ('ordered', 'approved') THEN coalesce(suspicious_date_count, 0) END AS suspicious_date_count,
+          CASE WHEN field IN ('ordered', 'approved') THEN coalesce(examples, '') END AS examples, duplicates
+        FROM (SELECT field, count(*) AS rows, count(*) - count(value) AS nulls, count(DISTINCT value) AS n_distinct FROM long GROUP BY field)
         LEFT JOIN (SELECT field, string_agg(value || '=' || n, ' | ' ORDER BY n DESC, first_row) AS top
           FROM (SELECT field, value, count(*) AS n, min(row_number) AS first_row FROM long
                 WHERE value IS NOT NULL AND field IN ('status', 'priority') GROUP BY field, value) GROUP BY field)
-          USING (field)""",
+          USING (field)
+        LEFT JOIN (SELECT * EXCLUDE source FROM ({ORACLE["profile_dates"]}) WHERE source = 'orders') USING (field)
+        LEFT JOIN (SELECT * EXCLUDE source FROM ({ORACLE["profile_duplicates"]}) WHERE source = 'orders') USING (field)""",
         "orders_snapshot",
         long=_sql_long("orders", _SQL_COLUMNS["orders"]),
     ),
@@ -328,7 +332,8 @@ def profile_orders(spark, d):
     fields = profile.profile_fields(T.orders_snapshot(spark, d), T.ORDERS, T.AS_OF_YEAR)
     top = F.array_join(F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["n"])), SEPARATOR)
     return fields.select(
-        "field", "rows", "nulls", "null_rate", "distinct", F.coalesce(top, F.lit("")).alias("top_values")
+        "field", "rows", "nulls", "null_rate", "distinct", F.coalesce(top, F.lit("")).alias("top_values"), "minimum", "maximum",
+        "invalid_date_count", "suspicious_date_count", F.array_join("suspicious_date_examples", SEPARATOR).alias("examples"), "duplicates",
     )
 
 
