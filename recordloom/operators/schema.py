@@ -27,10 +27,6 @@ def resolve_header(header: Sequence[str], column_map: Mapping[str, str] | None =
     return resolved
 
 
-def canonical_columns(df: DataFrame) -> DataFrame:
-    return resolve_columns(df)
-
-
 def resolve_columns(df: DataFrame, column_map: Mapping[str, str] | None = None) -> DataFrame:
     """Rename raw display headers to API fields."""
     return df.toDF(*resolve_header(df.columns, column_map).values())

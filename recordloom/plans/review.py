@@ -334,9 +334,10 @@ _MAP = "map<string,string>"
 # The document three times: with every value as text, for names and texts; with typed counts and flags, which read
 # quoted numbers, fractions and quoted booleans as null; and with every group as a flat map, which tells its fields.
 _COUNTS = "map<string,bigint>"
+_TOTALS = ", ".join(f"{name}: bigint" for name in TOTAL_FIELDS)
 _TYPED_GROUP = f"struct<total:bigint,reviewed:bigint,decisions:{_COUNTS}>"
 _TYPED = (
-    f"review_summary_version bigint, complete boolean, totals {_COUNTS}, decisions {_COUNTS}, review_reasons {_COUNTS}, "
+    f"review_summary_version bigint, complete boolean, totals struct<{_TOTALS}>, decisions {_COUNTS}, review_reasons {_COUNTS}, "
     f"evidence_tiers map<string,{_TYPED_GROUP}>, public_record_sources map<string,{_TYPED_GROUP}>"
 )
 _VALUES = (

@@ -13,7 +13,8 @@ from recordloom.operators import checks, entities, limits, privacy, profile, sch
 from recordloom.plans import audit, candidates, cards, gates, review
 from recordloom.session import shared_dir, stage
 from recordloom.sources import manifests as M
-from recordloom.sources import snapshot
+from recordloom.sources import sinks, snapshot
+from recordloom.sources.catalog import read_column_catalog
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.inventory import INVENTORY, PUBLIC_SOURCES
 from workload import tables as T
@@ -721,11 +722,18 @@ def pii_scan_pages(spark, d):
 
 @query(
     "pii_scan_conversations",
-    _sql_scan("docs", "SELECT conv_id * 1000 + turn AS row_number, text, role FROM conversations", ("text", "role")),
+    _sql_scan("docs", """SELECT conv_id * 1000 + turn AS row_number, text || CASE (conv_id + turn) % 9 WHEN 0 THEN ' ring 206 555 0143'
+      WHEN 1 THEN ' or desk@mill.example' WHEN 2 THEN ' at 9 Old Mill Rd' ELSE '' END AS text, role FROM conversations""",
+        ("text", "role"),
+    ),
 )
 def pii_scan_conversations(spark, d):
+    case = (F.col("conv_id") + F.col("turn")) % 9
+    planted = (
+        F.when(case == 0, " ring 206 555 0143").when(case == 1, " or desk@mill.example").when(case == 2, " at 9 Old Mill Rd").otherwise("")
+    )
     rows = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_number"), "text", "role"
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_number"), F.concat("text", planted).alias("text"), "role"
     )
     return _found(privacy.pii_scan(rows, ["text", "role"]))
 
@@ -1660,55 +1668,149 @@ def review_summary(spark, d):
     )
 
 
-# One summary document per order, some of them wrong in one way.
-_SQL_SUMMARIES = """SELECT o_orderkey, CAST(to_json({'review_summary_version': CASE WHEN o_orderkey % 13 = 1 THEN 2 ELSE 1 END,
-  'review_provenance': CASE WHEN o_orderkey % 13 = 2 THEN 'BOT' ELSE 'HUMAN' END,
-  'candidate_set_sha256': CASE WHEN o_orderkey % 13 = 3 THEN 'x' ELSE sha256(CAST(o_orderkey AS VARCHAR)) END,
-  'complete': o_orderkey % 13 <> 4,
-  'totals': {'candidates': n, 'reviewed': n, 'unreviewed': CASE WHEN o_orderkey % 13 = 5 THEN 1 ELSE 0 END},
-  'decisions': {'YES': CASE WHEN o_orderkey % 13 = 6 THEN n + 1 ELSE n END, 'NO': 0, 'UNCERTAIN': 0},
-  'review_reasons': {'SHARED_OFFICIAL_IDENTIFIER': CASE WHEN o_orderkey % 13 = 7 THEN n + 1 ELSE n END},
-  'evidence_tiers': {'A_STRICT': {'total': n, 'reviewed': CASE WHEN o_orderkey % 13 = 8 THEN 0 ELSE n END, 'decisions': {'YES': n, 'NO': 0, 'UNCERTAIN': 0}}},
-  'public_record_sources': {'contracts': {'total': n, 'reviewed': n, 'decisions': {'YES': n, 'NO': 0, 'UNCERTAIN': 0}}},
-  'reviewed_through': CASE WHEN o_orderkey % 13 = 9 THEN '2026-08-18' ELSE '2026-08-18T14:30:00-05:00' END}) AS VARCHAR) AS summary
-  FROM (SELECT o_orderkey, o_custkey + 1 AS n FROM orders)"""
-_SUMMARY_RULES = {1: "version", 2: "provenance", 3: "digest", 4: "complete", 5: "totals", 6: "decisions", 7: "reasons", 8: "evidence_tiers_counts", 9: "reviewed_through"}
+# One summary document per order, most of them wrong in one way: (rule, text replaced, replacement), N being a count.
+_GROUP_TEXT = '{"total":N,"reviewed":N,"decisions":{"YES":N,"NO":0,"UNCERTAIN":0}}'
+_SUMMARY_TEXT = (
+    '{"review_summary_version":1,"review_provenance":"HUMAN","candidate_set_sha256":"' + "0123456789abcdef" * 4 + '","complete":true,'
+    '"totals":{"candidates":N,"reviewed":N,"unreviewed":0},"decisions":{"YES":N,"NO":0,"UNCERTAIN":0},'
+    '"review_reasons":{"SHARED_OFFICIAL_IDENTIFIER":N},"evidence_tiers":{"A_STRICT":' + _GROUP_TEXT + '},'
+    '"public_record_sources":{"contracts":' + _GROUP_TEXT + '},"reviewed_through":"2026-08-18T14:30:00-05:00"}'
+)
+_REASON = '"SHARED_OFFICIAL_IDENTIFIER":N'
+_TIER, _SOURCE = '"A_STRICT":' + _GROUP_TEXT, '"contracts":' + _GROUP_TEXT
+_SUMMARY_CASES = (
+    ("fields", '{"review_summary_version"', '{"note":1,"review_summary_version"'),
+    ("version", 'version":1', 'version":2'),
+    ("version", 'version":1', 'version":"1"'),
+    ("version", 'version":1', 'version":1.0'),
+    ("provenance", "HUMAN", "BOT"),
+    ("digest", "0123456789abcdef", "0123456789ABCDEF"),
+    ("complete", "true", "false"),
+    ("complete", "true", '"true"'),
+    ("total_fields", '"unreviewed":0', '"unreviewed":0,"left":0'),
+    ("totals", '"unreviewed":0', '"unreviewed":1'),
+    ("totals", '"unreviewed":0', '"unreviewed":"0"'),
+    ("decision_fields", '0},"review_reasons"', '0,"MAYBE":0},"review_reasons"'),
+    ("decisions", '"NO":0,"UNCERTAIN":0},"review_reasons"', '"NO":1,"UNCERTAIN":0},"review_reasons"'),
+    ("decisions", '"NO":0,"UNCERTAIN":0},"review_reasons"', '"NO":"0","UNCERTAIN":0},"review_reasons"'),
+    ("decisions", '"NO":0,"UNCERTAIN":0},"review_reasons"', '"NO":0.0,"UNCERTAIN":0},"review_reasons"'),
+    ("known_reasons", _REASON, '"HEARSAY":N'),
+    ("reasons", _REASON, '"SHARED_OFFICIAL_IDENTIFIER":1N'),
+    ("reasons", _REASON, '"SHARED_OFFICIAL_IDENTIFIER":"N"'),
+    ("evidence_tiers_groups", "A_STRICT", "C_OTHER"),
+    ("evidence_tiers_counts", _TIER, '"A_STRICT":' + _GROUP_TEXT.replace('"reviewed":N', '"reviewed":0')),
+    ("evidence_tiers_counts", _TIER, '"A_STRICT":' + _GROUP_TEXT.replace('"reviewed":N', '"reviewed":"N"')),
+    ("evidence_tiers_counts", _TIER, '"A_STRICT":' + _GROUP_TEXT.replace("{", '{"more":1,', 1)),
+    ("evidence_tiers_total", _TIER, '"A_STRICT":' + _GROUP_TEXT.replace("N,", "1N,")),
+    ("public_record_sources_groups", "contracts", "minutes"),
+    ("public_record_sources_counts", _SOURCE, '"contracts":' + _GROUP_TEXT.replace('"NO":0', '"NO":1')),
+    ("public_record_sources_total", _SOURCE, _SOURCE + ',"echeckbook":' + _GROUP_TEXT),
+    ("reviewed_through", "T14:30:00-05:00", ""),
+)
+_SUMMARY_KINDS = len(_SUMMARY_CASES) + 4  # the rest are good
 
 
 def _summaries(spark, d):
-    key, n = F.col("o_orderkey"), F.col("o_custkey") + 1
-    case = key % 13
-    zero = F.lit(0)
-
-    def decisions(yes: Column) -> Column:
-        return F.struct(yes.alias("YES"), zero.alias("NO"), zero.alias("UNCERTAIN"))
-
-    def group(reviewed: Column) -> Column:
-        return F.struct(n.alias("total"), reviewed.alias("reviewed"), decisions(n).alias("decisions"))
-
-    return table(spark, d, "orders").select(
-        "o_orderkey",
-        F.to_json(
-            F.struct(
-                F.when(case == 1, 2).otherwise(1).alias("review_summary_version"),
-                F.when(case == 2, "BOT").otherwise("HUMAN").alias("review_provenance"),
-                F.when(case == 3, "x").otherwise(F.sha2(key.cast("string"), 256)).alias("candidate_set_sha256"),
-                (case != 4).alias("complete"),
-                F.struct(n.alias("candidates"), n.alias("reviewed"), F.when(case == 5, 1).otherwise(0).alias("unreviewed")).alias("totals"),
-                decisions(F.when(case == 6, n + 1).otherwise(n)).alias("decisions"),
-                F.struct(F.when(case == 7, n + 1).otherwise(n).alias("SHARED_OFFICIAL_IDENTIFIER")).alias("review_reasons"),
-                F.struct(group(F.when(case == 8, zero).otherwise(n)).alias("A_STRICT")).alias("evidence_tiers"),
-                F.struct(group(n).alias("contracts")).alias("public_record_sources"),
-                F.when(case == 9, "2026-08-18").otherwise("2026-08-18T14:30:00-05:00").alias("reviewed_through"),
-            )
-        ).alias("summary"),
-    )
+    case = F.col("o_orderkey") % _SUMMARY_KINDS
+    text = F.lit(_SUMMARY_TEXT)
+    for i, (_, old, put) in enumerate(_SUMMARY_CASES):
+        text = F.when(case == i, F.lit(_SUMMARY_TEXT.replace(old, put))).otherwise(text)
+    # Counts are written where N stands alone as a number.
+    count = (F.col("o_custkey") + 1).cast("string")
+    counted = F.regexp_replace(text, F.lit(r"([:\d\x22])N(?=[,}\x22])"), F.concat(F.lit("$1"), count))
+    return table(spark, d, "orders").select("o_orderkey", counted.alias("summary"))
 
 
 @query(
     "summary_violations",
-    "SELECT o_orderkey, CASE o_orderkey % 13 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SUMMARY_RULES.items())
-    + " END AS rule FROM orders WHERE o_orderkey % 13 BETWEEN 1 AND 9",
+    f"SELECT o_orderkey, CASE o_orderkey % {_SUMMARY_KINDS} "
+    + " ".join(f"WHEN {i} THEN '{rule}'" for i, (rule, _, _) in enumerate(_SUMMARY_CASES))
+    + f" END AS rule FROM orders WHERE o_orderkey % {_SUMMARY_KINDS} < {len(_SUMMARY_CASES)}",
 )
 def summary_violations(spark, d):
     return review.summary_violations(_summaries(spark, d), "o_orderkey", "summary").drop("rule_position")
+
+
+# --- round trips: what is written is read back through the library ----------------------------------
+
+
+@query(
+    "manifest_round_trip",
+    with_views(
+        "SELECT manifest || '.json' AS manifest, manifest_version, operation, source_slug, dataset_id, artifact, bytes, sha256, retrieved_at FROM manifests",
+        **_MANIFEST_SQL,
+    ),
+)
+def manifest_round_trip(spark, d):
+    """One manifest document per event, written as files of their own."""
+    path = _new_folder(spark, "manifests")
+    made = _manifests(spark, d)
+    document = F.to_json(F.struct(*[c for c in made.columns if c != "manifest"]))
+    files = made.select(F.concat("manifest", F.lit(".json")).alias("artifact"), document.cast("binary").alias("content"))
+    M.write_files(files, path).write.format("noop").mode("overwrite").save()
+    return M.read_manifests(spark, path).select(
+        "manifest", "manifest_version", "operation", "source_slug", "dataset_id", "artifact", "receipt.bytes", "receipt.sha256",
+        "receipt.retrieved_at",
+    )
+
+
+@query(
+    "catalog_round_trip",
+    """SELECT 'ds' || o_custkey AS dataset_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position,
+         'Order ' || o_orderkey AS name, 'order_' || o_orderkey AS field_name, 'text' AS data_type, o_comment AS description
+       FROM (SELECT o_orderkey, o_custkey, 'of ' || o_orderpriority AS o_comment FROM orders)""",
+)
+def catalog_round_trip(spark, d):
+    """One metadata document per customer, with a column for each of its orders."""
+    path, key = _new_folder(spark, "metadata"), F.col("o_orderkey")
+    column = F.struct(
+        key.alias("k"), F.concat(F.lit("Order "), key).alias("name"), F.concat(F.lit("order_"), key).alias("fieldName"),
+        F.lit("text").alias("dataTypeName"), F.concat(F.lit("of "), "o_orderpriority").alias("description"),
+    )
+    made = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    document = F.to_json(F.struct(F.concat(F.lit("ds"), "o_custkey").alias("id"), "columns"))
+    files = made.select(F.concat("o_custkey", F.lit(".json")).alias("artifact"), document.cast("binary").alias("content"))
+    M.write_files(files, path).write.format("noop").mode("overwrite").save()
+    return read_column_catalog(spark, path).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query("profile_round_trip", ORACLE["profile_nulls"])
+def profile_round_trip(spark, d):
+    """Profiles of all sources, appended to one table as JSON lines."""
+    path = _new_folder(spark, "profiles")
+    for df, contract in (
+        (T.orders_snapshot(spark, d), T.ORDERS), (T.events_snapshot(spark, d), T.EVENTS), (T.lineitem_snapshot(spark, d), T.LINEITEM),
+        (T.documents_snapshot(spark, d), T.DOCUMENTS), (T.conversations_snapshot(spark, d), T.CONVERSATIONS),
+    ):
+        sinks.write_profile(profile.profile_fields(df, contract, T.AS_OF_YEAR), path, json=True)
+    return spark.read.json(path).select("source", "field", "rows", "nulls", "null_rate")
+
+
+_FIXTURE_ROWS = 500
+
+
+@query(
+    "fixture_round_trip",
+    f"SELECT * EXCLUDE row_number FROM ({ORACLE['redact_table']}) WHERE row_number <= {_FIXTURE_ROWS + 1}",
+)
+def fixture_round_trip(spark, d):
+    """The first records, redacted, scanned, written as CSV and opened as a snapshot."""
+    path = _new_folder(spark, "fixture")
+    sinks.write_fixture(privacy.checked_fixture(T.orders_snapshot(spark, d), _REDACT, _FIXTURE_ROWS), _REDACT, path)
+    return snapshot.scan_snapshot(spark, path)
+
+
+@query("report_round_trip", ORACLE["group_report"])
+def report_round_trip(spark, d):
+    path = _new_folder(spark, "report")
+    sinks.write_report(review.group_report(_review(spark, d)), path)
+    return spark.read.json(path)
+
+
+@query("candidates_round_trip", f"SELECT candidate_id, evidence_tier, campaign_name FROM ({ORACLE['candidates']})")
+def candidates_round_trip(spark, d):
+    """The worksheet as CSV, opened as a snapshot."""
+    path = _new_folder(spark, "worksheet")
+    found = candidates.generate_candidates(T.campaign_source(spark, d), T.public_sources(spark, d), LIMIT)
+    sinks.write_candidates(found, path, csv=True)
+    return snapshot.scan_snapshot(spark, path).select("candidate_id", "evidence_tier", "campaign_name")
