@@ -9,7 +9,7 @@ from recordloom.plans.candidates import EVIDENCE
 from recordloom.sources import manifests as M
 from recordloom.sources.contracts import ContractError, SourceContract
 from recordloom.sources.inventory import INVENTORY
-from tests.test_review import candidate, candidates
+from tests.test_review import pairs
 
 CONTRIBUTIONS = INVENTORY.require("campaign-contributions")
 CONTRACTS = INVENTORY.require("contracts")
@@ -74,7 +74,7 @@ def test_private_file_audit(spark, tmp_path):
 
 
 def test_worksheet_round_trip(spark, tmp_path):
-    made = review.init_review(candidates(spark, [candidate("a" * 16), candidate("b" * 16)]).drop("row_number"))
+    made = review.init_review(pairs(spark, 2).drop("row_number"))
     folder = str(tmp_path / "sheet")
     made.coalesce(1).write.csv(folder, header=True, escape='"', emptyValue="")
     sheet = snapshots.read_worksheet(spark, folder)
