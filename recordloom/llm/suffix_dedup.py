@@ -314,10 +314,13 @@ def covered_bytes(texts: DataFrame) -> DataFrame:
         "hot_strings",
     )
     repeated = stage(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "repeated_strings")
+    starts = join_groups(strings, repeated, "string", "n", strings.count()).groupBy("region")
+    # Neighbouring starts make one span: it begins where none lies before and ends where none follows.
     split = (
-        join_groups(strings, repeated, "string", "n", strings.count())
-        .groupBy("region")
-        .agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans"))
+        starts.agg(F.sort_array(F.collect_list("at")).alias("ats"))
+        .withColumn("firsts", F.expr("filter(ats, (x, i) -> coalesce(get(ats, i - 1) < x - 1, true))"))
+        .withColumn("lasts", F.expr("filter(ats, (x, i) -> coalesce(get(ats, i + 1) > x + 1, true))"))
+        .select("region", F.expr("zip_with(firsts, lasts, (a, b) -> struct(a as a, b + 1 as b))").alias("spans"))
     )
     whole = regions.where("n > 1").select("region", "n", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.n_starts").alias("b"))).alias("spans"))
     single = compared.unionByName(split).where(F.size("spans") > 0).join(regions.where("n = 1").select("region", "n"), "region")
