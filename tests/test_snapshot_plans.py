@@ -10,6 +10,7 @@ from recordloom.sources import manifests as M
 from recordloom.sources.contracts import ContractError, SourceContract
 from recordloom.sources.inventory import INVENTORY
 from tests.test_review import pairs
+from workload.queries import QUERIES
 
 CONTRIBUTIONS = INVENTORY.require("campaign-contributions")
 CONTRACTS = INVENTORY.require("contracts")
@@ -83,3 +84,11 @@ def test_worksheet_round_trip(spark, tmp_path):
     bad.write_text(",".join((*EVIDENCE, *review.REVIEW)) + "\nshort,row\n")
     with pytest.raises(GateError, match="do not fit"):
         snapshots.read_worksheet(spark, str(bad))
+
+
+def test_frozen_metadata_of_every_order(spark, sf_dir):
+    """Every order with a broken manifest is reported, whoever its customer is."""
+    orders = {str(r.o_orderkey): r for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    found = QUERIES["frozen_metadata_violations_all"](spark, sf_dir).select("manifest").distinct().collect()
+    want = {k for k, r in orders.items() if r.o_orderkey % 5 == 0 or r.o_custkey % 7 == 0 or r.o_custkey % 13 == 0}
+    assert {r.manifest for r in found} == want

@@ -1239,7 +1239,7 @@ def snapshot_violations(spark, d):
     return found.select(M.relative_path(F.col("path"), landing).alias("file"), "rule")
 
 
-# Frozen metadata: one document for each order, kept for its customer's dataset.
+# Frozen metadata: one document for each order of every tenth customer, kept for its customer's dataset.
 _SQL_FROZEN = """SELECT o_orderkey, 'user' || o_custkey AS source, 'data/metadata/ds-' || o_custkey || '/' || o_orderkey || '.json' AS artifact,
   '{"id":"' || CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE 'ds-' || o_custkey END || '","name":"n' || o_orderkey || '"}' AS content FROM orders
   WHERE o_custkey % 10 = 0"""
@@ -1278,6 +1278,41 @@ def frozen_metadata_violations(spark, d):
     return M.frozen_metadata_violations(spark, manifests, root, sources)
 
 
+# Frozen metadata over all orders: one document for each customer, made from all of the customer's orders, and one
+# manifest for each order. (One file for each order did not end within 200 s on 150,000 orders.)
+@query(
+    "frozen_metadata_violations_all",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS manifest, 'data/metadata/ds-' || o_custkey || '.json' AS artifact, rule FROM (
+          SELECT *, unnest(CASE WHEN o_custkey % 7 = 0 THEN ['missing'] WHEN o_orderkey % 5 = 0 AND o_custkey % 13 = 0
+            THEN ['integrity_mismatch', 'other_dataset'] WHEN o_orderkey % 5 = 0 THEN ['integrity_mismatch']
+            WHEN o_custkey % 13 = 0 THEN ['other_dataset'] ELSE [] END) AS rule FROM orders)""",
+)
+def frozen_metadata_violations_all(spark, d):
+    root, key, customer = _new_folder(spark, "frozen"), F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    documents = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(key).alias("keys")).select(
+        "o_custkey", F.concat(F.lit("data/metadata/ds-"), "o_custkey", F.lit(".json")).alias("artifact"),
+        F.to_json(
+            F.struct(
+                F.when(customer % 13 == 0, "other").otherwise(F.concat(F.lit("ds-"), "o_custkey")).alias("id"),
+                F.concat_ws("-", F.lit("orders"), "n", "keys").alias("name"),
+            )
+        ).alias("content"),
+    )
+    documents = stage(documents, "frozen_documents")
+    M.write_files(documents.where(customer % 7 != 0).select("artifact", F.col("content").cast("binary").alias("content")), root).write.format(
+        "noop"
+    ).mode("overwrite").save()
+    size = F.octet_length("content") + F.when(key % 5 == 0, 1).otherwise(0)
+    source = F.concat(F.lit("user"), "o_custkey")
+    manifests = orders.join(documents, "o_custkey").select(
+        key.cast("string").alias("manifest"), F.lit(M.FREEZE).alias("operation"), source.alias("source_slug"), "artifact",
+        F.struct(size.cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256")).alias("receipt"),
+    )
+    sources = documents.select(source.alias("source"), F.concat(F.lit("ds-"), "o_custkey").alias("dataset_id"))
+    return M.frozen_metadata_violations(spark, manifests, root, sources)
+
+
 # Orders are profile headers: one per order, of the customer's source.
 _SQL_PROFILES = """SELECT 'p' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS profile_file, 'user' || (o_custkey % 70) AS source,
   CASE WHEN o_orderkey % 31 = 0 THEN 2 ELSE 1 END AS profile_version,
