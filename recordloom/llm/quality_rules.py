@@ -6,9 +6,10 @@ Jensen-Shannon distance (base 2, so 0 to 1). A document is rejected if a distanc
 that it is long enough for the histogram to mean something; shorter ones pass. Two base rules, too few words and too
 many words in repeated five-word windows, reject a document by themselves.
 
-References are one row for each language that has at least one document in ``LANGUAGE_SHARE``, so at most
-LANGUAGE_SHARE rows are broadcast. Languages below that share, or null, have no reference and only meet the base rules;
-a language without a word list is judged by its characters alone.
+Every language has a reference, and the rows without a language share one. A language outside ``COMMON_WORDS`` takes the
+commonest words of its own documents as its list. Languages of fewer than ``TINY`` documents have no list of their own;
+since their reference may be little else than the judged document, they are also compared with the four coarse classes
+(letters and spaces, numbers, punctuation, rest) of all documents of the table.
 
 Defined results: a null text counts as empty, has no words and fails the base rule; an empty table gives an empty
 result; repeated rows are judged alike. Windows of words are compared by 64-bit hashes within one text.
@@ -16,16 +17,17 @@ result; repeated rows are judged alike. Windows of words are compared by 64-bit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import text_of, words
+from recordloom.llm.common import join_groups, text_of, words
 from recordloom.session import stage
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
-LANGUAGE_SHARE = 200
+#: Languages with fewer documents are also compared with the whole table, and get no word list of their own.
+TINY = 10
 #: Least code points and words for which a histogram is compared, and the distances from which a document is rejected.
 CHAR_GUARD, CHAR_DISTANCE = 200, 0.3
 WORD_GUARD, WORD_DISTANCE = 100, 0.27
@@ -80,11 +82,42 @@ def _common_list(lang: str) -> Column:
     out = F.lit(None).cast("array<string>")
     for code, listed in COMMON_WORDS.items():
         out = F.when(F.col(lang) == code, F.array(*map(F.lit, listed))).otherwise(out)
-    return out
+    return F.coalesce(out, F.col("own_list"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``: the language as text that is never null."""
+    lang = F.col("lang").cast("string")
+    return docs.withColumn("key", F.when(lang.isNull(), "0").otherwise(F.concat(F.lit("1"), lang)))
+
+
+def with_lists(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, key) with ``own_list``: the commonest words of a language outside COMMON_WORDS, else null.
+
+    A word counts by its shares of the language's distinct texts, so neither a long text nor its copies outweigh others.
+    Only rows of such languages are joined.
+    """
+    listed = F.col("key").isin(["1" + code for code in COMMON_WORDS])
+    none = F.lit(None).cast("array<string>")
+    others = stage(docs.where(~listed).groupBy("key").agg(F.count("*").alias("n")), "other_languages")
+    total = others.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return docs.withColumn("own_list", none)
+    texts = docs.where(~listed).select("key", F.lower(text_of()).alias("text")).dropDuplicates(["key", "text"])
+    parts = texts.select("key", words(F.col("text")).alias("w")).select("key", F.floor(F.lit(1e9) / F.size("w")).alias("share"), F.explode("w").alias("word"))
+    counted = parts.groupBy("key", "word").agg(F.sum("share").alias("share"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("share"), "word"))
+    first = counted.withColumn("place", place).where(F.col("place") <= SLOTS).groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("own_list"))
+    lists = stage(others.where(F.col("n") >= TINY).join(first, "key"), "word_lists")
+    met = join_groups(docs.where(~listed), lists, "key", "n", total, "left").drop("n")
+    return docs.where(listed).withColumn("own_list", none).unionByName(met)
 
 
 def histograms(df: DataFrame) -> DataFrame:
-    """``df`` (text, lang, word_list) with ``classes`` and ``common``: counts of characters and of common words."""
+    """``df`` (text, lang, own_list, word_list) with ``classes`` and ``common``: counts of characters and of common words.
+
+    ``marks`` are the combining marks among the last class.
+    """
     left = df.withColumn("left0", F.col("text"))
     for i, pattern in enumerate(CLASSES):
         left = left.withColumn(f"left{i + 1}", F.regexp_replace(f"left{i}", pattern, ""))
@@ -97,27 +130,35 @@ def histograms(df: DataFrame) -> DataFrame:
         left.withColumn("listed", _common_list("lang"))
         .withColumn("found", found)
         .withColumn("classes", F.array(*counts))
+        .withColumn("marks", (sizes[-1] - F.length(F.regexp_replace(f"left{len(CLASSES)}", r"\p{M}+", ""))).cast("long"))
         .withColumn("common", F.when(F.col("listed").isNotNull(), F.array(*bins, rest)))
         .drop("listed", "found", *(f"left{i}" for i in range(len(CLASSES) + 1)))
     )
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """(ref_lang, ref_classes, ref_common): shares over all documents of each language with a reference."""
+def coarse() -> list[Column]:
+    """The counts of letters with spaces and marks, of numbers, of punctuation and of the rest."""
+    c = [F.get("classes", F.lit(i)) for i in range(len(CLASSES) + 1)]
+    return [c[0] + c[1] + c[2] + c[3] + F.col("marks"), c[4], c[5], c[6] - F.col("marks")]
+
+
+def references(measured: DataFrame) -> tuple[DataFrame, int]:
+    """(key, n, own_list, ref_classes, ref_common, ref_coarse): shares over all documents of each language, the last ones over the
+    whole table; and the number of rows."""
     sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n)))
     shares = lambda name: F.expr(
         f"transform({name}, x -> x / cast(greatest(aggregate({name}, 0L, (s, y) -> s + y), 1L) as double))"
     )
     by_lang = stage(
-        measured.groupBy("lang").agg(
-            F.count("*").alias("n"), sums("classes", len(CLASSES) + 1).alias("c"), sums("common", SLOTS + 1).alias("w")
+        measured.groupBy("key").agg(
+            F.count("*").alias("n"), sums("classes", len(CLASSES) + 1).alias("c"), sums("common", SLOTS + 1).alias("w"),
+            F.array(*map(F.sum, coarse())).alias("a"), F.max("own_list").alias("own_list"),
         ),
         "languages",
     )
-    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return by_lang.where(F.col("lang").isNotNull() & (F.col("n") * LANGUAGE_SHARE >= total)).select(
-        F.col("lang").alias("ref_lang"), shares("c").alias("ref_classes"), shares("w").alias("ref_common")
-    )
+    total, *whole = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0)), *(F.coalesce(F.sum(F.get("a", F.lit(i))), F.lit(0)) for i in range(4))).first()
+    pooled = F.array(*(F.lit(x / max(sum(whole), 1)) for x in whole))
+    return by_lang.select("key", "n", "own_list", shares("c").alias("ref_classes"), shares("w").alias("ref_common"), pooled.alias("ref_coarse")), total
 
 
 def distance(counts: str, reference: str, total: Column) -> Column:
@@ -147,31 +188,37 @@ def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
     ).drop("hashes", "ordered", "places", "lines", "word_list")
 
 
-def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
-    """``measured`` with base_failed, the two distances and kept. ``refs`` has at most LANGUAGE_SHARE rows."""
-    met = measured.join(F.broadcast(refs), F.col("lang") == F.col("ref_lang"), "left")
-    for name, counts, ref, total in (("char_distance", "classes", "ref_classes", "n_chars"), ("word_distance", "common", "ref_common", "n_words")):
+def judge(met: DataFrame) -> DataFrame:
+    """Measured rows joined with their references, with base_failed, the distances and kept."""
+    met = met.withColumn("coarse", F.array(*coarse()))
+    for name, counts, ref, total in (
+        ("char_distance", "classes", "ref_classes", "n_chars"), ("word_distance", "common", "ref_common", "n_words"), ("coarse_distance", "coarse", "ref_coarse", "n_chars"),
+    ):
         met = met.withColumn(name, distance(counts, ref, F.greatest(F.col(total), F.lit(1))))
-    off = (F.col("n_chars") >= CHAR_GUARD) & (F.col("char_distance") > CHAR_DISTANCE)
+    far = (F.col("char_distance") > CHAR_DISTANCE) | ((F.col("n") < TINY) & (F.col("coarse_distance") > CHAR_DISTANCE))
+    off = (F.col("n_chars") >= CHAR_GUARD) & far
     odd = (F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > WORD_DISTANCE)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     verdict = ~failed & ~F.coalesce(off, F.lit(False)) & ~F.coalesce(odd, F.lit(False))
-    return met.withColumn("base_failed", failed).withColumn("kept", verdict)
+    return met.withColumn("base_failed", failed).withColumn("kept", verdict).drop("n", "coarse", "marks", "ref_coarse")
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, distances and verdict. Texts are read once; the counts are written."""
-    measured = stage(measure(docs.select("doc_id", "text", "lang")).drop("text"), "quality_counts")
-    return judge(measured, references(measured))
+    measured = stage(measure(with_lists(keyed(docs.select("doc_id", "text", "lang")))).drop("text"), "quality_counts")
+    refs, total = references(measured)
+    return judge(join_groups(measured.drop("own_list"), refs, "key", "n", total)).drop("own_list")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. References come from a first pass over all of them."""
-    plain = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "lang")
+    plain = keyed(docs.select(F.struct("*").alias("doc"), "doc_id", "text", "lang"))
+    listed = with_lists(plain.select("text", "lang", "key"))
     counts = histograms(
-        docs.select(text_of("text").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("word_list", words(F.col("text")))
+        listed.select(text_of("text").alias("text"), F.col("lang").cast("string").alias("lang"), "key", "own_list").withColumn("word_list", words(F.col("text")))
     )
-    refs = stage(references(stage(counts.select("lang", "classes", "common"), "histograms")), "references")
+    refs, total = references(stage(counts.select("key", "own_list", "classes", "common", "marks"), "histograms"))
+    refs = stage(refs, "references")
     # A filter on the verdict would be pushed below the projections and repeat all their work; a generator is not.
     chosen = F.explode(F.when(F.col("kept"), F.array("doc")).otherwise(F.expr("slice(array(doc), 1, 0)")))
-    return judge(measure(plain), refs).select(chosen.alias("doc")).select("doc.*")
+    return judge(measure(join_groups(plain, refs, "key", "n", total))).select(chosen.alias("doc")).select("doc.*")

@@ -308,3 +308,25 @@ def test_pipeline_against_plain_python(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter(r.doc_id for r in got if r.piece == 0) == mixed
     assert all(r.offset + r.length <= 1024 for r in got)
+
+
+def tail_docs(spark):
+    """Clean prose in English and in a language without a word list, junk in small languages and without a language."""
+    rng = random.Random(8)
+    prose = lambda listed, n=150: " ".join(rng.choice(listed) for _ in range(n))
+    other = "se de och att det som en på är av för med till den har i om ett men sig så man kan när".split()
+    rows = [(i, prose(LOREM.split()), "en") for i in range(3000)]
+    rows += [(4000 + i, prose(other), "sv") for i in range(12)] + [(4100, prose([f"xq{i}" for i in range(120)]), "sv")]
+    rows += [(4200 + i, prose(other), None) for i in range(12)]
+    junk = " ".join("".join(rng.choice("#*$%&|<>") for _ in range(9)) for _ in range(60))
+    digits = " ".join(str(rng.randrange(10**8)) for _ in range(60))
+    rows += [(5000, junk, "aa"), (5001, digits, "ab"), (5002, junk, None), (5003, digits, "sv"), (5004, prose(other), "ac")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+
+
+def test_quality_of_small_languages(spark):
+    docs = tail_docs(spark)
+    judged = {r.doc_id: r.kept for r in quality_rules.score_quality(docs).collect()}
+    assert len(judged) == docs.count()
+    assert {i for i, kept in judged.items() if not kept} == {4100, 5000, 5001, 5002, 5003}
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, kept in judged.items() if kept}
