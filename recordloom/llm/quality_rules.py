@@ -6,6 +6,11 @@ Jensen-Shannon distance (base 2, so 0 to 1). A document is rejected if a distanc
 that it is long enough for the histogram to mean something; shorter ones pass. Two base rules, too few words and too
 many words in repeated five-word windows, reject a document by themselves.
 
+A sum over all documents is moved by a group of junk copies or by one very long junk document. So it is held against the
+medians of the shares of the language's distinct texts that pass the base rules and are long enough; if it is more than
+``DRIFT`` away from them, the medians are the reference instead. The distance is a metric: up to there, no document's
+distance differs by more than DRIFT between the two.
+
 Every language has a reference, and the rows without a language share one. A language outside ``COMMON_WORDS`` takes the
 commonest words of its own documents as its list. Languages of fewer than ``TINY`` documents have no list of their own;
 since their reference may be little else than the judged document, they are also compared with the four coarse classes
@@ -32,6 +37,10 @@ TINY = 10
 CHAR_GUARD, CHAR_DISTANCE = 200, 0.3
 WORD_GUARD, WORD_DISTANCE = 100, 0.27
 
+DRIFT = 0.1
+#: Shares are rounded to so many steps for their medians, which bounds the values that an aggregation holds.
+STEPS = 2000
+
 SYMBOLS = r"[#*$%&|<>]"
 #: Classes of characters, each taken from what the earlier ones have left; the last class is the rest.
 CLASSES = (r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"[.,;:?'\"()-]+")
@@ -142,23 +151,45 @@ def coarse() -> list[Column]:
     return [c[0] + c[1] + c[2] + c[3] + F.col("marks"), c[4], c[5], c[6] - F.col("marks")]
 
 
+def _medians(name: str, size: int, long_enough: Column) -> Column:
+    """The medians of the shares of a histogram, scaled to a sum of 1; null without a long text."""
+    total = F.greatest(F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(1))
+    step = lambda i: F.when(long_enough, F.round(F.get(name, F.lit(i)) * STEPS / total).cast("int"))
+    return F.array(*(F.percentile(step(i), 0.5) for i in range(size)))
+
+
 def references(measured: DataFrame) -> tuple[DataFrame, int]:
-    """(key, n, own_list, ref_classes, ref_common, ref_coarse): shares over all documents of each language, the last ones over the
-    whole table; and the number of rows."""
+    """(key, n, own_list, ref_classes, ref_common, ref_coarse) of each language, the last one over the whole table; and
+    the number of rows."""
     sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n)))
     shares = lambda name: F.expr(
         f"transform({name}, x -> x / cast(greatest(aggregate({name}, 0L, (s, y) -> s + y), 1L) as double))"
     )
-    by_lang = stage(
-        measured.groupBy("key").agg(
-            F.count("*").alias("n"), sums("classes", len(CLASSES) + 1).alias("c"), sums("common", SLOTS + 1).alias("w"),
-            F.array(*map(F.sum, coarse())).alias("a"), F.max("own_list").alias("own_list"),
-        ),
-        "languages",
+    scaled = lambda name: F.expr(f"transform({name}, x -> x / nullif(aggregate({name}, 0D, (s, y) -> s + y), 0D))")
+    chars, common = len(CLASSES) + 1, SLOTS + 1
+    by_lang = measured.groupBy("key").agg(
+        F.count("*").alias("n"), sums("classes", chars).alias("c"), sums("common", common).alias("w"), F.max("own_list").alias("own_list")
+    )
+    texts = stage(
+        measured.where(~F.col("base_failed")).withColumn("a", F.array(*coarse()))
+        .select("key", "text_hash", "n_chars", "n_words", "classes", "common", "a").dropDuplicates(["key", "text_hash"]),
+        "distinct_texts",
     )
-    total, *whole = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0)), *(F.coalesce(F.sum(F.get("a", F.lit(i))), F.lit(0)) for i in range(4))).first()
-    pooled = F.array(*(F.lit(x / max(sum(whole), 1)) for x in whole))
-    return by_lang.select("key", "n", "own_list", shares("c").alias("ref_classes"), shares("w").alias("ref_common"), pooled.alias("ref_coarse")), total
+    enough = F.col("n_chars") >= CHAR_GUARD
+    medians = texts.groupBy("key").agg(
+        _medians("classes", chars, enough).alias("c_mid"), _medians("common", common, F.col("n_words") >= WORD_GUARD).alias("w_mid")
+    )
+    by_lang = stage(by_lang.join(medians, "key", "left"), "languages")
+    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    whole = [x or 0.0 for x in texts.agg(_medians("a", 4, enough).alias("a")).first()[0]]
+    pooled = F.array(*(F.lit(x / sum(whole)) for x in whole)) if sum(whole) else F.lit(None).cast("array<double>")
+    refs = by_lang.select(
+        "key", "n", "own_list", shares("c").alias("c"), shares("w").alias("w"), scaled("c_mid").alias("c_mid"), scaled("w_mid").alias("w_mid")
+    )
+    held = lambda plain, mid: F.when(distance(plain, mid, F.lit(1)) > DRIFT, F.col(mid)).otherwise(F.col(plain))
+    return refs.select(
+        "key", "n", "own_list", held("c", "c_mid").alias("ref_classes"), held("w", "w_mid").alias("ref_common"), pooled.alias("ref_coarse")
+    ), total
 
 
 def distance(counts: str, reference: str, total: Column) -> Column:
@@ -169,6 +200,11 @@ def distance(counts: str, reference: str, total: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
+def failed() -> Column:
+    """Whether a document breaks a base rule."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
 def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The counts of every document (row by row, no shuffle)."""
     df = docs.withColumns({"text": text_of(text), "lang": F.col(lang).cast("string"), "doc_id": F.col(doc_id)})
@@ -184,12 +220,13 @@ def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
             "word_chars": F.length(F.array_join("word_list", "")).cast("long"),
             "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+            "text_hash": F.md5("text"),
         }
-    ).drop("hashes", "ordered", "places", "lines", "word_list")
+    ).withColumn("base_failed", failed()).drop("hashes", "ordered", "places", "lines", "word_list")
 
 
 def judge(met: DataFrame) -> DataFrame:
-    """Measured rows joined with their references, with base_failed, the distances and kept."""
+    """Measured rows joined with their references, with the distances and kept."""
     met = met.withColumn("coarse", F.array(*coarse()))
     for name, counts, ref, total in (
         ("char_distance", "classes", "ref_classes", "n_chars"), ("word_distance", "common", "ref_common", "n_words"), ("coarse_distance", "coarse", "ref_coarse", "n_chars"),
@@ -198,9 +235,8 @@ def judge(met: DataFrame) -> DataFrame:
     far = (F.col("char_distance") > CHAR_DISTANCE) | ((F.col("n") < TINY) & (F.col("coarse_distance") > CHAR_DISTANCE))
     off = (F.col("n_chars") >= CHAR_GUARD) & far
     odd = (F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > WORD_DISTANCE)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    verdict = ~failed & ~F.coalesce(off, F.lit(False)) & ~F.coalesce(odd, F.lit(False))
-    return met.withColumn("base_failed", failed).withColumn("kept", verdict).drop("n", "coarse", "marks", "ref_coarse")
+    verdict = ~F.col("base_failed") & ~F.coalesce(off, F.lit(False)) & ~F.coalesce(odd, F.lit(False))
+    return met.withColumn("kept", verdict).drop("n", "coarse", "marks", "ref_coarse", "text_hash")
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
@@ -213,11 +249,9 @@ def score_quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. References come from a first pass over all of them."""
     plain = keyed(docs.select(F.struct("*").alias("doc"), "doc_id", "text", "lang"))
-    listed = with_lists(plain.select("text", "lang", "key"))
-    counts = histograms(
-        listed.select(text_of("text").alias("text"), F.col("lang").cast("string").alias("lang"), "key", "own_list").withColumn("word_list", words(F.col("text")))
-    )
-    refs, total = references(stage(counts.select("key", "own_list", "classes", "common", "marks"), "histograms"))
+    counts = measure(with_lists(plain.drop("doc")))
+    used = ("key", "own_list", "text_hash", "n_chars", "n_words", "base_failed", "classes", "common", "marks")
+    refs, total = references(stage(counts.select(*used), "histograms"))
     refs = stage(refs, "references")
     # A filter on the verdict would be pushed below the projections and repeat all their work; a generator is not.
     chosen = F.explode(F.when(F.col("kept"), F.array("doc")).otherwise(F.expr("slice(array(doc), 1, 0)")))

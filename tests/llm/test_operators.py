@@ -330,3 +330,13 @@ def test_quality_of_small_languages(spark):
     assert len(judged) == docs.count()
     assert {i for i, kept in judged.items() if not kept} == {4100, 5000, 5001, 5002, 5003}
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, kept in judged.items() if kept}
+
+
+@pytest.mark.parametrize("junk", ["copies", "near copies", "one long text"])
+def test_quality_references_withstand_junk(spark, junk):
+    rng = random.Random(9)
+    symbols = lambda n: " ".join("".join(rng.choice("#*$%&|<>") for _ in range(9)) for _ in range(n))
+    clean = [(i, " ".join(rng.choice(LOREM.split()) for _ in range(150))) for i in range(60)]
+    bad = {"copies": [symbols(90)] * 30, "near copies": [symbols(90) for _ in range(30)], "one long text": [symbols(3000)]}[junk]
+    docs = table(spark, clean + [(100 + i, text) for i, text in enumerate(bad)])
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, _ in clean}
