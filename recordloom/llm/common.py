@@ -108,3 +108,16 @@ def word_blocks(text: str):
             end += 1
         yield text[at:end].split()
         at = end
+
+
+def byte_words(data: bytes, table: bytes):
+    """The words of UTF-8 bytes, after ``table`` has turned what divides words into spaces, in lists of about BLOCK_CHARS bytes."""
+    data = data.translate(table)
+    at = 0
+    while at < len(data):
+        end = at + BLOCK_CHARS
+        if end < len(data):
+            cut = data.find(b" ", end)
+            end = len(data) if cut < 0 else cut
+        yield data[at:end].split()
+        at = end

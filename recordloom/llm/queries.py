@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, exact_dedup, knn_quality, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity
+from recordloom.llm import (
+    chat, decontamination, exact_dedup, knn_quality, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, vector_codes
+)
 from recordloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +223,91 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def _vector_codes_sql() -> str:
+    """Six rounds and a final assignment, one after another."""
+    assign = """
+    near{i} AS MATERIALIZED (
+        SELECT vec_id, p, part, e, gap FROM (
+            SELECT vec_id, a.p, part, e,
+                list_sum(list_transform(range(1, len(part) + 1), lambda k: (part[k] - entry[k]) * (part[k] - entry[k])))::BIGINT AS gap
+            FROM parts a JOIN book{i} b ON a.p = b.p
+        ) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY gap, e) = 1
+    )"""
+    renew = """
+    book{j} AS MATERIALIZED (
+        SELECT b.p, b.e, coalesce(fresh, entry) AS entry FROM book{i} b LEFT JOIN (
+            SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY k)::BIGINT[] AS fresh FROM (
+                SELECT p, e, k, sum(part[k])::BIGINT AS s, count(*) AS n
+                FROM (SELECT p, e, part, unnest(range(1, len(part) + 1)) AS k FROM near{i}) GROUP BY p, e, k
+            ) GROUP BY p, e
+        ) f ON b.p = f.p AND b.e = f.e
+    )"""
+    rounds = vector_codes.ROUNDS
+    steps = ",".join(assign.format(i=i) + "," + renew.format(i=i, j=i + 1) for i in range(rounds)) + "," + assign.format(i=rounds)
+    return f"""
+    WITH kept AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), parts AS MATERIALIZED (
+        SELECT vec_id, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS part FROM kept, (SELECT unnest(range(8)) AS p)
+    ), book0 AS MATERIALIZED (
+        SELECT p, row_number() OVER w - 1 AS e, part AS entry FROM parts
+        WINDOW w AS (PARTITION BY p ORDER BY vec_id) QUALIFY row_number() OVER w <= 16
+    ),{steps}, coded AS (
+        SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(gap)::BIGINT AS error FROM near{rounds} GROUP BY vec_id
+    ), digest AS (
+        SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+    )
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN kept USING (vec_id), digest
+    """
+
+
+@query(_vector_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256")
+    )
+
+
+@query(
+    r"""
+    WITH docs AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), @UP@, @LOW@), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), items AS (
+        SELECT coalesce(item_id::VARCHAR, '') AS item,
+            regexp_extract_all(translate(coalesce(text, ''), @UP@, @LOW@), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark
+    ), windows AS MATERIALIZED (
+        SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS content
+        FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0)
+    ), places AS (
+        SELECT doc_id, i, m, array_to_string(w[i + 1 : i + m], ' ') AS content
+        FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM docs), (SELECT DISTINCT m FROM windows) WHERE i + m <= len(w)
+    ), found AS MATERIALIZED (
+        SELECT doc_id, i, m, item FROM places JOIN windows USING (m, content)
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, i + unnest(range(m)) AS word FROM found) GROUP BY doc_id
+    ), listed AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """.replace("@UP@", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'").replace("@LOW@", "'abcdefghijklmnopqrstuvwxyz'")
+)
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, span: n + span["b"] - span["a"])
+    return decontamination.scan_documents(docs, benchmark).select(
+        "row.doc_id",
+        "found.n_words",
+        hit.alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
