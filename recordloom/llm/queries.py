@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import (
-    chat, decontamination, exact_dedup, knn_quality, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, vector_codes
+    chat, collocations, decontamination, exact_dedup, knn_quality, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup,
+    toxicity, vector_codes
 )
 from recordloom.llm.common import fold, table
 
@@ -311,3 +312,40 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query(
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+            SELECT lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)
+    ), f AS MATERIALIZED (
+        SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase, count(*) AS n
+        FROM (SELECT lang, w, unnest(range(len(w))) AS i FROM pieces), (SELECT unnest(range(1, 5)) AS k)
+        WHERE i + k <= len(w) GROUP BY ALL
+    ), sizes AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+    ), candidates AS MATERIALIZED (
+        SELECT lang, k AS size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 30
+    ), cuts AS (
+        SELECT c.lang, c.phrase, c.a, cut, l.n AS l, r.n AS r, (2000000::HUGEINT * a // (l.n + r.n))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, size)) AS cut FROM candidates) c
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:cut], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1 :], ' ')
+    ), best AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+    ), covered AS (
+        SELECT lang, phrase, max(a) AS longer FROM (
+            SELECT lang, a, array_to_string(w[i + 1 : i + m], ' ') AS phrase
+            FROM (SELECT *, unnest(range(size)) AS i FROM candidates), (SELECT unnest([2, 3]) AS m) WHERE m < size AND i + m <= size
+        ) GROUP BY lang, phrase
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best JOIN sizes USING (lang) LEFT JOIN covered USING (lang, phrase)
+    WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+    QUALIFY rank <= 2000
+    """
+)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
