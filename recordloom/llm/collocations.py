@@ -177,7 +177,7 @@ def _prefix_counts(hot: dict[str, set[str]], depth: int):
             phrases, length = chunk.phrases(first, depth)
             whole = length == depth
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk.lang] * int(whole.sum())), phrases.filter(pa.array(whole)), pa.array(counts[whole])], names=["lang", "phrase", "n"]
+                [pa.array([chunk.lang] * int(whole.sum()), pa.string()), phrases.filter(pa.array(whole)), pa.array(counts[whole])], names=["lang", "phrase", "n"]
             )
 
     return run
