@@ -46,7 +46,7 @@ DEPTH = 4
 LEAST = 30
 TOP = 2000
 #: Words of a chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Suffixes of a group.
 BUDGET = 1 << 19
 #: Prefixes of one length that can be beyond the budget.
