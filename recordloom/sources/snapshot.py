@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from recordloom.operators.schema import resolve_header
-from recordloom.session import stage
 from recordloom.sources.contracts import ContractError
+from recordloom.sources.records import read_records
 
 ROW = "row_number"
 FILE = "source_file"
@@ -38,15 +36,20 @@ def read_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool
 
 
 def _raw(spark: SparkSession, path: str | Sequence[str], header: list[str], multi_line: bool) -> DataFrame:
-    fields = [T.StructField(name, T.StringType()) for name in [*header, _CORRUPT]]
-    return (
-        spark.read.options(**_options(multi_line), header="true", mode="PERMISSIVE")
-        # The header of every file must equal the first one's; a reordered file fails the scan.
-        # With pruned columns the parser would not notice records of another length.
-        .options(enforceSchema="false", columnNameOfCorruptRecord=_CORRUPT, columnPruning="false")
-        .schema(T.StructType(fields))
-        .csv(path)
-    )
+    """The cells of every data record, its file, its number and, where its length is not the header's, its text."""
+    records = read_records(spark, path, multi_line)
+    cells = [f"c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{name} string" for name in [*cells, _CORRUPT])
+    # With pruned columns the parser would not notice records of another length.
+    options = {**_options(multi_line), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "columnPruning": "false"}
+    parsed = records.select(F.col("file").alias(FILE), F.col("number").alias(ROW), F.from_csv("record", schema, options).alias("_cells"))
+    # The header of every file must equal the first one's; a reordered file fails the scan.
+    names = F.array(*[F.col("_cells")[cell] for cell in cells])
+    same = names.eqNullSafe(F.array(*map(F.lit, header))) & F.col("_cells")[_CORRUPT].isNull()
+    message = F.concat(F.lit("another CSV header than the first file's: "), FILE)
+    data = F.when(F.col(ROW) >= FIRST_RECORD, F.lit(True)).when(same, F.lit(False)).otherwise(F.raise_error(message).cast("boolean"))
+    named = [F.col("_cells")[cell].alias(name) for cell, name in zip(cells, header)]
+    return parsed.where(data).select(*named, F.col("_cells")[_CORRUPT].alias(_CORRUPT), FILE, ROW)
 
 
 def _q(name: str):
@@ -63,19 +66,15 @@ def scan_snapshot(
     """Every cell as text under its API field name.
 
     Empty cells are ``''``; a cell a short record does not have is null; cells past the header are
-    left out (``ragged_records`` reports both). With ``positions`` each record keeps the file, block
-    and order it was read in, which ``number_records`` turns into record numbers.
+    left out (``ragged_records`` reports both). With ``positions`` each record comes with its file and its ``row_number``
+    there: data record *n* is *n + 1*, counting records, not lines. Large files are read by many tasks, quoted line breaks or not;
+    ``multi_line=False`` takes every line for a record.
     """
     header = read_header(spark, path, multi_line)
     resolved = resolve_header(header, column_map)
     raw = _raw(spark, path, header, multi_line)
     # Only the cells a short record lacks stay null: its sentinel lands in one of them.
-    record = F.from_csv(
-        F.concat(F.col(_CORRUPT), F.lit("," + _SENTINEL)),
-        ", ".join(f"c{i} string" for i in range(len(header))),
-        {"escape": '"'},
-    )
-    raw = raw.withColumn("_cells", F.when(F.col(_CORRUPT).isNotNull(), record))
+    raw = raw.withColumn("_cells", F.when(F.col(_CORRUPT).isNotNull(), _reparsed(len(header))))
     cells = [F.col(f"_cells.c{i}") for i in range(len(header))]
     filled = F.when(
         F.col("_cells").isNotNull(),
@@ -86,36 +85,7 @@ def scan_snapshot(
     for i, (name, field) in enumerate(resolved.items()):
         present = F.coalesce(F.col("_filled") > i, F.lit(True))
         columns.append(F.when(present, F.coalesce(_q(name), F.lit(""))).alias(field))
-    extra = []
-    if positions:
-        extra = [
-            F.col("_metadata.file_path").alias(FILE),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_read_order"),
-        ]
-    return raw.select(*columns, *extra)
-
-
-def number_records(scanned: DataFrame) -> DataFrame:
-    """Add ``row_number``: data record *n* of its file is *n + 1*, counting records, not lines.
-
-    Records of one block are numbered consecutively by the scan, so a record's place is its distance
-    from the block's first record plus the records of the file's earlier blocks. The offsets (one row
-    per block) are written out first: Spark then joins them by broadcast, leaving the records where
-    they are, exactly when the measured size allows it.
-    """
-    blocks = scanned.groupBy(FILE, "_block").agg(
-        F.min("_read_order").alias("_first"), F.count("*").alias("_records")
-    )
-    earlier = W.partitionBy(FILE).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = blocks.select(
-        FILE,
-        "_block",
-        (F.coalesce(F.sum("_records").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    joined = scanned.join(stage(offsets, "offsets"), [FILE, "_block"])
-    number = F.col("_read_order") + F.col("_shift") + FIRST_RECORD
-    return joined.withColumn(ROW, number).drop("_block", "_read_order", "_shift")
+    return raw.select(*columns, *([FILE, ROW] if positions else []))
 
 
 def land_snapshot(
@@ -127,12 +97,9 @@ def land_snapshot(
 ) -> DataFrame:
     """Parse the CSV once and keep a Parquet copy with record numbers, the input of all later work.
 
-    A file with quoted newlines cannot be split, so it is one task; ``multi_line=False`` splits files
-    known to have none. The parsed rows are staged first, so the order they were read in is fixed
-    before any number is derived from it.
+    The numbers come with the records, so the copy is the only thing that is written.
     """
-    scanned = stage(scan_snapshot(spark, path, column_map, multi_line, positions=True), "scan")
-    number_records(scanned).write.mode("errorifexists").parquet(out)
+    with_row_number(spark, path, column_map, multi_line).write.mode("errorifexists").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -142,23 +109,21 @@ def with_row_number(
     column_map: Mapping[str, str] | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
-    scanned = scan_snapshot(spark, path, column_map, multi_line, positions=True)
-    return number_records(stage(scanned, "scan"))
+    return scan_snapshot(spark, path, column_map, multi_line, positions=True)
 
 
 def ragged_records(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
-    """(source_file, kind): one row per record with cells beyond the header or fewer than it."""
+    """(source_file, row_number, kind): every record with cells beyond the header (long) or fewer than it (short)."""
     header = read_header(spark, path, multi_line)
-    raw = _raw(spark, path, header, multi_line)
-    first = _q(header[0])
-    # The first column is referenced because Spark refuses a scan of the corrupt-record column alone.
-    suspect = raw.where(F.col(_CORRUPT).isNotNull() | (first == _SENTINEL))
-    cells = F.from_csv(
-        F.concat(F.col(_CORRUPT), F.lit("," + _SENTINEL)),
-        ", ".join(f"c{i} string" for i in range(len(header))),
-        {"escape": '"'},
-    )
-    parsed = suspect.select(F.col("_metadata.file_path").alias(FILE), cells.alias("cells"))
+    suspect = _raw(spark, path, header, multi_line).where(F.col(_CORRUPT).isNotNull())
     values = F.array(*[F.col(f"cells.c{i}") for i in range(len(header))])
     short = F.coalesce(F.array_contains(F.array_compact(values), _SENTINEL), F.lit(False))
-    return parsed.select(FILE, F.when(short, "short").otherwise("long").alias("kind"))
+    parsed = suspect.select(FILE, ROW, _reparsed(len(header)).alias("cells"))
+    return parsed.select(FILE, ROW, F.when(short, "short").otherwise("long").alias("kind"))
+
+
+def _reparsed(width: int) -> Column:
+    """The cells of a record of unusual length. A short one's last cell is followed by the sentinel."""
+    return F.from_csv(
+        F.concat(F.col(_CORRUPT), F.lit("," + _SENTINEL)), ", ".join(f"c{i} string" for i in range(width)), _options(True)
+    )
