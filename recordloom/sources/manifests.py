@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +24,8 @@ MANIFEST_SCHEMA = (
     "view_last_modified: bigint>"
 )
 HASH_SCHEMA = "path string, sha256 string, bytes bigint, header_line boolean"
+#: Documents up to this size are read as one value.
+DOCUMENT_BYTES = 64 << 20
 _CHUNK = 1 << 20
 
 
@@ -55,30 +59,6 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def list_empty_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
-    """(path, bytes, modified) of the files without content below ``root``, which Spark's readers pass over.
-
-    The folders directly below ``root`` are listed in the tasks, one by one.
-    """
-    from pyarrow import fs
-
-    base = root if "://" in root else "file://" + root.removeprefix("file:")
-    system, top = fs.FileSystem.from_uri(base.rstrip("/"))
-    scheme = base.partition("://")[0]
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for folder in batch["folder"]:
-                own, name = fs.FileSystem.from_uri(folder)
-                found = [f for f in own.get_file_info(fs.FileSelector(name, recursive=True)) if f.is_file and not f.size]
-                rows = [(f"{scheme}:{f.path}" if scheme == "file" else f.path, 0, f.mtime) for f in found if f.path.endswith(suffix)]
-                yield pd.DataFrame(rows, columns=["path", "bytes", "modified"]).astype({"bytes": "int64", "modified": "datetime64[ns, UTC]"})
-
-    folders = [f.path for f in system.get_file_info(fs.FileSelector(top)) if not f.is_file]
-    rows = spark.createDataFrame([(f"{scheme}://{folder}",) for folder in folders], "folder string")
-    return rows.repartition(max(1, len(folders))).mapInPandas(listed, "path string, bytes bigint, modified timestamp")
-
-
 def _open(path: str):
     from pyarrow import fs
 
@@ -265,19 +245,126 @@ def store_content(content: DataFrame, root: str) -> DataFrame:
     return content.select("artifact", "path").mapInPandas(_copier(root), "artifact string")
 
 
-def frozen_metadata_violations(spark: SparkSession, manifests: DataFrame, root: str, sources: DataFrame) -> DataFrame:
-    """(manifest, artifact, rule) for stored metadata documents below ``root``.
+def describe_documents(contents: DataFrame) -> DataFrame:
+    """(artifact, sha256, bytes, id) of JSON documents (artifact, content): each content is read once, in the JVM.
+
+    ``id`` is the text of the document's own key; null if it has none or is not an object.
+    """
+    document = F.from_json(F.col("content").cast("string"), "id string")
+    return contents.select(
+        "artifact", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), document["id"].alias("id")
+    )
+
+
+class KeyReader:
+    """The value of one top-level key of a JSON object that is fed in pieces; of repeated keys the last counts."""
+
+    _MARKS = re.compile(rb'[{}\[\],:"\\]')
+
+    def __init__(self, key: str) -> None:
+        self.key, self.depth, self.quoted, self.escaped, self.sound = key, 0, False, False, True
+        self.name: bytearray | None = None
+        self.raw: bytearray | None = None
+        self.names, self.found = True, None
+
+    def feed(self, piece: bytes) -> None:
+        last = 0  # what lies before it has gone to the name or value that is being read
+        at = 0
+        while at < len(piece):
+            if self.escaped:  # the character behind a backslash
+                self.escaped, at = False, at + 1
+                continue
+            mark = self._MARKS.search(piece, at)
+            if mark is None:
+                break
+            char, at = mark.group(), mark.end()
+            if char == b"\\":
+                self.escaped = self.quoted
+            elif char == b'"':
+                self.quoted = not self.quoted
+                if self.depth == 1 and self.names:
+                    if self.quoted:
+                        self.name, last = bytearray(), at
+                    elif self.name is not None:
+                        self.name += piece[last : at - 1]
+                        self.label = json.loads(b'"' + self.name + b'"')
+                        self.name = None
+            elif not self.quoted:
+                if char in b"{[":
+                    self.depth += 1
+                    self.sound = self.sound and (self.depth > 1 or char == b"{")
+                elif self.depth == 1 and char == b":":
+                    self.names = False
+                    if self.label == self.key:
+                        self.raw, last = bytearray(), at
+                elif self.depth == 1 and char in b",}":
+                    if self.raw is not None:
+                        self.raw += piece[last : at - 1]
+                        text = self.raw.decode().strip()
+                        value = json.loads(text)
+                        self.found, self.raw = value if value is None or isinstance(value, str) else text, None
+                    self.names = True
+                if char in b"}]":
+                    self.depth -= 1
+        for part in (self.name, self.raw):
+            if part is not None:
+                part += piece[last:]
+
+    @property
+    def value(self) -> str | None:
+        return self.found if self.sound and not self.depth and not self.quoted else None
+
+
+def _describe_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            digest, size, reader = hashlib.sha256(), 0, KeyReader("id")
+            with _open(path) as stream:
+                while chunk := stream.read(_CHUNK):
+                    digest.update(chunk)
+                    size += len(chunk)
+                    if reader is not None:
+                        try:
+                            reader.feed(chunk)
+                        except ValueError:  # not JSON: it names no dataset
+                            reader = None
+            rows.append((path, digest.hexdigest(), size, reader.value if reader else None))
+        yield pd.DataFrame(rows, columns=["path", "sha256", "bytes", "id"])
+
+
+def read_documents(spark: SparkSession, root: str, glob: str = "*.json", whole: int = DOCUMENT_BYTES) -> DataFrame:
+    """(artifact, sha256, bytes, id) of the JSON documents stored below ``root``; every file is opened once.
+
+    Documents of at most ``whole`` bytes are values of a column. Larger ones are read in chunks by the tasks: hash and key alike.
+    """
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(root)
+    artifact = relative_path(F.col("path"), root).alias("artifact")
+    small = describe_documents(files.where(F.col("length") <= whole).select(artifact, "content"))
+    ship_package(spark)
+    large = files.where(F.col("length") > whole).select("path").mapInPandas(_describe_paths, "path string, sha256 string, bytes bigint, id string")
+    return small.unionByName(large.select(artifact, "sha256", "bytes", "id"))
+
+
+def document_violations(manifests: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """(manifest, artifact, rule) for frozen metadata among ``manifests``, whose stored ``documents`` are described.
 
     Rules: missing, integrity_mismatch (hash or byte count), and other_dataset (the document names another dataset
-    than its source's contract, or none). A document may break the last two.
+    than its source's contract, or none). A document may break the last two. One join finds all three.
     """
-    frozen = manifests.where(F.col("operation") == FREEZE)
-    stored = hash_files(list_files(spark, root, "*.json")).select(
-        relative_path(F.col("path"), root).alias("artifact"), "sha256", "bytes"
+    frozen = manifests.where(F.col("operation") == FREEZE).select(
+        "manifest", "artifact", F.col("source_slug").alias("source"),
+        F.col("receipt.sha256").alias("expected_sha256"), F.col("receipt.bytes").alias("expected_bytes"),
+    )
+    joined = frozen.join(documents, "artifact", "left").join(sources.select("source", "dataset_id"), "source", "left")
+    same = F.col("sha256").eqNullSafe(F.col("expected_sha256")) & F.col("bytes").eqNullSafe(F.col("expected_bytes"))
+    own = F.coalesce(F.col("id") == F.col("dataset_id"), F.lit(False))
+    rules = F.when(F.col("sha256").isNull(), F.array(F.lit("missing"))).otherwise(
+        F.array_compact(F.array(F.when(~same, "integrity_mismatch"), F.when(~own, "other_dataset")))
     )
-    reader = spark.read.schema("id string").options(multiLine="true", recursiveFileLookup="true", pathGlobFilter="*.json")
-    documents = reader.json(root).select(relative_path(F.col("_metadata.file_path"), root).alias("artifact"), "id")
-    named = frozen.select("manifest", "artifact", F.col("source_slug").alias("source")).join(documents, "artifact")
-    wrong = ~F.coalesce(F.col("id") == F.col("dataset_id"), F.lit(False))
-    other = named.join(sources.select("source", "dataset_id"), "source", "left").where(wrong)
-    return artifact_violations(frozen, stored).unionByName(other.select("manifest", "artifact", F.lit("other_dataset").alias("rule")))
+    return joined.select("manifest", "artifact", F.explode(rules).alias("rule"))
+
+
+def frozen_metadata_violations(spark: SparkSession, manifests: DataFrame, root: str, sources: DataFrame) -> DataFrame:
+    """``document_violations`` of the metadata documents stored below ``root``."""
+    return document_violations(manifests, read_documents(spark, root), sources)

@@ -12,11 +12,13 @@ from recordloom.functions import digests, pii, text, urls, values
 from recordloom.operators import checks, entities, limits, privacy, profile, schema
 from recordloom.plans import audit, candidates, cards, gates, review
 from recordloom.session import shared_dir, stage
+from recordloom.sources import content_index
 from recordloom.sources import manifests as M
 from recordloom.sources import sinks, snapshot
 from recordloom.sources.catalog import read_column_catalog
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.inventory import INVENTORY, PUBLIC_SOURCES
+from recordloom.sources.listing import list_empty_files, list_tree
 from workload import tables as T
 from workload.tables import sql_case, sql_date, sql_money, sql_strict, sql_suffix, table, with_views
 
@@ -1216,14 +1218,18 @@ _SQL_LANDED = """SELECT *, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'no header
 _UNKNOWN = "src3"
 
 
-def _landed(spark, d) -> tuple[str, DataFrame]:
-    landing, case = _new_folder(spark, "landing"), F.col("doc_id") % 5
-    content = (
+def _landed_content() -> Column:
+    case = F.col("doc_id") % 5
+    return (
         F.when(case == 0, "").when(case == 1, "no header").when(case == 2, "id,note\n")
         .otherwise(F.concat(F.lit("x" * 300 + ",lang\n"), "doc_id", F.lit(","), "lang", F.lit("\n")))
     )
+
+
+def _landed(spark, d) -> tuple[str, DataFrame]:
+    landing = _new_folder(spark, "landing")
     files = table(spark, d, "documents").select(
-        F.concat("source", F.lit("/"), "doc_id", F.lit(".csv")).alias("artifact"), content.cast("binary").alias("content")
+        F.concat("source", F.lit("/"), "doc_id", F.lit(".csv")).alias("artifact"), _landed_content().cast("binary").alias("content")
     )
     M.write_files(files, landing).write.format("noop").mode("overwrite").save()
     known = table(spark, d, "documents").where(F.col("source") != _UNKNOWN).select("source").distinct()
@@ -1255,7 +1261,7 @@ def register_snapshots(spark, d):
 )
 def landing_rejects(spark, d):
     landing, sources = _landed(spark, d)
-    files = M.list_files(spark, landing, "*.csv").unionByName(M.list_empty_files(spark, landing, ".csv"))
+    files = M.list_files(spark, landing, "*.csv").unionByName(list_empty_files(spark, landing, ".csv"))
     rejects = M.landing_rejects(M.hash_files(files), sources)
     return rejects.select(M.relative_path(F.col("path"), landing).alias("file"), "rule")
 
@@ -1267,15 +1273,47 @@ def landing_rejects(spark, d):
 )
 def snapshot_violations(spark, d):
     landing, _ = _landed(spark, d)
-    files = M.list_files(spark, landing, "*.csv").unionByName(M.list_empty_files(spark, landing, ".csv"))
+    files = M.list_files(spark, landing, "*.csv").unionByName(list_empty_files(spark, landing, ".csv"))
     found = M.snapshot_violations(M.hash_files(files))
     return found.select(M.relative_path(F.col("path"), landing).alias("file"), "rule")
 
 
-# Frozen metadata: one document for each order of every tenth customer, kept for its customer's dataset.
+@query(
+    "list_tree",
+    f"""SELECT CASE WHEN doc_id % 5 = 4 THEN '' ELSE source || '/' END || doc_id || '.csv' AS file, CAST(length(content) AS BIGINT) AS bytes
+        FROM ({_SQL_LANDED})""",
+)
+def list_tree_query(spark, d):
+    """Every landed file, in the root and in the folders, with and without content."""
+    landing, case = _new_folder(spark, "tree"), F.col("doc_id") % 5
+    docs = table(spark, d, "documents").select(
+        F.concat(F.when(case == 4, "").otherwise(F.concat("source", F.lit("/"))), "doc_id", F.lit(".csv")).alias("artifact"),
+        _landed_content().cast("binary").alias("content"),
+    )
+    M.write_files(docs, landing).write.format("noop").mode("overwrite").save()
+    return list_tree(spark, landing).select(M.relative_path(F.col("path"), landing).alias("file"), "bytes")
+
+
+@query(
+    "new_content",
+    """SELECT artifact, min(path) AS path FROM (
+         SELECT doc_id, 'data/raw/ds/' || sha256(text) || '.csv' AS artifact, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path FROM documents)
+       WHERE artifact NOT IN (SELECT 'data/raw/ds/' || sha256(text) || '.csv' FROM documents WHERE doc_id % 3 = 0)
+       GROUP BY artifact""",
+)
+def new_content(spark, d):
+    """Of all texts as files of a batch, one for each content that an earlier batch has not stored, by the index."""
+    artifact = F.concat(F.lit("data/raw/ds/"), F.sha2("text", 256), F.lit(".csv")).alias("artifact")
+    batch = stage(table(spark, d, "documents").select("doc_id", artifact, F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path")), "batch")
+    index = _new_folder(spark, "index")
+    content_index.add_to_index(batch.where("doc_id % 3 = 0"), index, 0)
+    return M.new_content(batch, content_index.stored_among(spark, batch, index))
+
+
+# Frozen metadata: one document for each order, kept for its customer's dataset. The documents lie in a table of contents,
+# many to a file; loose files, one for each customer, are read by the query below.
 _SQL_FROZEN = """SELECT o_orderkey, 'user' || o_custkey AS source, 'data/metadata/ds-' || o_custkey || '/' || o_orderkey || '.json' AS artifact,
-  '{"id":"' || CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE 'ds-' || o_custkey END || '","name":"n' || o_orderkey || '"}' AS content FROM orders
-  WHERE o_custkey % 10 = 0"""
+  '{"id":"' || CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE 'ds-' || o_custkey END || '","name":"n' || o_orderkey || '"}' AS content FROM orders"""
 
 
 @query(
@@ -1286,9 +1324,9 @@ _SQL_FROZEN = """SELECT o_orderkey, 'user' || o_custkey AS source, 'data/metadat
             WHEN o_orderkey % 13 = 0 THEN ['other_dataset'] ELSE [] END) AS rule FROM ({_SQL_FROZEN}))""",
 )
 def frozen_metadata_violations(spark, d):
-    root, key = _new_folder(spark, "frozen"), F.col("o_orderkey")
-    orders = table(spark, d, "orders").where("o_custkey % 10 = 0").select(
-        "o_orderkey", F.concat(F.lit("user"), "o_custkey").alias("source_slug"),
+    key = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", F.concat(F.lit("user"), "o_custkey").alias("source_slug"),
         F.concat(F.lit("data/metadata/ds-"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".json")).alias("artifact"),
         F.to_json(
             F.struct(
@@ -1297,18 +1335,14 @@ def frozen_metadata_violations(spark, d):
             )
         ).alias("content"),
     )
-    M.write_files(orders.where(key % 7 != 0).select("artifact", F.col("content").cast("binary").alias("content")), root).write.format(
-        "noop"
-    ).mode("overwrite").save()
+    stored = stage(orders.where(key % 7 != 0).select("artifact", F.col("content").cast("binary").alias("content")), "frozen_documents")
     size = F.octet_length("content") + F.when(key % 5 == 0, 1).otherwise(0)
     manifests = orders.select(
         key.cast("string").alias("manifest"), F.lit(M.FREEZE).alias("operation"), "source_slug", "artifact",
         F.struct(size.cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256")).alias("receipt"),
     )
-    sources = orders.select(F.col("source_slug").alias("source")).distinct().withColumn(
-        "dataset_id", F.concat(F.lit("ds-"), F.substring("source", 5, 20))
-    )
-    return M.frozen_metadata_violations(spark, manifests, root, sources)
+    sources = orders.select(F.col("source_slug").alias("source"), F.concat(F.lit("ds-"), "o_custkey").alias("dataset_id")).distinct()
+    return M.document_violations(manifests, M.describe_documents(stored), sources)
 
 
 # Frozen metadata over all orders: one document for each customer, made from all of the customer's orders, and one
