@@ -46,9 +46,9 @@ DEPTH = 4
 LEAST = 30
 TOP = 2000
 #: Words of a chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Suffixes of a group.
-BUDGET = 1 << 19
+BUDGET = 1 << 18
 #: Prefixes of one length that can be beyond the budget.
 MOST_PREFIXES = 1 << 16
 
@@ -159,6 +159,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
         for lang, words, ids in zip(*(batch.column(c) for c in ("lang", "words", "ids"))):
             yield Chunk(lang.as_py(), words.values, ids.as_py())
+            pa.default_memory_pool().release_unused()
 
 
 def _prefix_counts(hot: dict[str, set[str]], depth: int):
@@ -288,6 +289,7 @@ def _nodes(least: int):
                 if (group, lang) != last and held:
                     yield built(last[1], held)
                     held = []
+                    pa.default_memory_pool().release_unused()
                 last = (group, lang)
                 held.append((text, n))
         if held:
