@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from recordloom.functions.text import strip
 from recordloom.operators.checks import require_empty
 from recordloom.operators.schema import check_public_columns
 from recordloom.sources.contracts import SourceContract
-from recordloom.session import stage
+from recordloom.session import ship_package
 from recordloom.sources.snapshot import ROW
 
 FINDING = ("row_number", "field", "kind", "preview")
@@ -27,12 +29,8 @@ FIXTURE_NAME = "EXAMPLE ORGANIZATION %04d"
 FIXTURE_TEXT = "SYNTHETIC %s %%04d"
 
 
-def pii_scan(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
-    """Every finding over whole cells: at most one per cell and pattern, no cap.
-
-    One narrow pass: the patterns of all fields fill one array per record and only records with
-    findings produce rows, so nothing is shuffled.
-    """
+def _found(df: DataFrame, fields: Sequence[str], row: str) -> DataFrame:
+    """(row_number, found): the findings of each record in one array, in column and pattern order."""
     flags: list[Column] = []
     for position, field in enumerate(fields):
         value, numbered = F.col(field), []
@@ -48,33 +46,95 @@ def pii_scan(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
             else:
                 numbered.append(F.when(hit, finding))
         flags.append(F.coalesce(F.when(has_digit(value), F.array(*numbered)), F.array(F.lit(None).cast(_FOUND))))
-    found = df.select(F.col(row).alias(ROW), F.explode(F.array_compact(F.concat(*flags))).alias("f"))
+    return df.select(F.col(row).alias(ROW), F.array_compact(F.concat(*flags)).alias("found"))
+
+
+def pii_scan(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
+    """Every finding over whole cells: at most one per cell and pattern, no cap.
+
+    One narrow pass: the patterns of all fields fill one array per record and only records with
+    findings produce rows, so nothing is shuffled.
+    """
+    found = _found(df, fields, row).select(ROW, F.explode("found").alias("f"))
     return found.select(
         ROW, "f.field", "f.kind", F.lit(REDACTED).alias("preview"), "f.field_position", "f.pattern_position"
     )
 
 
+_FIRST_SCHEMA = "row_number bigint, field string, kind string, preview string, field_position int, pattern_position int, total_findings bigint"
+
+
+def _first_of(count: int, last: bool):
+    """A task's first ``count`` findings, and how many it has seen in a row of their own; at the end beside each finding.
+
+    The result of a task has the form of its input, so it can be cut again with those of others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            seen = table.column("total_findings")
+            total += pc.sum(seen).as_py() or 0
+            table = table.filter(pc.is_valid(table.column(ROW)))
+            table = table if held is None else pa.concat_tables([held, table])
+            order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in _FINDING_ORDER])
+            held = table.take(order.slice(0, count)).combine_chunks()
+        if held is None:
+            return
+        at = held.schema.get_field_index("total_findings")
+        if last:
+            held = held.set_column(at, held.schema.field(at), pa.array([total] * len(held), pa.int64()))
+        else:
+            # Findings that go on were counted here.
+            held = held.set_column(at, held.schema.field(at), pa.array([0] * len(held), pa.int64()))
+            counts = pa.table({f.name: pa.array([total if f.name == "total_findings" else None], f.type) for f in held.schema}, schema=held.schema)
+            held = pa.concat_tables([held, counts])
+        yield from held.combine_chunks().to_batches()
+
+    return run
+
+
+#: Tasks whose first findings are cut together before the last cut.
+_CUTS = 64
+
+
 def first_findings(findings: DataFrame, count: int = 25) -> DataFrame:
     """The first ``count`` findings in record, column and pattern order, and the exact total.
 
-    The findings are written out once (they hold no values), to be both counted and cut.
+    One pass: every task keeps its first findings and counts all, and what the tasks return is cut twice more. Findings
+    are neither written out nor sent anywhere but for the first of each task.
     """
     if count < 1:
         raise ValueError("count must be positive")
-    findings = stage(findings, "findings")
-    total = findings.groupBy().agg(F.count("*").alias("n"))
-    first = findings.orderBy(*_FINDING_ORDER).limit(count)
-    return first.select(*FINDING, total.scalar().alias("total_findings"))
+    ship_package(findings.sparkSession)
+    kept = findings.select(F.col(ROW).cast("bigint").alias(ROW), *FINDING[1:], "field_position", "pattern_position", F.lit(1).cast("bigint").alias("total_findings"))
+    for tasks in (None, _CUTS, 1):
+        kept = (kept if tasks is None else kept.repartition(tasks)).mapInArrow(_first_of(count, tasks == 1), _FIRST_SCHEMA)
+    return kept.orderBy(*_FINDING_ORDER).select(*FINDING, "total_findings")
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:
-    """Findings and distinct records per field and kind."""
+    """Findings and distinct records per field and kind, of findings that are already there. See ``scan_counts``."""
     per_record = findings.groupBy("field", "kind", ROW).agg(F.count("*").alias("n"))
     return per_record.groupBy("field", "kind").agg(
         F.sum("n").alias("findings"), F.count("*").alias("records")
     )
 
 
+def scan_counts(df: DataFrame, fields: Sequence[str], row: str = ROW) -> DataFrame:
+    """(field, kind, findings, records) of a table, in one pass: a record's findings are still together when they are counted.
+
+    Only one row for each field, kind and task is sent on. Records count one by one, whatever their numbers.
+    """
+    kinds = F.transform("found", lambda f: F.struct(f["field"].alias("field"), f["kind"].alias("kind")))
+    each = F.transform(
+        F.array_distinct(kinds), lambda k: F.struct(k["field"].alias("field"), k["kind"].alias("kind"), F.size(F.filter(kinds, lambda other: other == k)).alias("n"))
+    )
+    counted = _found(df, fields, row).select(F.explode(each).alias("c"))
+    return counted.groupBy("c.field", "c.kind").agg(F.sum("c.n").cast("bigint").alias("findings"), F.count("*").alias("records"))
+
+
 def check_public(df: DataFrame, contract: SourceContract, row: str = ROW) -> DataFrame:
     """Findings of a table meant for publication, in its own column order.
 
@@ -91,6 +151,12 @@ def audit_source(df: DataFrame, contract: SourceContract, row: str = ROW) -> Dat
     return pii_scan(df.select(row, *contract.public_fields), contract.public_fields, row)
 
 
+def audit_counts(df: DataFrame, contract: SourceContract) -> DataFrame:
+    """``scan_counts`` of the allowlisted columns of a private snapshot."""
+    contract.require_fields(df.columns, contract.public_fields)
+    return scan_counts(df, contract.public_fields)
+
+
 def _fixture_value(field: str, number: Column, contract: SourceContract) -> Column:
     """The stand-in for a non-blank value of ``field`` in the n-th record."""
     if field in contract.fields("date"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.digests import candidate_id
 from recordloom.functions.urls import source_rows_url
+from recordloom.operators.asof import newest_at
 from recordloom.operators.checks import require_rows
 from recordloom.operators.entities import (
     campaign_names,
@@ -20,6 +21,7 @@ from recordloom.operators.entities import (
 from recordloom.operators.limits import STRICT, SUFFIX, stratified_limit, top_per_group
 from recordloom.session import stage
 from recordloom.sources.contracts import SourceContract
+from recordloom.sources.manifests import ACQUIRE
 
 # The evidence columns in their published order.
 EVIDENCE = (
@@ -302,17 +304,28 @@ def amount_text(amount: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(amount.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def as_text(candidates: DataFrame) -> DataFrame:
-    """The candidates as an all-text worksheet in the published column order."""
+def text_columns() -> list[Column]:
+    """The worksheet's columns as text, in the published order."""
     columns = []
     for name in (*EVIDENCE, *WORKSHEET):
         cell = F.col(name)
         text = amount_text(cell) if name.endswith("_amount") else cell.cast("string")
         columns.append(F.coalesce(text, F.lit("")).alias(name))
-    return candidates.select(*columns)
+    return columns
+
 
+def as_text(candidates: DataFrame) -> DataFrame:
+    """The candidates as an all-text worksheet in the published column order."""
+    return candidates.select(*text_columns())
 
-def artifact_hashes(latest: DataFrame) -> Mapping[str, str]:
-    """Artifact hash by source from the newest acquisitions: one row per configured source."""
-    stem = F.regexp_extract("artifact", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    return {row["source"]: row["sha"] for row in latest.select("source", stem.alias("sha")).collect()}
+
+def with_snapshot_hashes(rows: DataFrame, manifests: DataFrame, source: str, at: str, name: str = "artifact_sha256") -> DataFrame:
+    """``rows`` with the hash of the snapshot of their ``source`` that was the newest at the time ``at``, null without one.
+
+    A snapshot is named by its hash; times are the texts of the manifests. Candidates made from several snapshots of a source are
+    dated row by row.
+    """
+    acquired = manifests.where(F.col("operation") == ACQUIRE).select(
+        F.col("source_slug").alias(source), F.col("receipt.retrieved_at").alias(at), F.regexp_extract("artifact", r"([^/]*?)(?:\.[^./]*)?$", 1).alias(name)
+    )
+    return newest_at(rows, acquired, source, at, name)

@@ -31,7 +31,13 @@ def test_manifests_and_latest(spark, tmp_path):
     read = M.read_manifests(spark, str(tmp_path))
     assert read.select("receipt.response_headers").first()[0] == {"etag": "x"}
     (row,) = M.latest_artifacts(read).collect()
-    assert row["artifact"].endswith("new.csv") and plan.artifact_hashes(M.latest_artifacts(read)) == {"contracts": "new"}
+    assert row["artifact"].endswith("new.csv")
+    rows = spark.createDataFrame(
+        [("contracts", "2026-08-18T12:00:00+00:00"), ("contracts", "2026-08-19T00:00:00+00:00"), ("contracts", "2026-08-01"), ("other", "2027"), (None, "2027"), ("contracts", None)],
+        "source string, at string",
+    )
+    got = [r["artifact_sha256"] for r in plan.with_snapshot_hashes(rows, read, "source", "at").orderBy("source", "at").collect()]
+    assert got == [None, None, None, first["receipt"]["sha256"], "new", None]
 
 
 def test_verification(spark, tmp_path):
@@ -158,7 +164,9 @@ def test_audit_card_and_sinks(spark, tmp_path):
     assert sinks.output_rows(spark, str(tmp_path / "c"), "csv").first()[0] == 3
     sinks.write_candidates(candidates, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).columns == [*plan.EVIDENCE, *plan.WORKSHEET]
-    sinks.write_profile(profile, str(tmp_path / "profile"))
+    for run in ("r1", "r2", "r2"):
+        sinks.write_profile(profile, str(tmp_path / "profile"), run)
+    assert spark.read.parquet(str(tmp_path / "profile")).groupBy("run").count().orderBy("run").collect() == [("r1", 2), ("r2", 2)]
     sinks.write_report(result.public, str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).count() == 2
     fixture = spark.createDataFrame([(2, "EXAMPLE ORGANIZATION 0001")], "row_number bigint, lgl_nm string")
