@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordloom.functions.digests import CANDIDATE_ID, SHA256_HEX, row_fingerprint
@@ -65,21 +66,35 @@ def check_review_columns(columns: list[str]) -> None:
         raise GateError("review columns do not match the current schema")
 
 
-def id_violations(df: DataFrame, row: str = ROW) -> DataFrame:
-    """(row_number, rule_position, rule): malformed ids, and well-formed ids seen before."""
-    keyed = df.select(F.col(row).alias(ROW), F.coalesce("candidate_id", F.lit("")).alias("candidate_id"))
-    shape = keyed.where(~F.col("candidate_id").rlike(CANDIDATE_ID)).select(
+def id_violations(df: DataFrame, row: str = ROW, laid_out: bool = False) -> DataFrame:
+    """(row_number, rule_position, rule): malformed ids, and well-formed ids seen before.
+
+    With ``laid_out`` the table lies by its ids (``sources.layout``): equal ids are neighbours in their task already,
+    so they are compared there; otherwise first occurrences are joined back with salts.
+    """
+    keyed = df.select(F.col(row).alias(ROW), "candidate_id")
+    if not laid_out:
+        keyed = keyed.fillna("", "candidate_id")
+    shape = keyed.where(~F.coalesce(F.col("candidate_id").rlike(CANDIDATE_ID), F.lit(False))).select(
         ROW, F.lit(0).alias("rule_position"), F.lit("candidate_id_shape").alias("rule")
     )
     well_formed = keyed.where(F.col("candidate_id").rlike(CANDIDATE_ID))
-    repeated = later_occurrences(well_formed, "candidate_id", ROW).select(
+    if laid_out:
+        nth = F.row_number().over(W.partitionBy("candidate_id").orderBy(ROW))
+        later = well_formed.withColumn("_nth", nth).where("_nth > 1")
+    else:
+        later = later_occurrences(well_formed, "candidate_id", ROW)
+    repeated = later.select(
         ROW, F.lit(1).alias("rule_position"), F.lit("duplicate_candidate_id").alias("rule")
     )
     return shape.unionByName(repeated)
 
 
 def init_review(candidates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Worksheet rows with fingerprints and blank decisions; ids already under review are left out."""
+    """Worksheet rows with fingerprints and blank decisions; ids already under review are left out.
+
+    A review that lies by its ids (``sources.layout``) stays where it is; only the candidates are dealt out.
+    """
     _check_candidate_columns(candidates.columns)
     rows = candidates
     if existing is not None:
@@ -149,7 +164,10 @@ def review_violations(review: DataFrame, row: str = ROW) -> DataFrame:
 
 
 def candidate_drift(candidates: DataFrame, review: DataFrame, row: str = ROW) -> DataFrame:
-    """(candidate_id, drift): missing from the review, added to it, or changed since."""
+    """(candidate_id, drift): missing from the review, added to it, or changed since.
+
+    A review that lies by its ids stays where it is here, too.
+    """
     current = candidates.select("candidate_id", row_fingerprint(EVIDENCE).alias("_current"))
     return fingerprint_drift(current, review, "candidate_id", "candidate_fingerprint", row)
 

@@ -18,6 +18,7 @@ from recordloom.sources import sinks, snapshot
 from recordloom.sources.catalog import read_column_catalog
 from recordloom.sources.contracts import SourceContract
 from recordloom.sources.inventory import INVENTORY, PUBLIC_SOURCES
+from recordloom.sources.layout import lay_out
 from recordloom.sources.listing import list_empty_files, list_tree
 from workload import tables as T
 from workload.tables import sql_case, sql_date, sql_money, sql_strict, sql_suffix, table, with_views
@@ -1554,7 +1555,8 @@ def candidate_drift(spark, d):
         F.sha2("text", 256).alias("fp"),
     )
     current = current.select("id", F.col("fp").alias("_current"))
-    return review.fingerprint_drift(current, labelled.unionByName(items), "id", "fp", "doc_id")
+    reviewed = lay_out(labelled.unionByName(items), _new_folder(spark, "reviewed"), "id")
+    return review.fingerprint_drift(current, reviewed, "id", "fp", "doc_id")
 
 
 # Orders are review rows; statuses, decisions and mistakes come from their keys.
@@ -1671,6 +1673,16 @@ def first_violations(spark, d):
     return checks.first_violations(broken, ["row_number", "rule_position"]).select("row_number", "rule", "remaining")
 
 
+@query(
+    "duplicate_ids",
+    with_views("SELECT row_number, CAST(rule_position AS BIGINT) AS rule_position, rule FROM broken WHERE rule_position < 2", **_REVIEW_SQL, numbered=_SQL_NUMBERED, broken=_SQL_BROKEN),
+)
+def duplicate_ids(spark, d):
+    """Malformed and repeated ids of a review table that lies by its ids."""
+    laid_out = lay_out(_review(spark, d), _new_folder(spark, "review"), "candidate_id")
+    return review.id_violations(laid_out, laid_out=True).withColumn("rule_position", F.col("rule_position").cast("bigint"))
+
+
 @query(
     "init_review",
     with_views(
@@ -1681,7 +1693,7 @@ def first_violations(spark, d):
 )
 def init_review(spark, d):
     rows = _review(spark, d)
-    existing = rows.where(F.col("evidence_tier") == limits.STRICT)
+    existing = lay_out(rows.where(F.col("evidence_tier") == limits.STRICT), _new_folder(spark, "under-review"), "candidate_id")
     made = review.init_review(rows.select(*candidates.EVIDENCE), existing)
     return made.select("candidate_id", "candidate_fingerprint", "review_status", "reviewed_at")
 
