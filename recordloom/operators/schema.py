@@ -51,6 +51,51 @@ def name_collisions(catalog: DataFrame, by: str = "source") -> DataFrame:
     )
 
 
+def header_violations(headers: DataFrame, by: str = "source", header: str = "header") -> DataFrame:
+    """(source, rule) for the headers (arrays of cells) of many files at once, by the rules that a scan applies to its own.
+
+    Rules: empty_cell; repeated_cell; unusable_name (a cell without any letter or digit); colliding_names (different cells
+    with one canonical name). A missing cell is an empty one, and a header without cells is empty_header. Nothing is shuffled.
+    """
+    cells = F.transform(header, lambda c: F.coalesce(c, F.lit("")))
+    filled = F.array_distinct(F.filter(cells, lambda c: c != ""))
+    names = F.transform(filled, canonical_field_name)
+    usable = F.filter(names, lambda n: n != "")
+    rules = F.array_compact(
+        F.array(
+            F.when(F.col(header).isNull() | (F.size(header) == 0), "empty_header"),
+            F.when(F.array_contains(cells, ""), "empty_cell"),
+            F.when(F.size(F.filter(cells, lambda c: c != "")) > F.size(filled), "repeated_cell"),
+            F.when(F.size(usable) < F.size(names), "unusable_name"),
+            F.when(F.size(F.array_distinct(usable)) < F.size(usable), "colliding_names"),
+        )
+    )
+    return headers.select(by, F.explode(rules).alias("rule"))
+
+
+def filter_violations(filters: DataFrame, fields: DataFrame) -> DataFrame:
+    """(source, field) of row filters on fields that their source does not publish."""
+    public = fields.where(F.col("role") == "public").select("source", "field").distinct()
+    return filters.select("source", "field").distinct().join(public, ["source", "field"], "left_anti")
+
+
+def column_order_violations(observed: DataFrame, expected: Sequence[str], by: str = "source") -> DataFrame:
+    """(source, column, rule) for tables (source, position, column) whose columns must be the ``expected`` ones in order.
+
+    Rules: missing, unexpected, misplaced (another place than the expected one), repeated. Positions count from 0.
+    """
+    places = F.create_map(*[F.lit(x) for place, name in enumerate(expected) for x in (name, place)])
+    held = observed.groupBy(by, "column").agg(F.count("*").alias("n"), F.min("position").alias("position"))
+    place = places[F.col("column")]
+    rule = (
+        F.when(place.isNull(), "unexpected").when(F.col("n") > 1, "repeated").when(place != F.col("position"), "misplaced")
+    )
+    wrong = held.select(by, "column", rule.alias("rule")).where(F.col("rule").isNotNull())
+    seen = observed.groupBy(by).agg(F.collect_set("column").alias("seen"))
+    missing = F.array_except(F.array(*map(F.lit, expected)), "seen")
+    return wrong.unionByName(seen.select(by, F.explode(missing).alias("column"), F.lit("missing").alias("rule")))
+
+
 def column_map(catalog: DataFrame, by: str = "source") -> DataFrame:
     """(source, observed, field, meanings): what each observed spelling stands for.
 

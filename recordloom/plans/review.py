@@ -12,6 +12,7 @@ from recordloom.functions.urls import valid_evidence_urls
 from recordloom.functions.values import is_aware_timestamp, parse_date
 from recordloom.operators.checks import GateError, explode_rules, require_empty, require_rows
 from recordloom.operators.limits import STRICT, SUFFIX, later_occurrences
+from recordloom.operators.schema import column_order_violations
 from recordloom.plans.candidates import EVIDENCE, WORKSHEET
 from recordloom.session import stage
 from recordloom.sources.inventory import PUBLIC_SOURCES
@@ -66,6 +67,11 @@ def check_review_columns(columns: list[str]) -> None:
         raise GateError("review columns do not match the current schema")
 
 
+def review_column_violations(observed: DataFrame, by: str = "source") -> DataFrame:
+    """(source, column, rule) for worksheets (source, position, column) whose columns are not the current schema's."""
+    return column_order_violations(observed.where(F.col("column") != ROW), (*EVIDENCE, *REVIEW), by)
+
+
 def id_violations(df: DataFrame, row: str = ROW, laid_out: bool = False) -> DataFrame:
     """(row_number, rule_position, rule): malformed ids, and well-formed ids seen before.
 

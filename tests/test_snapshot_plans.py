@@ -54,24 +54,44 @@ def test_latest_snapshot_is_landed_under_api_names(spark, tmp_path):
         snapshots.source_column_map(spark, str(root / snapshots.latest_path(manifests, CONTRIBUTIONS, M.FREEZE)), CONTRACTS)
 
 
+WELLS = SourceContract(
+    "wells", "wells-1", "Wells",
+    {"well_no": ("identity",), "remarks": (), "depth": ("amount",), "owner_phone": ("restricted",), "surveyed_on": ("date",)},
+)
+
+
 def test_public_file_check(spark, tmp_path):
-    path = tmp_path / "public.csv"
-    path.write_text("doc_dscr\nsafe,person@example.com\n")
-    with pytest.raises(GateError, match="do not fit the header"):
-        snapshots.check_public_file(spark, str(path), CONTRACTS)
-    path.write_text("doc_dscr\nsafe\ncall (512) 555-0199\n")
-    (found,) = snapshots.check_public_file(spark, str(path), CONTRACTS).collect()
-    assert (found["row_number"], found["field"], found["kind"], found["preview"]) == (3, "doc_dscr", "phone", "[redacted]")
-    path.write_text("doc_dscr,contract_contact_email_ad\nsafe,\n")
-    with pytest.raises(ContractError, match="not allowlisted"):
-        snapshots.check_public_file(spark, str(path), CONTRACTS)
+    path = tmp_path / "wells.csv"
+
+    def found():
+        return sorted(tuple(r)[:4] for r in snapshots.check_public_file(spark, str(path), WELLS).collect())
+
+    path.write_text('Well No,Remarks,Depth\n1,dry,12\n2,"mail ida@mill.example\nor ring 206 555 0143",9\n3,,\n4,12 Mill Road,3\n')
+    assert found() == [
+        (3, "remarks", "email", "[redacted]"), (3, "remarks", "phone", "[redacted]"), (5, "remarks", "street_address", "[redacted]"),
+    ]
+    # A record with a cell too many, behind one with a line break, stops the check; a short one does not.
+    path.write_text('Well No,Remarks\n1,"two\nlines"\n2\n3,ok,ring 206 555 0143\n')
+    with pytest.raises(GateError, match="do not fit the header: 1 violation"):
+        found()
+    path.write_text("Well No,Remarks\n1\n2,ok\n")
+    assert found() == []
+    for column, rule in (("Owner Phone", "not allowlisted"), ("Colour", "not allowlisted")):
+        path.write_text(f"Well No,{column}\n1,\n2,\n")
+        with pytest.raises(ContractError, match=rule):
+            found()
 
 
 def test_private_file_audit(spark, tmp_path):
-    narrow = SourceContract("s", "d", "t", {"doc_dscr": (), "contract_contact_email_ad": ("restricted",)})
     path = tmp_path / "private.csv"
-    path.write_text("DOC_DSCR,CONTRACT_CONTACT_EMAIL_AD\nsafe description,person@example.com\n")
-    assert snapshots.audit_private_file(spark, str(path), narrow).count() == 0
+    lines = [f"{i},depth by hand,{i},+1 206 555 01{i:02d},2020-01-{i:02d}" for i in range(1, 20)]
+    lines[10] = "11,ask at 4 Harbour Lane,11,206 555 0111,2020-01-11"
+    path.write_text("\n".join(["Well No,Remarks,Depth,Owner Phone,Surveyed On", *lines]) + "\n")
+    found = snapshots.audit_private_file(spark, str(path), WELLS).collect()
+    assert [tuple(r)[:3] for r in found] == [(12, "remarks", "street_address")]  # the phones lie in a column that stays unread
+    path.write_text("Well No,Remarks\n1,x\n")
+    with pytest.raises(ContractError):
+        snapshots.audit_private_file(spark, str(path), WELLS)
 
 
 def test_worksheet_round_trip(spark, tmp_path):
@@ -87,8 +107,9 @@ def test_worksheet_round_trip(spark, tmp_path):
 
 
 def test_frozen_metadata_of_every_order(spark, sf_dir):
-    """Every order with a broken manifest is reported, whoever its customer is."""
+    """Every order with a broken document or manifest is reported, whoever its customer is."""
     orders = {str(r.o_orderkey): r for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
-    found = QUERIES["frozen_metadata_violations_all"](spark, sf_dir).select("manifest").distinct().collect()
-    want = {k for k, r in orders.items() if r.o_orderkey % 5 == 0 or r.o_custkey % 7 == 0 or r.o_custkey % 13 == 0}
-    assert {r.manifest for r in found} == want
+    for name, key in (("frozen_metadata_violations", "o_orderkey"), ("frozen_metadata_violations_all", "o_custkey")):
+        found = QUERIES[name](spark, sf_dir).select("manifest").distinct().collect()
+        want = {k for k, r in orders.items() if r.o_orderkey % 5 == 0 or r[key] % 7 == 0 or r[key] % 13 == 0}
+        assert {r.manifest for r in found} == want

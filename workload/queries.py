@@ -890,6 +890,70 @@ def name_collisions(spark, d):
     return schema.name_collisions(_catalog(spark, d))
 
 
+# One header for each customer: some cells are empty, repeated, without a letter, or alike but for case and signs.
+_SQL_HEADERS = """SELECT c_custkey, ['Id', c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Name (full)' END,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Id' ELSE 'No. ' || c_custkey END, CASE WHEN c_custkey % 7 = 0 THEN '--' ELSE 'x' END,
+  CASE WHEN c_custkey % 11 = 0 THEN 'name-full' ELSE 'y' END] AS header FROM customer"""
+
+
+@query(
+    "header_violations",
+    f"""SELECT source, unnest(list_filter([CASE WHEN list_contains(header, '') THEN 'empty_cell' END,
+            CASE WHEN len(filled) > len(cells) THEN 'repeated_cell' END, CASE WHEN list_contains(names, '') THEN 'unusable_name' END,
+            CASE WHEN len(usable) > len(list_distinct(usable)) THEN 'colliding_names' END], lambda r: r IS NOT NULL)) AS rule
+        FROM (SELECT *, list_filter(names, lambda n: n <> '') AS usable FROM (SELECT *, list_transform(cells, lambda c:
+            trim(regexp_replace(lower(c), '[^a-z0-9]+', '_', 'g'), '_')) AS names FROM (SELECT *, list_distinct(filled) AS cells FROM (
+              SELECT c_custkey AS source, header, list_filter(header, lambda c: c <> '') AS filled FROM ({_SQL_HEADERS})))))""",
+)
+def header_violations(spark, d):
+    key = F.col("c_custkey")
+    cells = F.array(
+        F.lit("Id"), "c_mktsegment", F.when(key % 3 == 0, "").otherwise("Name (full)"),
+        F.when(key % 5 == 0, "Id").otherwise(F.concat(F.lit("No. "), key)), F.when(key % 7 == 0, "--").otherwise("x"),
+        F.when(key % 11 == 0, "name-full").otherwise("y"),
+    )
+    return schema.header_violations(table(spark, d, "customer").select(key.alias("source"), cells.alias("header")))
+
+
+@query(
+    "filter_violations",
+    with_views(
+        """SELECT DISTINCT 'nation' || c_nationkey AS source, 'cust_' || (c_custkey // 2 * 2) AS field FROM customer
+           EXCEPT SELECT source, field FROM fields WHERE role = 'public'""",
+        **_SCHEMA_SQL,
+    ),
+)
+def filter_violations(spark, d):
+    """Row filters on fields that their source does not publish."""
+    filters = table(spark, d, "customer").select(
+        F.concat(F.lit("nation"), "c_nationkey").alias("source"), F.concat(F.lit("cust_"), F.expr("c_custkey div 2 * 2")).alias("field")
+    )
+    return schema.filter_violations(filters, _fields(spark, d))
+
+
+# One worksheet for each supplier: some lack a column, have one too many, one twice, or two in the wrong order.
+_REVIEW_COLUMNS = [*candidates.EVIDENCE, *review.REVIEW]
+_SQL_WORKSHEETS = f"""SELECT s_suppkey AS source, p AS position, ({_REVIEW_COLUMNS!r})[p + 1] AS name FROM supplier, (SELECT unnest(range({len(_REVIEW_COLUMNS)})) AS p)"""
+
+
+@query(
+    "review_column_violations",
+    f"""SELECT source, name AS "column", 'missing' AS rule FROM ({_SQL_WORKSHEETS}) WHERE source % 5 = 0 AND position = source % {len(_REVIEW_COLUMNS)}
+        UNION ALL SELECT s_suppkey, 'extra', 'unexpected' FROM supplier WHERE s_suppkey % 5 = 1
+        UNION ALL SELECT s_suppkey, 'reviewer', 'repeated' FROM supplier WHERE s_suppkey % 5 = 2
+        UNION ALL SELECT source, name, 'misplaced' FROM ({_SQL_WORKSHEETS}) WHERE source % 5 = 3 AND position < 2""",
+)
+def review_column_violations(spark, d):
+    key, width = F.col("source"), len(_REVIEW_COLUMNS)
+    names = F.array(*map(F.lit, _REVIEW_COLUMNS))
+    whole = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.posexplode(names).alias("position", "column"))
+    swapped = F.when((key % 5 == 3) & (F.col("position") < 2), 1 - F.col("position")).otherwise(F.col("position"))
+    cut = whole.where((key % 5 != 0) | (F.col("position") != key % width)).withColumn("position", swapped)
+    more = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.lit(width).alias("position")).where(key % 5 <= 2)
+    more = more.where(key % 5 > 0).withColumn("column", F.when(key % 5 == 1, "extra").otherwise("reviewer"))
+    return review.review_column_violations(cut.unionByName(more))
+
+
 @query(
     "missing_fields",
     with_views(
