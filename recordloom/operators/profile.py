@@ -77,8 +77,13 @@ def date_ranges(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
     return ranges_of(value_counts(df, fields), as_of_year)
 
 
+def with_dates(counted: DataFrame, fields: list[str]) -> DataFrame:
+    """Value counts with ``at``, the instant of each distinct value of the date columns. Written once, it is parsed once."""
+    return counted.withColumn("at", F.when(F.col("field").isin(fields), parse_date(F.col("value"))))
+
+
 def ranges_of(counted: DataFrame, as_of_year: int) -> DataFrame:
-    dated = counted.withColumn("at", parse_date(F.col("value")))
+    dated = counted if "at" in counted.columns else counted.withColumn("at", parse_date(F.col("value")))
     valid = F.col("at").isNotNull()
     suspicious = is_suspicious(F.col("at"), as_of_year)
     first = F.struct("at", "first_row", "value")
@@ -97,10 +102,13 @@ def suspicious_examples(df: DataFrame, fields: list[str], as_of_year: int) -> Da
 
 
 def examples_of(counted: DataFrame, as_of_year: int) -> DataFrame:
-    # A filter would move below the aggregation and parse every row; the generator parses each
-    # distinct value once, where it stands.
-    at = F.filter(F.array(parse_date(F.col("value"))), lambda t: is_suspicious(t, as_of_year))
-    suspicious = counted.select("field", "value", "first_row", F.explode(at).alias("at"))
+    if "at" in counted.columns:
+        suspicious = counted.where(is_suspicious(F.col("at"), as_of_year)).select("field", "value", "first_row", "at")
+    else:
+        # A filter would move below the aggregation and parse every row; the generator parses each
+        # distinct value once, where it stands.
+        at = F.filter(F.array(parse_date(F.col("value"))), lambda t: is_suspicious(t, as_of_year))
+        suspicious = counted.select("field", "value", "first_row", F.explode(at).alias("at"))
     order = [F.asc_nulls_last("first_row"), F.asc("value")]
     first = top_per_group(suspicious.drop("at"), ["field"], order, DATE_EXAMPLES)
     return first.groupBy("field").agg(
@@ -150,7 +158,7 @@ def profile_fields(df: DataFrame, contract: SourceContract, as_of_year: int) ->
     ]
     out = totals.select("rows", F.inline(F.array(*pairs)))
     if tracked:
-        counted = stage(value_counts(df, tracked), "value_counts")
+        counted = stage(with_dates(value_counts(df, tracked), dates), "value_counts")
         known = counted.groupBy("field").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
         out = out.join(F.broadcast(known), "field", "left")
         filled = F.when(F.col("field").isin(tracked), F.coalesce("filled", F.lit(0)))
