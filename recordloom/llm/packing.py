@@ -10,8 +10,8 @@ its size, so cutting the work in shards costs about one sequence in twenty thous
 Token ids stay in the written table of pieces (unsigned 32-bit, little-endian); only row numbers and lengths are
 shuffled and packed.
 
-Defined results: a null text counts as empty and is one piece that holds ``END`` alone; control strings in a text are
-ordinary text; repeated rows and repeated ids are packed as often as they occur; an empty table gives an empty result.
+Defined results: a null text counts as empty and is one piece that holds ``END`` alone; an added token of the
+vocabulary (``<|endoftext|>``) in a text is that token, as its library reads it; repeated rows and repeated ids are packed as often as they occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """The encoder of a public vocabulary: text to token ids.
+    """The encoder of a public vocabulary: text to token ids, as the JSON file of that name gives them.
 
-    The ranks file is the same vocabulary as the JSON file of that name and several times as fast to apply. Its
-    library gives up on runs of very many spaces; such a text takes the JSON file.
+    The ranks file is the same vocabulary and several times as fast to apply, but it has no added tokens, and its
+    library gives up on runs of very many spaces; such texts take the JSON file itself.
     """
     import base64
 
@@ -52,18 +52,17 @@ def encoder(vocabulary: str = VOCABULARY):
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list[Tokenizer] = []
+    exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    added = [token.content for token in exact.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        try:
-            return encoding.encode_ordinary(text)
-        except BaseException as error:  # a Rust panic is no Exception
-            if type(error).__name__ != "PanicException":
-                raise
-        if not slow:
-            slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-            slow[0].encode_special_tokens = True
-        return slow[0].encode(text, add_special_tokens=False).ids
+        if not any(content in text for content in added):
+            try:
+                return encoding.encode_ordinary(text)
+            except BaseException as error:  # a Rust panic is no Exception
+                if type(error).__name__ != "PanicException":
+                    raise
+        return exact.encode(text, add_special_tokens=False).ids
 
     return encode
 

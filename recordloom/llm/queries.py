@@ -222,8 +222,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeats"), (F.col("n_removed") / F.greatest("n_bytes", F.lit(1))).alias("removed_share"),
+    )
 
 
 def _vector_codes_sql() -> str:

@@ -158,6 +158,17 @@ def test_packing_awkward(spark, docs):
     assert len(packing.encoder()(spaces)) > 0
 
 
+def test_encoder_is_the_librarys():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    encode, exact = packing.encoder(), Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["", "plain", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "<|EndOfText|>", "né 中文 \U0001f600\n\n\tz" * 50]
+    for text in texts:
+        assert list(encode(text)) == exact.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
+
+
 def test_simhash_awkward(spark, docs):
     got = Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect())
     fps = [fingerprint(t or "") for _, t in AWKWARD]
