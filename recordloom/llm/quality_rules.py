@@ -1,23 +1,26 @@
 """Quality rules by distribution divergence, with DataFrame operations only.
 
 Every document has two histograms: of the classes of its characters, and of the commonest words of its language. Each
-is compared with the language's reference, the sum of the histograms of all documents of that language, by
-Jensen-Shannon distance (base 2, so 0 to 1). A document is rejected if a distance exceeds its threshold, provided
-that it is long enough for the histogram to mean something; shorter ones pass. Two base rules, too few words and too
-many words in repeated five-word windows, reject a document by themselves.
+is compared with the language's reference by Jensen-Shannon distance (base 2, so 0 to 1). A document is rejected if a
+distance exceeds its threshold, provided that it is long enough for the histogram to mean something; shorter ones pass.
+Two base rules, too few words and too many words in repeated five-word windows, reject a document by themselves.
 
-A sum over all documents is moved by a group of junk copies or by one very long junk document. So it is held against the
-medians of the shares of the language's distinct texts that pass the base rules and are long enough; if it is more than
-``DRIFT`` away from them, the medians are the reference instead. The distance is a metric: up to there, no document's
-distance differs by more than DRIFT between the two.
+A reference is made of medians: of the shares of the language's distinct texts that pass the base rules and are long
+enough, scaled to a sum of 1. Neither a group of junk copies nor one very long text can move it far.
 
-Every language has a reference, and the rows without a language share one. A language outside ``COMMON_WORDS`` takes the
-commonest words of its own documents as its list. Languages of fewer than ``TINY`` documents have no list of their own;
-since their reference may be little else than the judged document, they are also compared with the four coarse classes
-(letters and spaces, numbers, punctuation, rest) of all documents of the table.
+One formula holds for every language, however small. With n such texts a language's own medians have the weight
+n / (n + SHRINK), those of the whole table the rest. What is mixed is what languages have in common: the shares of four
+coarse groups (letters with spaces and marks, numbers, punctuation, the rest), and the share of common words. How a group is
+split into its classes, and the common words into single ones, is the language's own. So the only text of a language, which is all of
+its own medians, is still held against the table, and a verdict does not jump when a document more arrives.
+
+The rows without a language are one. A language outside ``COMMON_WORDS`` takes the commonest words of its own documents
+as its list.
 
 Defined results: a null text counts as empty, has no words and fails the base rule; an empty table gives an empty
-result; repeated rows are judged alike. Windows of words are compared by 64-bit hashes within one text.
+result; repeated rows are judged alike. A language without a text that is good and long enough has no reference; none of its
+documents would be compared with one. Texts without words add nothing to a list. Windows of words are compared by 64-bit
+hashes within one text.
 """
 
 from __future__ import annotations
@@ -31,19 +34,20 @@ from recordloom.session import stage
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
-#: Languages with fewer documents are also compared with the whole table, and get no word list of their own.
-TINY = 10
+#: So many texts of a language weigh as much as the whole table.
+SHRINK = 10
 #: Least code points and words for which a histogram is compared, and the distances from which a document is rejected.
 CHAR_GUARD, CHAR_DISTANCE = 200, 0.3
 WORD_GUARD, WORD_DISTANCE = 100, 0.27
 
-DRIFT = 0.1
 #: Shares are rounded to so many steps for their medians, which bounds the values that an aggregation holds.
 STEPS = 2000
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Classes of characters, each taken from what the earlier ones have left; the last class is the rest.
-CLASSES = (r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"[.,;:?'\"()-]+")
+CLASSES = (r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"[.,;:?'\"()-]+", r"\p{M}+")
+#: The coarse group of each class: letters with spaces and marks, numbers, punctuation, the rest.
+GROUPS = (0, 0, 0, 0, 1, 2, 0, 3)
 
 # The commonest function words of each language.
 COMMON_WORDS = {
@@ -117,16 +121,13 @@ def with_lists(docs: DataFrame) -> DataFrame:
     counted = parts.groupBy("key", "word").agg(F.sum("share").alias("share"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("share"), "word"))
     first = counted.withColumn("place", place).where(F.col("place") <= SLOTS).groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("own_list"))
-    lists = stage(others.where(F.col("n") >= TINY).join(first, "key"), "word_lists")
+    lists = stage(others.join(first, "key"), "word_lists")
     met = join_groups(docs.where(~listed), lists, "key", "n", total, "left").drop("n")
     return docs.where(listed).withColumn("own_list", none).unionByName(met)
 
 
 def histograms(df: DataFrame) -> DataFrame:
-    """``df`` (text, lang, own_list, word_list) with ``classes`` and ``common``: counts of characters and of common words.
-
-    ``marks`` are the combining marks among the last class.
-    """
+    """``df`` (text, lang, own_list, word_list) with ``classes`` and ``common``: counts of characters and of common words."""
     left = df.withColumn("left0", F.col("text"))
     for i, pattern in enumerate(CLASSES):
         left = left.withColumn(f"left{i + 1}", F.regexp_replace(f"left{i}", pattern, ""))
@@ -139,57 +140,66 @@ def histograms(df: DataFrame) -> DataFrame:
         left.withColumn("listed", _common_list("lang"))
         .withColumn("found", found)
         .withColumn("classes", F.array(*counts))
-        .withColumn("marks", (sizes[-1] - F.length(F.regexp_replace(f"left{len(CLASSES)}", r"\p{M}+", ""))).cast("long"))
         .withColumn("common", F.when(F.col("listed").isNotNull(), F.array(*bins, rest)))
         .drop("listed", "found", *(f"left{i}" for i in range(len(CLASSES) + 1)))
     )
 
 
-def coarse() -> list[Column]:
-    """The counts of letters with spaces and marks, of numbers, of punctuation and of the rest."""
-    c = [F.get("classes", F.lit(i)) for i in range(len(CLASSES) + 1)]
-    return [c[0] + c[1] + c[2] + c[3] + F.col("marks"), c[4], c[5], c[6] - F.col("marks")]
-
-
 def _medians(name: str, size: int, long_enough: Column) -> Column:
-    """The medians of the shares of a histogram, scaled to a sum of 1; null without a long text."""
+    """The medians of the shares of a histogram, in STEPS; null without a long text."""
     total = F.greatest(F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(1))
     step = lambda i: F.when(long_enough, F.round(F.get(name, F.lit(i)) * STEPS / total).cast("int"))
     return F.array(*(F.percentile(step(i), 0.5) for i in range(size)))
 
 
+def _scaled(values: list[float]) -> list[float] | None:
+    total = sum(x or 0.0 for x in values)
+    return [(x or 0.0) / total for x in values] if total else None
+
+
+def _by_group(shares: list[Column], groups: tuple[int, ...]) -> list[Column]:
+    return [sum((s for s, g in zip(shares, groups) if g == group), F.lit(0.0)) for group in range(max(groups) + 1)]
+
+
+def _shrunk(medians: str, n: str, pooled: list[float], groups: tuple[int, ...]) -> Column:
+    """A language's reference: its own medians, their sums by group drawn towards those of ``pooled``."""
+    size = len(groups)
+    total = F.nullif(F.aggregate(medians, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    own = [F.get(medians, F.lit(i)) / total for i in range(size)]
+    weight = F.col(n) / (F.col(n) + F.lit(float(SHRINK)))
+    whole = [sum(p for p, g in zip(pooled, groups) if g == group) for group in range(max(groups) + 1)]
+    mine = _by_group(own, groups)
+    mixed = [weight * a + (1 - weight) * b for a, b in zip(mine, whole)]
+    shares = [
+        F.when(mine[g] > 0, mixed[g] * x / mine[g]).otherwise(mixed[g] * (p / whole[g] if whole[g] else 0.0))
+        for x, p, g in zip(own, pooled, groups)
+    ]
+    return F.when(total.isNotNull(), F.array(*shares))
+
+
 def references(measured: DataFrame) -> tuple[DataFrame, int]:
-    """(key, n, own_list, ref_classes, ref_common, ref_coarse) of each language, the last one over the whole table; and
-    the number of rows."""
-    sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n)))
-    shares = lambda name: F.expr(
-        f"transform({name}, x -> x / cast(greatest(aggregate({name}, 0L, (s, y) -> s + y), 1L) as double))"
-    )
-    scaled = lambda name: F.expr(f"transform({name}, x -> x / nullif(aggregate({name}, 0D, (s, y) -> s + y), 0D))")
+    """(key, n, ref_classes, ref_common) of each language, and the number of rows."""
     chars, common = len(CLASSES) + 1, SLOTS + 1
-    by_lang = measured.groupBy("key").agg(
-        F.count("*").alias("n"), sums("classes", chars).alias("c"), sums("common", common).alias("w"), F.max("own_list").alias("own_list")
-    )
     texts = stage(
-        measured.where(~F.col("base_failed")).withColumn("a", F.array(*coarse()))
-        .select("key", "text_hash", "n_chars", "n_words", "classes", "common", "a").dropDuplicates(["key", "text_hash"]),
+        measured.where(~F.col("base_failed")).select("key", "text_hash", "n_chars", "n_words", "classes", "common").dropDuplicates(["key", "text_hash"]),
         "distinct_texts",
     )
-    enough = F.col("n_chars") >= CHAR_GUARD
-    medians = texts.groupBy("key").agg(
-        _medians("classes", chars, enough).alias("c_mid"), _medians("common", common, F.col("n_words") >= WORD_GUARD).alias("w_mid")
-    )
-    by_lang = stage(by_lang.join(medians, "key", "left"), "languages")
-    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = [x or 0.0 for x in texts.agg(_medians("a", 4, enough).alias("a")).first()[0]]
-    pooled = F.array(*(F.lit(x / sum(whole)) for x in whole)) if sum(whole) else F.lit(None).cast("array<double>")
-    refs = by_lang.select(
-        "key", "n", "own_list", shares("c").alias("c"), shares("w").alias("w"), scaled("c_mid").alias("c_mid"), scaled("w_mid").alias("w_mid")
-    )
-    held = lambda plain, mid: F.when(distance(plain, mid, F.lit(1)) > DRIFT, F.col(mid)).otherwise(F.col(plain))
-    return refs.select(
-        "key", "n", "own_list", held("c", "c_mid").alias("ref_classes"), held("w", "w_mid").alias("ref_common"), pooled.alias("ref_coarse")
-    ), total
+    long, wordy = F.col("n_chars") >= CHAR_GUARD, (F.col("n_words") >= WORD_GUARD) & F.col("common").isNotNull()
+    medians = [_medians("classes", chars, long).alias("c"), _medians("common", common, wordy).alias("w")]
+    by_lang = texts.groupBy("key").agg(F.count_if(long).alias("n_c"), F.count_if(wordy).alias("n_w"), *medians)
+    counts = measured.groupBy("key").agg(F.count("*").alias("n"))
+    langs = stage(counts.join(by_lang, "key", "left"), "languages")
+    total = langs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Of the table as a whole there are the medians of the classes, and of the share of common words.
+    covered = F.when(wordy, F.round(STEPS - F.get("common", F.lit(SLOTS)) * STEPS / F.greatest("n_words", F.lit(1))).cast("int"))
+    whole = texts.agg(medians[0], F.percentile(covered, 0.5).alias("covered")).first()
+    classes = _scaled(whole["c"]) or [0.0] * chars
+    share = (whole["covered"] or 0.0) / STEPS
+    words_groups = (0,) * SLOTS + (1,)
+    return langs.select(
+        "key", "n", _shrunk("c", "n_c", classes, GROUPS).alias("ref_classes"),
+        _shrunk("w", "n_w", [share / SLOTS] * SLOTS + [1 - share], words_groups).alias("ref_common"),
+    ), total
 
 
 def distance(counts: str, reference: str, total: Column) -> Column:
@@ -227,32 +237,25 @@ def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
 
 def judge(met: DataFrame) -> DataFrame:
     """Measured rows joined with their references, with the distances and kept."""
-    met = met.withColumn("coarse", F.array(*coarse()))
-    for name, counts, ref, total in (
-        ("char_distance", "classes", "ref_classes", "n_chars"), ("word_distance", "common", "ref_common", "n_words"), ("coarse_distance", "coarse", "ref_coarse", "n_chars"),
-    ):
+    for name, counts, ref, total in (("char_distance", "classes", "ref_classes", "n_chars"), ("word_distance", "common", "ref_common", "n_words")):
         met = met.withColumn(name, distance(counts, ref, F.greatest(F.col(total), F.lit(1))))
-    far = (F.col("char_distance") > CHAR_DISTANCE) | ((F.col("n") < TINY) & (F.col("coarse_distance") > CHAR_DISTANCE))
-    off = (F.col("n_chars") >= CHAR_GUARD) & far
+    off = (F.col("n_chars") >= CHAR_GUARD) & (F.col("char_distance") > CHAR_DISTANCE)
     odd = (F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > WORD_DISTANCE)
     verdict = ~F.col("base_failed") & ~F.coalesce(off, F.lit(False)) & ~F.coalesce(odd, F.lit(False))
-    return met.withColumn("kept", verdict).drop("n", "coarse", "marks", "ref_coarse", "text_hash")
+    return met.withColumn("kept", verdict).drop("n", "text_hash")
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, distances and verdict. Texts are read once; the counts are written."""
     measured = stage(measure(with_lists(keyed(docs.select("doc_id", "text", "lang")))).drop("text"), "quality_counts")
     refs, total = references(measured)
-    return judge(join_groups(measured.drop("own_list"), refs, "key", "n", total)).drop("own_list")
+    return judge(join_groups(measured.drop("own_list"), stage(refs, "references"), "key", "n", total))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. References come from a first pass over all of them."""
+    """The rows of ``docs`` that pass, with their own columns. Rows are written with their counts, so a text is measured once."""
     plain = keyed(docs.select(F.struct("*").alias("doc"), "doc_id", "text", "lang"))
-    counts = measure(with_lists(plain.drop("doc")))
-    used = ("key", "own_list", "text_hash", "n_chars", "n_words", "base_failed", "classes", "common", "marks")
-    refs, total = references(stage(counts.select(*used), "histograms"))
-    refs = stage(refs, "references")
-    # A filter on the verdict would be pushed below the projections and repeat all their work; a generator is not.
-    chosen = F.explode(F.when(F.col("kept"), F.array("doc")).otherwise(F.expr("slice(array(doc), 1, 0)")))
-    return judge(measure(join_groups(plain, refs, "key", "n", total))).select(chosen.alias("doc")).select("doc.*")
+    measured = stage(measure(with_lists(plain)).drop("text", "own_list"), "measured_rows")
+    refs, total = references(measured)
+    judged = judge(join_groups(measured, stage(refs, "references"), "key", "n", total))
+    return judged.where("kept").select("doc.*")

@@ -19,7 +19,7 @@ ORACLE: dict[str, str] = {}
 
 def _words_sql() -> str:
     lists = ", ".join(f"({code!r}, {listed!r})" for code, listed in quality_rules.COMMON_WORDS.items())
-    return f"(VALUES {lists}) AS common(lang, listed)"
+    return f"(VALUES {lists}) AS fixed(lang, listed)"
 
 
 def query(sql: str | None = None):
@@ -133,56 +133,76 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-    WITH base AS MATERIALIZED (
-        SELECT doc_id, d.lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, listed
-        FROM documents d LEFT JOIN @WORDS@ ON d.lang = common.lang
+    WITH raw AS MATERIALIZED (
+        SELECT doc_id, d.lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, fixed.listed AS fixed
+        FROM documents d LEFT JOIN @WORDS@ ON d.lang = fixed.lang
+    ), own AS (
+        SELECT lang, list(word ORDER BY word) AS listed FROM (
+            SELECT lang, word FROM (
+                SELECT lang, unnest(w) AS word, 1000000000 // len(w) AS share
+                FROM (SELECT DISTINCT lang, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS w FROM raw WHERE fixed IS NULL) WHERE len(w) > 0
+            ) GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(share) DESC, word) <= 20
+        ) GROUP BY lang
+    ), base AS MATERIALIZED (
+        SELECT raw.*, coalesce(fixed, own.listed) AS listed FROM raw LEFT JOIN own ON raw.lang IS NOT DISTINCT FROM own.lang
     ), windows AS (
         SELECT doc_id, i, w[i + 1 : i + 5] AS content FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM base)
     ), repeats AS (
         SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (
             SELECT doc_id, i + unnest(range(5)) AS place FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, content) > 1
         ) GROUP BY doc_id
-    ), left_over AS (
-        SELECT *, regexp_replace(t, '\p{Ll}+', '', 'g') AS l1 FROM base
-    ), l2 AS (SELECT *, regexp_replace(l1, '[\x20\x09-\x0D]+', '', 'g') AS l2 FROM left_over
+    ), l1 AS (SELECT *, regexp_replace(t, '\p{Ll}+', '', 'g') AS l1 FROM base
+    ), l2 AS (SELECT *, regexp_replace(l1, '[\x20\x09-\x0D]+', '', 'g') AS l2 FROM l1
     ), l3 AS (SELECT *, regexp_replace(l2, '\p{Lu}+', '', 'g') AS l3 FROM l2
     ), l4 AS (SELECT *, regexp_replace(l3, '\p{L}+', '', 'g') AS l4 FROM l3
     ), l5 AS (SELECT *, regexp_replace(l4, '\p{N}+', '', 'g') AS l5 FROM l4
     ), l6 AS (SELECT *, regexp_replace(l5, '[.,;:?''"()-]+', '', 'g') AS l6 FROM l5
-    ), counts AS (
-        SELECT doc_id, lang, [length(t) - length(l1), length(l1) - length(l2), length(l2) - length(l3), length(l3) - length(l4),
-                length(l4) - length(l5), length(l5) - length(l6), length(l6)] AS chars,
-            list_transform(range(1, 21), lambda k: len(list_filter(w, lambda x: lower(x) = listed[k]))) AS found, len(w) AS n
-        FROM l6
+    ), l7 AS (SELECT *, regexp_replace(l6, '\p{M}+', '', 'g') AS l7 FROM l6
+    ), judged AS MATERIALIZED (
+        SELECT doc_id, lang, t, length(t) AS n_chars, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+            len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed,
+            [length(t) - length(l1), length(l1) - length(l2), length(l2) - length(l3), length(l3) - length(l4), length(l4) - length(l5),
+                length(l5) - length(l6), length(l6) - length(l7), length(l7)] AS chars,
+            list_transform(range(1, 21), lambda k: len(list_filter(w, lambda x: lower(x) = listed[k]))) AS found
+        FROM l7 LEFT JOIN repeats USING (doc_id)
     ), bins AS (
-        SELECT doc_id, lang, 'chars' AS kind, unnest(range(1, 8)) AS k, unnest(chars) AS n FROM counts
+        SELECT doc_id, 'chars' AS kind, unnest(range(1, 9)) AS k, unnest([1, 1, 1, 1, 2, 3, 1, 4]) AS g, unnest(chars) AS n, n_chars AS total, n_chars >= 200 AS enough FROM judged
         UNION ALL
-        SELECT doc_id, c.lang, 'words', unnest(range(1, 22)), unnest(list_append(found, n - list_sum(found)))
-        FROM counts c JOIN @WORDS@ ON c.lang = common.lang
-    ), langs AS (
-        SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 200 >= (SELECT count(*) FROM documents)
+        SELECT doc_id, 'words', unnest(range(1, 22)), unnest(list_append(list_transform(range(20), lambda x: 1), 2)),
+            unnest(list_append(found, n_words - list_sum(found))), n_words, n_words >= 100
+        FROM judged
+    ), texts AS (
+        SELECT min(doc_id) AS doc_id, lang FROM judged WHERE NOT base_failed GROUP BY lang, t
+    ), steps AS MATERIALIZED (
+        SELECT lang, doc_id, kind, k, g, n, total, round(n * 2000 / total::DOUBLE) AS step FROM texts JOIN bins USING (doc_id) WHERE enough
+    ), medians AS (
+        SELECT lang, kind, k, g, median(step) AS m, count(*) AS n FROM steps GROUP BY lang, kind, k, g
+    ), whole AS (
+        SELECT kind, k, g, m / sum(m) OVER () AS p FROM (SELECT kind, k, g, median(step) AS m FROM steps WHERE kind = 'chars' GROUP BY kind, k, g)
+        UNION ALL
+        SELECT 'words', k, CASE WHEN k < 21 THEN 1 ELSE 2 END, CASE WHEN k < 21 THEN c / 20 ELSE 1 - c END FROM (
+            SELECT median(round(2000 - n * 2000 / total::DOUBLE)) / 2000 AS c FROM steps WHERE kind = 'words' AND k = 21), (SELECT unnest(range(1, 22)) AS k)
+    ), shared AS (
+        SELECT lang, kind, k, g, n / (n + 10.0::DOUBLE) AS weight, m / nullif(sum(m) OVER (PARTITION BY lang, kind), 0) AS x, p,
+            sum(p) OVER (PARTITION BY lang, kind, g) AS pg
+        FROM medians JOIN whole USING (kind, k, g)
     ), refs AS (
-        SELECT lang, kind, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind)::DOUBLE AS q
-        FROM bins JOIN langs USING (lang) GROUP BY lang, kind, k
-    ), shares AS (
-        SELECT doc_id, lang, kind, k, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1)::DOUBLE AS p FROM bins
+        SELECT lang, kind, k, (weight * xg + (1 - weight) * pg) * CASE WHEN xg > 0 THEN x / xg WHEN pg > 0 THEN p / pg ELSE 0 END AS q
+        FROM (SELECT *, sum(x) OVER (PARTITION BY lang, kind, g) AS xg FROM shared) WHERE x IS NOT NULL
     ), distances AS (
         SELECT doc_id, kind, sqrt(greatest(sum(
             CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0)) AS d
-        FROM shares JOIN refs USING (lang, kind, k) GROUP BY doc_id, kind
+        FROM (SELECT doc_id, lang, kind, k, n / greatest(total, 1)::DOUBLE AS p FROM bins JOIN judged USING (doc_id) WHERE enough) s
+        JOIN refs USING (kind, k) WHERE s.lang IS NOT DISTINCT FROM refs.lang
+        GROUP BY doc_id, kind
     ), off AS (
-        SELECT doc_id, bool_or(kind = 'chars' AND d > 0.3 AND length(t) >= 200 OR kind = 'words' AND d > 0.27 AND len(w) >= 100) AS off
-        FROM distances JOIN base USING (doc_id) GROUP BY doc_id
-    ), judged AS (
-        SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-            len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-            (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
-                - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-            len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed
-        FROM base LEFT JOIN repeats USING (doc_id)
+        SELECT doc_id, bool_or(kind = 'chars' AND d > 0.3 OR kind = 'words' AND d > 0.27) AS off FROM distances GROUP BY doc_id
     )
-    SELECT j.*, NOT base_failed AND NOT coalesce(off, false) AS kept FROM judged j LEFT JOIN off USING (doc_id)
+    SELECT j.* EXCLUDE (lang, t, n_chars, chars, found), NOT base_failed AND NOT coalesce(off, false) AS kept FROM judged j LEFT JOIN off USING (doc_id)
     """.replace("@WORDS@", _words_sql())
 )
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

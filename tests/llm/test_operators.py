@@ -351,3 +351,57 @@ def test_quality_references_withstand_junk(spark, junk):
     bad = {"copies": [symbols(90)] * 30, "near copies": [symbols(90) for _ in range(30)], "one long text": [symbols(3000)]}[junk]
     docs = table(spark, clean + [(100 + i, text) for i, text in enumerate(bad)])
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, _ in clean}
+
+
+# --- op3: one formula for every language -----------------------------------------------------------------
+
+
+def prose(rng, words, n):
+    weight = 1 / np.arange(1, len(words) + 1)
+    return " ".join(rng.choice(words, n, p=weight / weight.sum()))
+
+
+def tail_table(swedish):
+    """English documents, some of a small language with one word salad among them, and junk without a language of its own."""
+    rng = np.random.default_rng(1)
+    vocabulary = {
+        "en": [*quality_rules.COMMON_WORDS["en"], *(f"word{chr(97 + i)}s" for i in range(26))],
+        "sv": ["och", "att", "det", "som", "en", "den", "med", "har", "inte", "till", *(f"ord{chr(97 + i)}" for i in range(26))],
+    }
+    rows = [("en", prose(rng, vocabulary["en"], 150)) for _ in range(60)]
+    rows += [("sv", prose(rng, vocabulary["sv"], 150)) for _ in range(swedish - 1)]
+    rows.append(("sv", " ".join("".join(rng.choice(list("qxzvkj"), 6)) for _ in range(150))))
+    rows += [("zz", "#% $& " * 100 + f"only {i} words here are not signs of any kind at all") for i in range(2)]
+    rows += [(None, prose(rng, vocabulary["en"], 150)) for _ in range(5)]
+    rows += [(None, "&& ## " * 80 + "ten words that keep the rule of least words from failing")]
+    rows += [("zh", " ".join("".join(rng.choice(list("水山田木火土金石日月"), 4)) for _ in range(60))), ("nu", " ".join(str(n) for n in range(1000, 1300)))]
+    return [(i, text, lang) for i, (lang, text) in enumerate(rows)]
+
+
+def test_verdicts_do_not_jump_with_a_language_growing(spark):
+    for swedish in (9, 10, 11):
+        docs = spark.createDataFrame(tail_table(swedish), "doc_id long, text string, lang string")
+        kept = {r.doc_id: r.kept for r in quality_rules.score_quality(docs).collect()}
+        by_lang = {i: lang for i, _, lang in tail_table(swedish)}
+        salad = 60 + swedish - 1
+        assert not kept[salad]
+        assert all(kept[i] for i, lang in by_lang.items() if lang in ("en", "sv") and i != salad)
+        junk = [i for i, lang in by_lang.items() if lang in ("zz", "nu")] + [max(i for i, lang in by_lang.items() if lang is None)]
+        assert not any(kept[i] for i in junk)
+        assert kept[min(i for i, lang in by_lang.items() if lang is None)] and kept[next(i for i, lang in by_lang.items() if lang == "zh")]
+
+
+def test_tail_languages_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    from recordloom.llm.queries import ORACLE, QUERIES
+    from workload.check import digest
+
+    rows = [*tail_table(9), (900, None, "en"), (901, "", None), (902, "ett", "sv"), (903, "x " * 40, "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op3_quality_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE["op3_quality_rules"])
+    columns = [c[0] for c in want.description]
+    assert digest([tuple(r) for r in found.collect()], found.columns)[1] == digest(want.fetchall(), columns)[1]
