@@ -10,17 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import join_groups
 from recordloom.session import stage
 
 
 def _star(links: DataFrame, kept: str) -> DataFrame:
     """Link every neighbour that ``kept`` picks, and the node itself, to the smallest node among node and neighbours.
 
-    ``links`` has (a, b). The smallest is found by partial aggregation; the join back leaves a node with very many
-    neighbours to Spark's own splitting of large join partitions.
+    ``links`` has (a, b). The smallest is found by partial aggregation; nodes with a large share of all links, as the centre
+    of a large component is after the first round, are broadcast, so their links stay where they are.
     """
-    least = links.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("least", "a"))
-    return links.join(least, "a").where(kept).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree"))
+    least = stage(least.withColumn("least", F.least("least", "a")), "least_neighbours")
+    met = join_groups(links, least, "a", "degree", links.count())
+    return met.where(kept).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:

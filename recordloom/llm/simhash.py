@@ -154,10 +154,10 @@ def fingerprint_classes(marked: DataFrame) -> DataFrame:
     distinct = stage(marked.groupBy("fp").agg(F.min(rank).alias("first"), F.count("*").alias("n")), "distinct_fingerprints")
     roots = stage(components(links(distinct)), "roots")
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("first"))
-    return stage(
-        named.drop("first").join(names, "root").select("fp", "n", F.col("first.doc_id").alias("component_id"), "first"), "classes"
-    )
+    named = stage(named, "named_fingerprints")
+    names = stage(named.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("members")), "components")
+    met = join_groups(named.drop("first"), names, "root", "members", named.count())
+    return stage(met.select("fp", "n", F.col("first.doc_id").alias("component_id"), "first"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
