@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import blank_to_null
@@ -84,16 +84,20 @@ def with_dates(counted: DataFrame, fields: list[str]) -> DataFrame:
 
 def ranges_of(counted: DataFrame, as_of_year: int) -> DataFrame:
     dated = counted if "at" in counted.columns else counted.withColumn("at", parse_date(F.col("value")))
+    return dated.groupBy("field").agg(*_range_columns(as_of_year))
+
+
+def _range_columns(as_of_year: int) -> list[Column]:
     valid = F.col("at").isNotNull()
     suspicious = is_suspicious(F.col("at"), as_of_year)
     first = F.struct("at", "first_row", "value")
     last = F.struct("at", (-F.col("first_row")).alias("o"), "value")
-    return dated.groupBy("field").agg(
+    return [
         F.min_by("value", F.when(valid, first)).alias("minimum"),
         F.max_by("value", F.when(valid, last)).alias("maximum"),
         F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("invalid_date_count"),
         F.coalesce(F.sum(F.when(suspicious, F.col("n"))), F.lit(0)).alias("suspicious_date_count"),
-    )
+    ]
 
 
 def suspicious_examples(df: DataFrame, fields: list[str], as_of_year: int) -> DataFrame:
@@ -159,7 +163,11 @@ def profile_fields(df: DataFrame, contract: SourceContract, as_of_year: int) ->
     out = totals.select("rows", F.inline(F.array(*pairs)))
     if tracked:
         counted = stage(with_dates(value_counts(df, tracked), dates), "value_counts")
-        known = counted.groupBy("field").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
+        # One pass over the counts: the date columns' ranges beside every column's distinct values. What it says of the
+        # dates of other columns is masked below.
+        known = counted.groupBy("field").agg(
+            F.count("*").alias("distinct"), F.sum("n").alias("filled"), *(_range_columns(as_of_year) if dates else [])
+        )
         out = out.join(F.broadcast(known), "field", "left")
         filled = F.when(F.col("field").isin(tracked), F.coalesce("filled", F.lit(0)))
         out = out.withColumn("nulls", F.coalesce("nulls", F.col("rows") - filled)).drop("filled")
@@ -177,9 +185,7 @@ def profile_fields(df: DataFrame, contract: SourceContract, as_of_year: int) ->
     else:
         out = out.withColumn("top_values", F.lit(None).cast("array<struct<value:string,n:bigint>>"))
     if dates:
-        dated = counted.where(F.col("field").isin(dates))
-        ranges, examples = ranges_of(dated, as_of_year), examples_of(dated, as_of_year)
-        out = out.join(F.broadcast(ranges), "field", "left")
+        examples = examples_of(counted.where(F.col("field").isin(dates)), as_of_year)
         out = out.join(F.broadcast(examples), "field", "left")
     else:
         out = out.select(
