@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +69,8 @@ def with_position(df: DataFrame, key: str, name: str) -> DataFrame:
 
 # --- labelled samples and texts in Python ------------------------------------------------------------
 
-#: A training text is whole up to PIECES * PIECE_CHARS code points; of a longer one, PIECES pieces from all over it.
-PIECES, PIECE_CHARS = 32, 1024
+#: The texts of a labelled sample are dealt to so many tasks.
+SAMPLE_TASKS = 64
 #: Words are taken from texts in blocks of about so many code points, to bound the memory of a task.
 BLOCK_CHARS = 1 << 20
 
@@ -77,26 +80,42 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], usable: Column) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) pairs of labels 0 and 1, those with the smallest hashed ids.
+@dataclass(frozen=True)
+class Sample:
+    """Labelled rows (doc_id, label, text: whole) and the number of all usable labels of 0 and of 1 that have a document."""
+
+    rows: DataFrame
+    totals: tuple[int, int]
+
+    def weights(self, labels: np.ndarray) -> np.ndarray:
+        """A weight for each of the sample's ``labels``: each class weighs its share of all usable labels, the mean is 1."""
+        drawn = np.array([np.sum(labels == y) for y in (0, 1)], float)
+        total = np.array(self.totals, float)
+        return (total / np.maximum(drawn, 1) * len(labels) / max(total.sum(), 1))[labels.astype(int)]
+
 
-    Only labels that meet ``usable`` (a condition on doc_id) are looked at. The chosen ids are at most
-    sum(per_class) rows, so they are broadcast; of rows that share an id one text is used.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], usable: Column) -> Sample:
+    """At most ``per_class`` documents labelled 0 and 1, those with the smallest hashed ids, written as a table.
+
+    Only labels that meet ``usable`` (a condition on doc_id) and have a document are looked at. The chosen ids are at
+    most sum(per_class) rows, so they are broadcast; of rows that share an id one text is used. Texts are whole and
+    stay in the table: what is learned from them is computed in tasks.
     """
+    from recordloom.session import stage
+
     known = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    known = stage(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "usable_labels")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(n) for y, n in enumerate(per_class)]
-    last = F.expr(f"(length(text) - {PIECE_CHARS}) / {PIECES - 1}")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (i * last).cast("int") + 1, F.lit(PIECE_CHARS)))
-    text = F.when(F.length("text") <= PIECES * PIECE_CHARS, F.col("text")).otherwise(F.array_join(spread, "\n"))
     rows = (
         docs.select("doc_id", text_of("text").alias("text"))
         .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-        .groupBy("doc_id", "label")
-        .agg(F.min(text).alias("text"))
-        .collect()
+        .repartition(SAMPLE_TASKS, "doc_id")
+        .groupBy("doc_id", F.col("label").cast("int").alias("label"))
+        .agg(F.min("text").alias("text"))
     )
-    return [(r["text"], int(r["label"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    return Sample(stage(rows, "labelled_texts"), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def word_blocks(text: str):

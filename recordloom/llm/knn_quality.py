@@ -2,13 +2,15 @@
 
 The terms of a document are its byte trigrams, hashed to ``TERMS`` counters, and one term for the share of words that
 repeat the word before. Square roots of term shares are weighted by inverse document frequency and projected on the
-leading ``DIMENSIONS`` singular vectors of a bounded sample of labelled documents. The sample's vectors (at most
-sum(SAMPLE) rows of DIMENSIONS floats) go to every task; each document is compared with all of them, exactly, in
-blocks of cosine products. The ``NEIGHBOURS`` nearest vote with their labels, weighted by a power of similarity.
+leading ``DIMENSIONS`` singular vectors of a bounded sample of labelled documents, whose terms are counted in tasks from
+whole texts. The sample's vectors (at most sum(SAMPLE) rows of DIMENSIONS numbers) go to every task; each document is
+compared with all of them, exactly, in blocks of cosine products. The ``NEIGHBOURS`` nearest vote with their labels,
+weighted by a power of similarity and by how many usable labels of its class a sampled one stands for, so that the
+shares of the classes, and with them the meaning of a score, do not depend on the size of the sample.
 
 Defined results: a null or empty text has no terms, a zero vector and the share of good labels as its score, as has
-every text if there are no labels of both kinds. Equal similarities keep the order of the sample. Repeated rows score
-alike; an empty table gives an empty result.
+every text if there are no labels of both kinds. Similarities are compared in steps of 1 / SCALE; equal ones keep the
+order of the sample (by doc_id). Repeated rows score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
-from recordloom.llm.common import labelled_sample, word_blocks
+from recordloom.llm.common import Sample, labelled_sample, word_blocks
 from recordloom.session import ship_package
 
 #: The most labelled documents (of label 0 and of label 1) that are searched.
@@ -33,6 +35,8 @@ REPEAT_LEVELS = 21
 DIMENSIONS = 64
 NEIGHBOURS = 10
 SHARPNESS = 8
+#: Similarities are rounded to 1 / SCALE, so that they do not depend on the block that a document is in.
+SCALE = 1 << 20
 #: Documents are projected and compared in blocks of so many rows; long texts are counted in blocks of bytes.
 ROWS, BYTES = 256, 1 << 20
 
@@ -67,6 +71,7 @@ class Model:
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    weights: np.ndarray
     prior: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
@@ -74,31 +79,60 @@ class Model:
         shares = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
         return _unit(_unit(shares * self.idf) @ self.axes)
 
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of each row's NEIGHBOURS nearest labelled documents, in any order."""
+        similar = np.rint(self.project(counts) @ self.vectors.T * SCALE).astype(np.int64)
+        n = len(self.labels)
+        # One number for similarity, then place: all are different, so no tie is left to the selection.
+        ranked = np.arange(n) - similar * n
+        k = min(NEIGHBOURS, n)
+        found = np.argpartition(ranked, k - 1, axis=1)[:, :k]
+        found = np.take_along_axis(found, np.argsort(np.take_along_axis(ranked, found, axis=1), axis=1), axis=1)
+        return found, np.take_along_axis(similar, found, axis=1) / SCALE
+
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        found = self.project(counts)
-        similar = found @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        nearest = np.argsort(-similar, axis=1, kind="stable")[:, :k] if len(self.labels) < 64 else _top(similar, k)
-        weight = np.clip(np.take_along_axis(similar, nearest, axis=1), 1e-6, None).astype(np.float64) ** SHARPNESS
-        votes = (weight * self.labels[nearest]).sum(axis=1) / weight.sum(axis=1)
+        found, similar = self.nearest(counts)
+        weight = np.clip(similar, 1e-6, None) ** SHARPNESS * self.weights[found]
+        votes = (weight * self.labels[found]).sum(axis=1) / weight.sum(axis=1)
         return np.where(counts.any(axis=1), np.clip(votes, 0, 1), self.prior)
 
 
-def _top(similar: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-similar, k - 1, axis=1)[:, :k]
+@F.pandas_udf(BinaryType())
+def packed_terms(texts: pd.Series) -> pd.Series:
+    """The term counts of whole texts that are not zero: their places (16 bits), then their values (32-bit floats)."""
+
+    def pack(text: str) -> bytes:
+        counts = terms(text or "")
+        places = np.flatnonzero(counts)
+        return places.astype("<u2").tobytes() + counts[places].astype("<f4").tobytes()
+
+    return texts.map(pack)
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """The latent space and the labelled vectors of (text, label) pairs."""
-    labels = np.array([label for _, label in sample], float)
-    prior = (labels.sum() + 1) / (len(labels) + 2)
-    empty = np.zeros((0, 0), np.float32)
+def _unpack(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    out = np.zeros(TERMS + REPEAT_LEVELS, np.float32)
+    out[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
+    return out
+
+
+def fit(sample: Sample) -> Model:
+    """The latent space and the labelled vectors. The driver gets the sample's term counts, at most 25 KB a document."""
+    rows = sorted(sample.rows.select("doc_id", "label", packed_terms("text").alias("terms")).collect(), key=lambda r: r["doc_id"])
+    labels = np.array([r["label"] for r in rows], float)
+    prior = (sample.totals[1] + 1) / (sum(sample.totals) + 2)
+    none = np.zeros((0, 0))
     if not 0 < labels.sum() < len(labels):
-        return Model(empty, empty, empty, np.array([]), prior)
-    counts = np.array([terms(text) for text, _ in sample])
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.5).astype(np.float32)
+        return Model(none, none, none, np.array([]), np.array([]), prior)
+    return build(np.array([_unpack(r["terms"]) for r in rows]), labels, sample.weights(labels), prior)
+
+
+def build(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, prior: float) -> Model:
+    """The model of term counts, labels and class weights, a row for each labelled document."""
+    common = weights @ (counts > 0)
+    idf = np.log((1 + len(counts)) / (1 + common)) + 0.5
     shares = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
     weighted = _unit(shares * idf).astype(np.float32)
     # Randomised subspace iteration with a fixed seed; the sample is small.
@@ -106,9 +140,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     basis = weighted @ np.random.default_rng(0).standard_normal((weighted.shape[1], width)).astype(np.float32)
     for _ in range(3):
         basis = weighted @ (weighted.T @ np.linalg.qr(basis)[0])
-    axes = np.linalg.svd(np.linalg.qr(basis)[0].T @ weighted, full_matrices=False)[2][:DIMENSIONS].T.astype(np.float32)
-    model = Model(idf, axes, empty, labels, prior)
-    return Model(idf, axes, model.project(counts).astype(np.float32), labels, prior)
+    axes = np.linalg.svd(np.linalg.qr(basis)[0].T @ weighted, full_matrices=False)[2][:DIMENSIONS].T.astype(float)
+    model = Model(idf, axes, np.zeros((0, 0)), labels, weights, prior)
+    return Model(idf, axes, model.project(counts), labels, weights, prior)
 
 
 def scorer(model: Model):

@@ -1,14 +1,16 @@
 """Toxicity by compression distance: windows of a text compressed with a toxic and with an ordinary dictionary.
 
-Both zstandard dictionaries are made from a bounded sample of labelled documents. The ordinary one is trained on
-windows of ordinary texts. The toxic one holds the same ordinary text, with a part of it replaced by the segments of
+Both zstandard dictionaries are made from a bounded sample of labelled documents, whose whole texts are worked on in
+tasks. The ordinary one is trained on ordinary texts, of which those over ``CONDENSED`` bytes are first
+condensed by a dictionary trained on all their words. The toxic one holds the same ordinary text, with a part of it replaced by the segments of
 words that set toxic texts apart: those whose strings of ``GRAMS`` bytes occur in far more toxic than ordinary documents,
 the commonest ones last, where references are cheapest. What ordinary text both dictionaries know then costs the
 same in both, and the difference of the two lengths shows the rest.
 
 Every window of ``WORDS`` words, ``STEP`` words apart, is compressed twice without headers. A document is described
 by the shares of its windows that the toxic dictionary shortens by at least 2, 3, ... bytes and the mean gain, as
-logarithms; a logistic model over these, fitted on the same sample, calibrates them to a score.
+logarithms; a logistic model over these calibrates them to a score. It is fitted on the same sample, each class
+weighted to its share of all usable labels, so that a score means the same whatever part of the labels is sampled.
 
 Defined results: a null or empty text has no window and gets the score of one that shows nothing; without labels of
 both kinds the score is the share of toxic labels with one observation of each kind added. Repeated rows score alike; an empty
@@ -17,7 +19,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +30,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from recordloom.llm.common import labelled_sample, word_blocks
+from recordloom.llm.common import Sample, labelled_sample, word_blocks
 from recordloom.session import ship_package
 
 #: The most (ordinary, toxic) labelled documents used for fitting.
@@ -43,7 +47,10 @@ RATIO, EVIDENCE = 4, 24
 GAINS = (2, 3, 4, 5, 6)
 #: Added to every share before its logarithm is taken.
 FLOOR = 0.01
-TRAINING_WINDOWS = 60_000
+#: A training text is condensed to so many bytes, block by block.
+CONDENSED = 2_048
+#: The most distinguishing strings that are looked for in toxic texts.
+STRINGS = 1 << 20
 
 
 def windows(text: str) -> Iterator[bytes]:
@@ -98,9 +105,10 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -500), 500)))
 
 
-def _octets(text: str) -> np.ndarray:
-    """The bytes of a text's lower-case words, with one space around each."""
-    return np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode(), np.uint8)
+def _octets(text: str) -> Iterator[np.ndarray]:
+    """The bytes of a text's lower-case words, with one space around each, in blocks."""
+    for block in word_blocks(text):
+        yield np.frombuffer((" " + " ".join(block).lower() + " ").encode(), np.uint8)
 
 
 def _strings(octets: np.ndarray, gram: int) -> np.ndarray:
@@ -114,92 +122,164 @@ def _strings(octets: np.ndarray, gram: int) -> np.ndarray:
     return np.where(across, 0, hashes)
 
 
-def _unlike(texts: list[str]) -> list[str]:
-    """The texts without near copies of earlier ones, which would make their strings look common."""
-    import zlib
-
-    seen: set[int] = set()
-    out = []
-    for text in texts:
-        words = text.lower().split()
-        sketch = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:4]
-        if not seen.intersection(sketch):
-            out.append(text)
-        seen.update(sketch)
-    return out
-
-
-def _distinctive(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
-    """The strings that far more toxic than ordinary documents hold."""
-    strings, found = np.unique(np.concatenate([np.unique(x) for x in toxic]), return_counts=True)
-    others, seen = np.unique(np.concatenate([np.unique(x) for x in ordinary]), return_counts=True)
-    elsewhere = np.zeros(len(strings))
-    if len(others):
-        at = np.minimum(np.searchsorted(others, strings), len(others) - 1)
-        elsewhere = np.where(others[at] == strings, seen[at], 0)
-    share = len(toxic) / (len(toxic) + len(ordinary))
-    total = found + elsewhere
-    evidence = 2 * (found * np.log(found / (total * share)) + elsewhere * np.log(np.maximum(elsewhere, 1) / (total * (1 - share))))
-    ratio = (found / len(toxic)) / ((elsewhere + 1) / len(ordinary))
-    return strings[(strings > 0) & (evidence >= EVIDENCE) & (ratio >= RATIO)]
-
-
-def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Segments of words that set toxic texts apart, the rarest first."""
-    toxic, ordinary = _unlike(toxic), _unlike(ordinary)
-    if not toxic or not ordinary:
+def sketch(text: str) -> list[int]:
+    """The four smallest hashes of a text's runs of three words."""
+    smallest: set[int] = set()
+    held: list[str] = []
+    for block in word_blocks(text):
+        words = held + [word.lower() for word in block]
+        runs = {zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(len(words) - 2)}
+        smallest, held = set(heapq.nsmallest(4, smallest | runs)), words[-2:]
+    return sorted(smallest or {zlib.crc32(" ".join(held).encode())})
+
+
+def _train(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary trained on samples; their end, where there is too little to train on."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def condensed(text: str) -> list[bytes]:
+    """What a text's words, six at a time, hold in common, in at most about CONDENSED bytes; all of them if they fit."""
+    kept: list[bytes] = []
+    for block in word_blocks(text):
+        words = [word.lower().encode() for word in block]
+        kept += [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)]
+        if sum(map(len, kept)) > CONDENSED:
+            kept = [_train(CONDENSED, kept)]
+    return kept
+
+
+def unlike(sample: Sample) -> DataFrame:
+    """The sampled rows without near copies of earlier ones of their label, which would make their strings look common."""
+    sketches = F.pandas_udf(lambda texts: texts.map(lambda text: sketch(text or "")), ArrayType(LongType()))
+    rows = sample.rows.select("doc_id", "label", sketches("text").alias("sketch")).collect()
+    seen: dict[int, set[int]] = {0: set(), 1: set()}
+    kept = []
+    for row in sorted(rows, key=lambda r: r["doc_id"]):
+        if not seen[row["label"]].intersection(row["sketch"]):
+            kept.append((row["doc_id"],))
+        seen[row["label"]].update(row["sketch"])
+    ids = sample.rows.sparkSession.createDataFrame(kept, StructType([StructField("doc_id", sample.rows.schema["doc_id"].dataType)]))
+    return sample.rows.join(F.broadcast(ids), "doc_id")
+
+
+def distinctive(rows: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """(gram, string): the strings that far more toxic than ordinary documents hold, counted over all ``rows``.
+
+    ``sizes`` are the numbers of ordinary and toxic rows. A task counts the documents of a batch that hold a string
+    before they are exchanged; of a document it holds the distinct strings.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for gram in GRAMS:
+                for label, texts in batch.groupby("label")["text"]:
+                    held = []
+                    for text in texts:
+                        own = np.zeros(0, np.uint64)
+                        for octets in _octets(text or ""):
+                            own = np.union1d(own, _strings(octets, gram))
+                        held.append(own[own > 0])
+                    strings, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield pd.DataFrame({"gram": gram, "string": strings.view(np.int64), "label": label, "n": n})
+
+    ordinary, toxic = sizes
+    share = toxic / (toxic + ordinary)
+    found, seen = (F.coalesce(F.sum(F.when(F.col("label") == y, F.col("n"))), F.lit(0)).cast("double") for y in (1, 0))
+    counted = (
+        rows.select("label", "text")
+        .mapInPandas(count, "gram int, string long, label int, n long")
+        .groupBy("gram", "string")
+        .agg(found.alias("found"), seen.alias("seen"))
+    )
+    total = F.col("found") + F.col("seen")
+    evidence = 2 * (
+        F.col("found") * F.log(F.col("found") / (total * share)) + F.col("seen") * F.log(F.greatest("seen", F.lit(1.0)) / (total * (1 - share)))
+    )
+    ratio = (F.col("found") / toxic) / ((F.col("seen") + 1) / ordinary)
+    good = counted.where("found > 0").withColumn("evidence", evidence).where((F.col("evidence") >= EVIDENCE) & (ratio >= RATIO))
+    return good.orderBy(F.desc("evidence"), "gram", "string").limit(STRINGS).select("gram", "string")
+
+
+def toxic_segments(sample: Sample) -> list[bytes]:
+    """The commonest segments of words that set toxic texts apart, rarer ones first, enough to fill TOXIC_BYTES."""
+    from recordloom.session import stage
+
+    rows = stage(unlike(sample), "unlike")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return []
-    own, other = [_octets(text) for text in toxic], [_octets(text) for text in ordinary]
-    good = {gram: _distinctive([_strings(x, gram) for x in own], [_strings(x, gram) for x in other]) for gram in GRAMS}
-    segments: Counter[bytes] = Counter()
-    for octets in own:
-        inside = np.zeros(len(octets) + 2, int)
-        for gram, strings in good.items():
-            for at in np.flatnonzero(np.isin(_strings(octets, gram), strings)):
-                inside[at + 1 : at + gram + 1] = 1
-        edges = np.flatnonzero(np.diff(inside))
-        for start, stop in zip(edges[::2], edges[1::2]):
-            segments[octets[start:stop].tobytes()] += 1
-    return [segment for segment, _ in sorted(segments.items(), key=lambda x: (x[1], x[0]))]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    found = distinctive(rows, (sizes[0], sizes[1])).collect()
+    good = {gram: np.array([r["string"] for r in found if r["gram"] == gram], np.int64).view(np.uint64) for gram in GRAMS}
+    spark = rows.sparkSession
+    shipped = spark.sparkContext.broadcast(good)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            segments: Counter[bytes] = Counter()
+            for text in batch["text"]:
+                for octets in _octets(text or ""):
+                    inside = np.zeros(len(octets) + 2, int)
+                    for gram, strings in shipped.value.items():
+                        for at in np.flatnonzero(np.isin(_strings(octets, gram), strings)):
+                            inside[at + 1 : at + gram + 1] = 1
+                    edges = np.flatnonzero(np.diff(inside))
+                    for start, stop in zip(edges[::2], edges[1::2]):
+                        segments[octets[start:stop].tobytes()] += 1
+            yield pd.DataFrame({"segment": list(segments), "n": list(segments.values())})
+
+    segments = rows.where("label = 1").select("text").mapInPandas(cut, "segment binary, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    top = segments.orderBy(F.desc("n"), F.desc("segment")).limit(TOXIC_BYTES // min(GRAMS) + 1).collect()
+    return [bytes(r["segment"]) for r in reversed(top)]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     keep = ridge * len(y) * np.r_[np.ones(len(w) - 1), 1e-6]
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9), x.T @ (p - y) + keep * w)
+        hessian = (x * (weights * p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(hessian + np.diag(keep + 1e-9), x.T @ (weights * (p - y)) + keep * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """The dictionaries and the calibration from (text, label) pairs."""
-    import zstandard
-
-    toxic, plain = [t for t, y in sample if y], [t for t, y in sample if not y]
+def fit(sample: Sample) -> Model:
+    """The dictionaries and the calibration. The driver gets CONDENSED bytes, a sketch and the features of each sampled text."""
     size = len(GAINS) + 1
-    prior = math.log((len(toxic) + 1) / (len(plain) + 1))
+    prior = math.log((sample.totals[1] + 1) / (sample.totals[0] + 1))
     flat = Model(b" ", b" ", (0.0,) * size + (prior,), (0.0,) * size, (1.0,) * size)
-    if not toxic or not plain:
+    if not all(sample.totals):
         return flat
-    every = [w for text in plain for w in windows(text)]
-    every = every[:: max(1, math.ceil(len(every) / TRAINING_WINDOWS))]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, every, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: use it as it is
-        base = b"".join(every)[-ORDINARY_BYTES:] or b" "
-    core = b"".join(toxic_segments(toxic, plain))[-TOXIC_BYTES:]
+    condense = F.pandas_udf(lambda texts: texts.map(lambda text: condensed(text or "")), ArrayType(BinaryType()))
+    plain = sample.rows.where("label = 0").select("doc_id", condense("text").alias("pieces")).collect()
+    pieces = [bytes(piece) for row in sorted(plain, key=lambda r: r["doc_id"]) for piece in row["pieces"]]
+    base = _train(ORDINARY_BYTES, pieces) or b" "
+    core = b"".join(toxic_segments(sample))[-TOXIC_BYTES:]
     # The same ordinary text in both; the ordinary dictionary repeats some of it where the toxic one has its segments.
     model = Model(base + base[: len(core)].ljust(len(core)), base + core, flat.weights, flat.mean, flat.scale)
-    features = model.features()
-    x, y = np.array([features(text) for text, _ in sample]), np.array([label for _, label in sample], float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _logistic((x - mean) / scale, y)
-    return Model(model.ordinary, model.toxic, tuple(weights), tuple(mean), tuple(scale))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = model.features()
+        for texts in batches:
+            yield texts.map(lambda text: features(text or ""))
+
+    rows = sorted(sample.rows.select("doc_id", "label", described("text").alias("x")).collect(), key=lambda r: r["doc_id"])
+    x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
+    weights = sample.weights(y)
+    mean = np.average(x, axis=0, weights=weights)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weights)) + 1e-9
+    found = _logistic((x - mean) / scale, y, weights)
+    return Model(model.ordinary, model.toxic, tuple(found), tuple(mean), tuple(scale))
 
 
 def scorer(model: Model):
