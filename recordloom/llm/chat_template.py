@@ -2,15 +2,20 @@
 
     {{ expression }}
     {% if expression %} ... {% elif expression %} ... {% else %} ... {% endif %}
+    {% for name in expression %} ... {% endfor %}
     {% generation %} ... {% endgeneration %}
 
 Expressions: names, 'strings', whole numbers, true, false; field access (x.name or x['name']) on dicts; == != < >
 <= >=, and, or, not, + on texts or numbers, ~ (joins as text), parentheses and filters (x|name).
 Templates are sandboxed: a name only looks up the given values, a field only a key of a dict, and a filter must be in
-the table that the compiler is given; no attribute, call or import of Python can be reached, and nothing loops. What
-is constant is computed while compiling, branches on constants are cut and neighbouring texts are joined.
+the table that the compiler is given; no attribute, call or import of Python can be reached, and loops only go over
+given lists (null: none). In a loop, ``loop`` has index, index0, first and last. What is constant is computed while
+compiling, branches on constants are cut and neighbouring texts are joined. Blocks, brackets and ``not`` nested deeper
+than ``DEPTH`` are refused. Values are only looked up and written as text, so cyclic ones do no harm unless written.
 
 A compiled template writes to an ``Output``, which records where the text between generation marks lies.
+``compile_stream`` compiles a template that is one loop with what stands before and behind it, to be rendered item by
+item without ever holding the list.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from dataclasses import dataclass, field
 _TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|([A-Za-z]\w*)|(==|!=|<=|>=|[<>+~|.()\[\]]))", re.S)
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
+#: How deep blocks and expressions may be nested.
+DEPTH = 50
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'"}
 
 
@@ -77,6 +84,13 @@ class Branch:
     other: tuple
 
 
+@dataclass(frozen=True)
+class Loop:
+    name: str
+    over: object
+    body: tuple
+
+
 @dataclass(frozen=True)
 class Generation:
     body: tuple
@@ -109,7 +123,7 @@ class _Expression:
             self.tokens.append((kind, match[kind]))
             at = match.end()
         self.tokens.append((0, ""))
-        self.at = 0
+        self.at = self.depth = 0
 
     def take(self, *symbols: str) -> str | None:
         kind, value = self.tokens[self.at]
@@ -141,7 +155,12 @@ class _Expression:
         return parts[0] if len(parts) == 1 else Choice(False, tuple(parts))
 
     def negated(self):
-        return Apply(operator.not_, (self.negated(),)) if self.take("not") else self.compared()
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise TemplateError(f"nested deeper than {DEPTH}")
+        tree = Apply(operator.not_, (self.negated(),)) if self.take("not") else self.compared()
+        self.depth -= 1
+        return tree
 
     def compared(self):
         left = self.summed()
@@ -200,7 +219,7 @@ class _Expression:
 
 
 def parse(source: str, filters: dict[str, Callable]) -> tuple:
-    """The syntax tree of a template: a tuple of Emit, Branch and Generation nodes."""
+    """The syntax tree of a template: a tuple of Emit, Branch, Loop and Generation nodes."""
     # Each open block: (its kind, the node list now written to, what closing it needs).
     top: list = []
     stack: list[tuple[str, list, list]] = [("template", top, [])]
@@ -224,6 +243,8 @@ def parse(source: str, filters: dict[str, Callable]) -> tuple:
             continue
         word, _, rest = match[2].strip().partition(" ")
         kind, _, arms = stack[-1]
+        if len(stack) > DEPTH and not word.startswith(("end", "el")):
+            raise TemplateError(f"nested deeper than {DEPTH}")
         if word == "if":
             body: list = []
             stack.append(("if", body, [(expression(rest), body)]))
@@ -234,6 +255,14 @@ def parse(source: str, filters: dict[str, Callable]) -> tuple:
         elif word == "endif" and kind == "if":
             stack.pop()
             close(arms)
+        elif word == "for":
+            name, _, over = rest.strip().partition(" in ")
+            if not re.fullmatch(r"[A-Za-z]\w*", name) or name == "loop":
+                raise TemplateError(f"cannot loop with {name!r}")
+            stack.append(("for", [], [(name, expression(over))]))
+        elif word == "endfor" and kind == "for":
+            body = stack.pop()[1]
+            stack[-1][1].append(Loop(*arms[0], tuple(body)))
         elif word == "generation" and all(k != "generation" for k, _, _ in stack):
             stack.append(("generation", [], []))
         elif word == "endgeneration" and kind == "generation":
@@ -282,6 +311,8 @@ def fold(nodes: tuple) -> tuple:
                 new = list(fold(node.then if test.value else node.other))
             else:
                 new = [Branch(test, fold(node.then), fold(node.other))]
+        elif isinstance(node, Loop):
+            new = [Loop(node.name, fold_expression(node.over), fold(node.body))]
         elif isinstance(node, Generation):
             new = [Generation(fold(node.body))]
         else:
@@ -360,6 +391,17 @@ def _writer(node) -> Callable[[dict, Output], None]:
     if isinstance(node, Branch):
         test, then, other = _value(node.test), _writers(node.then), _writers(node.other)
         return lambda values, out: (then if test(values) else other)(values, out)
+    if isinstance(node, Loop):
+        over, step = _value(node.over), _step(node)
+
+        def loop(values, out):
+            items = over(values)
+            if items is not None and not isinstance(items, list):
+                raise TemplateError(f"cannot loop over {type(items).__name__}")
+            for index, item in enumerate(items or ()):
+                step(values, out, item, index, index + 1 == len(items))
+
+        return loop
     body = _writers(node.body)
 
     def generation(values, out):
@@ -370,6 +412,16 @@ def _writer(node) -> Callable[[dict, Output], None]:
     return generation
 
 
+def _step(node: Loop) -> Callable:
+    """One turn of a loop: what the body writes for an item, given its place and whether it is the last."""
+    name, body = node.name, _writers(node.body)
+
+    def step(values, out, item, index, last):
+        body({**values, name: item, "loop": {"index": index + 1, "index0": index, "first": index == 0, "last": last}}, out)
+
+    return step
+
+
 def _writers(nodes: tuple) -> Callable[[dict, Output], None]:
     steps = [_writer(node) for node in nodes]
 
@@ -390,3 +442,28 @@ def compile_template(source: str, filters: dict[str, Callable]) -> Callable[[dic
         return out
 
     return render
+
+
+def compile_stream(source: str, filters: dict[str, Callable], over: str) -> Callable[[dict, object, int, bool], Output]:
+    """A function from (values, item, index, last) to one item's part of a template that loops over the list ``over``.
+
+    The loop must be the only one at the top of the template. What stands before it is written with the first item, what
+    stands behind it with the last one; neither may use the list. The parts in order are what ``compile_template`` writes
+    for a list of at least one item.
+    """
+    nodes = fold(parse(source, filters))
+    at = [i for i, node in enumerate(nodes) if isinstance(node, Loop)]
+    if len(at) != 1 or nodes[at[0]].over != Name(over):
+        raise TemplateError(f"expected one loop over {over!r} at the top")
+    before, step, behind = _writers(nodes[: at[0]]), _step(nodes[at[0]]), _writers(nodes[at[0] + 1 :])
+
+    def render(values: dict, item: object, index: int, last: bool) -> Output:
+        out = Output()
+        if index == 0:
+            before(values, out)
+        step(values, out, item, index, last)
+        if last:
+            behind(values, out)
+        return out
+
+    return render

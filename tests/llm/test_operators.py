@@ -243,17 +243,46 @@ def test_chat_round_trip():
         assert [chat.unescape(out.text()[a:b]) for a, b in out.spans] == ([text] if role == "assistant" else [])
 
 
+def test_chat_template_of_a_conversation(spark):
+    """Header, separators and footer; the parts of a streamed conversation are the whole template's text and spans."""
+    source = (
+        "[{{ conv_id }}|{% for turn in turns %}{{ loop.index }}/{{ loop.index0 }}:{% if turn.role == 'assistant' %}{% generation %}"
+        "{{ turn.text|escape }}{% endgeneration %}{% else %}{{ turn.role ~ '=' ~ turn.text }}{% endif %}"
+        "{% if loop.first %}!{% endif %}{% if not loop.last %}, {% endif %}{% endfor %}]"
+    )
+    rows = [(c, t, ("user", "assistant")[t % 2], f"say {t} \\ {c}") for c in range(5) for t in range(1 + c * 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    whole = chat_template.compile_template(source, chat.FILTERS)
+    got = chat.format_conversations(df, source).orderBy("conv_id", "place").collect()
+    for c in range(5):
+        out = whole({"conv_id": c, "turns": [{"role": r, "text": x} for conv, _, r, x in rows if conv == c]})
+        own = [r for r in got if r.conv_id == c]
+        assert "".join(r.formatted for r in own) == out.text() and [r.turn for r in own] == list(range(1 + c * 3))
+        assert [(r.start + s.start, r.start + s.stop) for r in own for s in r.spans] == out.spans
+    assert whole({"conv_id": 1}).text() == whole({"conv_id": 1, "turns": []}).text() == "[1|]"
+    with pytest.raises(chat_template.TemplateError):
+        whole({"turns": "text"})
+    for bad in ("no loop", "{% for a in b %}{% endfor %}", "{% for a in turns %}{% endfor %}{% for a in turns %}{% endfor %}"):
+        with pytest.raises(chat_template.TemplateError):
+            chat_template.compile_stream(bad, {}, "turns")
+    for bad in ("{% for loop in b %}{% endfor %}", "{% for a of b %}{% endfor %}", "{% endfor %}", "{% if a %}{% endfor %}", "{{ " + "(" * 60 + "1" + ")" * 60 + " }}", "{% if a %}" * 60 + "{% endif %}" * 60):
+        with pytest.raises(chat_template.TemplateError):
+            chat_template.compile_template(bad, {})
+    with pytest.raises(ValueError, match="whole number"):
+        chat.format_conversations(df.withColumn("conv_id", F.lit("c1")))
+
+
 def test_chat_awkward(spark):
     turns = [(1, 1, "assistant", None), (1, 0, "user", "hi"), (None, None, None, None), (None, 3, "user", "x"), (1, 1, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
-    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
     assert got[1].turns_sha256 == digest("user\nhi\nassistant\n\nassistant\n\n") and got[1].loss_chars == 0
     assert got[None].turns_sha256 == digest("user\nx\n\n\n") and got[None].n_turns == 2
-    assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
+    assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
     big = (1 << 62) + 1  # ids beyond the exact range of doubles survive beside nulls
     wide = spark.createDataFrame([(big, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
-    assert {r.conv_id for r in chat.read_back(chat.format_turns(wide)).collect()} == {big, None}
+    assert {r.conv_id for r in chat.read_back(chat.format_conversations(wide)).collect()} == {big, None}
 
 
 def test_template_language():
