@@ -131,10 +131,13 @@ def fit(sample: Sample) -> Model:
 
 def build(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, prior: float) -> Model:
     """The model of term counts, labels and class weights, a row for each labelled document."""
-    common = weights @ (counts > 0)
+    parts = [slice(at, at + ROWS) for at in range(0, len(counts), ROWS)]
+    common = sum(weights[part] @ (counts[part] > 0) for part in parts)
     idf = np.log((1 + len(counts)) / (1 + common)) + 0.5
-    shares = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
-    weighted = _unit(shares * idf).astype(np.float32)
+    weighted = np.empty_like(counts)
+    for part in parts:
+        shares = np.sqrt(counts[part] / np.maximum(counts[part].sum(axis=1, keepdims=True), 1e-9))
+        weighted[part] = _unit(shares * idf)
     # Randomised subspace iteration with a fixed seed; the sample is small.
     width = min(DIMENSIONS + 20, *weighted.shape)
     basis = weighted @ np.random.default_rng(0).standard_normal((weighted.shape[1], width)).astype(np.float32)
@@ -142,7 +145,7 @@ def build(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, prior: fl
         basis = weighted @ (weighted.T @ np.linalg.qr(basis)[0])
     axes = np.linalg.svd(np.linalg.qr(basis)[0].T @ weighted, full_matrices=False)[2][:DIMENSIONS].T.astype(float)
     model = Model(idf, axes, np.zeros((0, 0)), labels, weights, prior)
-    return Model(idf, axes, model.project(counts), labels, weights, prior)
+    return Model(idf, axes, np.concatenate([model.project(counts[part]) for part in parts]), labels, weights, prior)
 
 
 def scorer(model: Model):
