@@ -1,9 +1,11 @@
 """SimHash near-deduplication: fingerprints, pigeonhole blocks, verified links, connected components.
 
 A fingerprint has 64 bits; each is 1 if more than half of the text's word shingles have it set in their hash. Two
-fingerprints link if they differ in at most ``MAX_BITS`` = 4 bits. They are cut in ``BLOCKS`` = 6 blocks; four
-differing bits touch four blocks at most, so linked fingerprints agree in at least two blocks. Fingerprints that agree
-in a pair of blocks (15 pairs, 20 to 22 bits each) meet and are compared.
+fingerprints link if they differ in at most ``MAX_BITS`` = 4 bits. They are cut in 6 or more blocks; four differing
+bits touch four blocks at most, so linked fingerprints agree in all blocks but four. Fingerprints that agree in so many
+blocks meet and are compared. Any number of blocks finds the same links; ``block_count`` takes as many as keep
+``MEETING`` fingerprints or fewer to a meeting: 6 (15 keys of 20 bits or more for each fingerprint) up to 67 million
+distinct fingerprints, 7 (35 keys of 27 bits) up to 8.6 thousand million, then 8 (70 keys of 32 bits).
 
 Exact copies share a fingerprint and meet as one. A pair of blocks that many fingerprints share is cut in chunks of
 ``CHUNK`` fingerprints, and every two chunks meet in a task of their own, so no task holds more than two chunks. A
@@ -32,7 +34,8 @@ from recordloom.session import ship_package, stage
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-BLOCKS = 6
+#: Unrelated fingerprints that may meet, on average.
+MEETING = 64
 CHUNK = 2048
 #: Shingles of long texts are hashed in runs of this length, to bound a task's memory.
 RUN = 1 << 16
@@ -67,11 +70,27 @@ def fingerprint_of(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(text or "") for text in texts], dtype=np.uint64).view(np.int64))
 
 
-def block_keys(blocks: int = BLOCKS, agree: int = BLOCKS - MAX_BITS) -> Column:
-    """An array of (combination, key): the bits of every ``agree`` of the fingerprint's ``blocks``."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
+def _edges(blocks: int) -> list[int]:
+    return [64 * i // blocks for i in range(blocks + 1)]
+
+
+def block_count(fingerprints: int) -> int:
+    """The fewest blocks whose shortest key keeps a meeting of ``fingerprints`` different ones to MEETING on average."""
+    blocks = MAX_BITS + 2
+    while blocks < 16:
+        edges = _edges(blocks)
+        shortest = sum(sorted(b - a for a, b in zip(edges, edges[1:]))[: blocks - MAX_BITS])
+        if fingerprints <= MEETING << shortest:
+            break
+        blocks += 1
+    return blocks
+
+
+def block_keys(blocks: int) -> Column:
+    """An array of (combination, key): the bits of all but MAX_BITS of the fingerprint's ``blocks``, in every choice."""
+    edges = _edges(blocks)
     keys = []
-    for n, chosen in enumerate(combinations(range(blocks), agree)):
+    for n, chosen in enumerate(combinations(range(blocks), blocks - MAX_BITS)):
         mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(n).alias("combination"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
@@ -124,9 +143,10 @@ def _links_of(fps: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.r_[a[near], extra[:, 0]], "b": np.r_[b[near], extra[:, 1]]})
 
 
-def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
     """(a, b): links between the fingerprints of ``distinct`` (fp) that connect whatever is connected."""
-    keyed = stage(distinct.select("fp", F.explode(block_keys()).alias("at")).select("fp", "at.*"), "block_keys")
+    blocks = blocks or block_count(distinct.count())
+    keyed = stage(distinct.select("fp", F.explode(block_keys(blocks)).alias("at")).select("fp", "at.*"), "block_keys")
     shared = keyed.groupBy("combination", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stage(shared.withColumn("at", F.struct("combination", "key")), "shared_blocks")
     met = join_groups(keyed.withColumn("at", F.struct("combination", "key")).drop("combination", "key"), shared.drop("combination", "key"), "at", "n", keyed.count())

@@ -179,8 +179,9 @@ def test_simhash_awkward(spark, docs):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
-def test_links_of_large_blocks(spark):
-    """A dense group of fingerprints, cut in chunks, keeps its components."""
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_links_of_large_blocks(spark, blocks):
+    """A dense group of fingerprints, cut in chunks, keeps its components, whatever the number of blocks."""
     rng = random.Random(2)
     fps = set()
     for centre in (rng.getrandbits(64), rng.getrandbits(64)):
@@ -191,13 +192,17 @@ def test_links_of_large_blocks(spark):
             fps.add(fp)
     fps = sorted(fps)
     signed = [(fp - (1 << 64) if fp >> 63 else fp,) for fp in fps]
-    found = simhash.links(spark.createDataFrame(signed, "fp long"), chunk=16)
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), chunk=16, blocks=blocks)
     roots = {r.node: r.root for r in components.components(found).collect()}
     want = slow_components(fps, list(range(len(fps))))
     same = lambda labels: {tuple(i for i, x in enumerate(labels) if x == y) for y in labels}
     assert same([roots.get(s[0], s[0]) for s in signed]) == same(want)
 
 
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.block_count(n) for n in (0, 1 << 26, (1 << 26) + 1, 1 << 33, (1 << 33) + 1, 1 << 38)] == [6, 6, 7, 7, 8, 8]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(300, 301), (301, 300), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
