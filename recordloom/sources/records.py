@@ -29,7 +29,8 @@ from recordloom.sources.contracts import ContractError
 
 #: Blocks that the driver puts in order and the tasks look their own up in: 512 TB at Spark's usual block size.
 MOST_BLOCKS = 1 << 22
-_BATCH_CHARS = 8 << 20
+#: Characters of one batch of records, each of which counts for some more than its text: a short one weighs little else in Python.
+_BATCH_CHARS, _RECORD_CHARS = 2 << 20, 256
 _BLANK = ("", "\r")
 _BOM = "﻿"
 
@@ -174,7 +175,7 @@ def _read(shared, multi_line: bool, pieces: bool):
                 held, head = [], False
                 if partial == pieces:
                     out.append((file, number, block, record))
-                    size += len(record)
+                    size += len(record) + _RECORD_CHARS
                     if size >= _BATCH_CHARS:
                         yield batch_of()
                         out, size = [], 0

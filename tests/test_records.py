@@ -4,6 +4,7 @@ import csv
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,19 @@ def test_too_many_blocks_are_refused(spark, tmp_path, small_blocks, monkeypatch)
     monkeypatch.setattr(records, "MOST_BLOCKS", 3)
     with pytest.raises(ContractError, match="maxPartitionBytes"):
         with_row_number(spark, str(tmp_path))
+
+
+def test_batches_of_short_records_are_bounded():
+    """However short its records, a task holds some thousands of them, not millions."""
+    from types import SimpleNamespace
+
+    def lines():
+        for low in range(0, 60_000, 10_000):
+            columns = [pa.array([str(i) for i in range(low, low + 10_000)]), pa.array(["f"] * 10_000), pa.array([0] * 10_000, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["value", "file", "block"])
+
+    run = records._read(SimpleNamespace(value={("f", 0): (False, 0)}), True, pieces=False)
+    batches = list(run(lines()))
+    assert max(b.num_rows for b in batches) <= 10_000
+    assert [r for b in batches for r in b.column("record").to_pylist()] == [str(i) for i in range(60_000)]
+    assert [n for b in batches for n in b.column("number").to_pylist()] == list(range(1, 60_001))
