@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.sources.documents import read_json
+
 METADATA_SCHEMA = (
     "id string, columns array<struct<name: string, fieldName: string, dataTypeName: string, "
     "description: string>>, rowsUpdatedAt bigint, publicationDate bigint, viewLastModified bigint"
@@ -15,10 +17,7 @@ METADATA_SCHEMA = (
 
 def read_metadata(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per metadata document, with the file it came from."""
-    return (
-        spark.read.schema(METADATA_SCHEMA).json(path, multiLine=True)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+    return read_json(spark, path, METADATA_SCHEMA).withColumnRenamed("path", "source_file")
 
 
 def read_column_catalog(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

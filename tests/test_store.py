@@ -5,9 +5,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from recordloom.sources import catalog
 from recordloom.sources import content_index as I
-from recordloom.sources import listing
+from recordloom.sources import documents, listing
 from recordloom.sources import manifests as M
 from recordloom.sources.contracts import contract_sources
 from recordloom.sources.inventory import INVENTORY
@@ -155,3 +157,35 @@ def test_document_rules(spark):
         ("gone", "missing"), ("hash", "integrity_mismatch"), ("size", "integrity_mismatch"), ("none", "integrity_mismatch"),
         ("both", "integrity_mismatch"), ("both", "other_dataset"), ("stranger", "other_dataset"),
     }
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+METADATA = [
+    b'{"id":"a","columns":[{"name":"x"}],"rowsUpdatedAt":5}', b'[{"id":"b"},{"id":"c"}]', b"[]", b"  \n", b"null", b"not json", b'{"id":"cut', b"",
+    b'{"id":"p","rowsUpdatedAt":"abc"}', b'[{"id":"r","rowsUpdatedAt":"no"},{"id":"s"}]', b'\xef\xbb\xbf{"id":"bom"}', '{"id":"wide"}'.encode("utf-16"),
+    b'{"id":"\xff\xfe"}', b'{"id":"x"} {"id":"y"}', b'"text"', b"{}", b'[[{"id":"nested"}]]', b'[5,{"id":"t"}]', b'{"id":"1","id":"2"}',
+]
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 20])
+def test_json_files_are_listed_and_read_by_tasks(spark, tmp_path, whole):
+    """The rows of Spark's own source, from a folder, files and globs, without a scan that lists the files in the driver."""
+    main, parted = tmp_path / "main", tmp_path / "parted"
+    for name, content in (
+        *((f"main/d {i}%20é.json", content) for i, content in enumerate(METADATA)),
+        *((name, b'{"id":"n"}') for name in ("main/_hidden.json", "main/.hidden.json", "main/below/n.json", "parted/kind=x/p.json", "parted/kind=_y/p.json")),
+    ):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    for path in (str(main), f"file://{main}", [f"{main}/below", f"{main}/d 1%20é.json"], f"{main}/d 1*.json", str(parted)):
+        source = spark.read.schema(catalog.METADATA_SCHEMA).json(path, multiLine=True).drop("kind")
+        want = source.withColumn("path", F.col("_metadata.file_path"))
+        found = documents.read_json(spark, path, catalog.METADATA_SCHEMA, whole)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    found = catalog.read_metadata(spark, str(main))
+    assert "FileScan json" not in plan_of(found) and "MapInArrow" in plan_of(found)
+    with pytest.raises(Exception, match="does not exist"):
+        catalog.read_metadata(spark, str(tmp_path / "none"))
