@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordloom.session import ship_package
 from recordloom.sources.documents import DOCUMENT_BYTES, read_json
-from recordloom.sources.listing import file_name
+from recordloom.sources.listing import dealt, file_name, is_data, list_folders
 from recordloom.sources.listing import open_stream as _open
 
 ACQUIRE = "acquire-csv"
@@ -54,9 +54,15 @@ def latest_profiles(profiles: DataFrame, name: str = "profile_file") -> DataFram
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, modified) below ``root``; no content is read."""
-    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(root)
-    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    """(path, bytes, modified) of the files with content below the folder ``root``; no content is read.
+
+    As with Spark's readers, names that begin with ``_`` or ``.`` are passed over, and ``glob`` has Hadoop's syntax. Folders are
+    listed by tasks, and the files are dealt to as many parts as reading them takes.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    wanted = is_data(F.col("path")) & file_name(F.col("path")).rlike(rf"(?s)^(?:{pattern})\z") & (F.col("bytes") > 0)
+    files = dealt(list_folders(spark, [root], is_data(F.col("path"))).where(wanted))
+    return files.select("path", "bytes", F.date_trunc("millisecond", "modified").alias("modified"))
 
 
 def _hash_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -189,3 +189,18 @@ def test_json_files_are_listed_and_read_by_tasks(spark, tmp_path, whole):
     assert "FileScan json" not in plan_of(found) and "MapInArrow" in plan_of(found)
     with pytest.raises(Exception, match="does not exist"):
         catalog.read_metadata(spark, str(tmp_path / "none"))
+
+
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    for name, content in (("a.csv", "x"), ("b c.txt", "xy"), ("empty.csv", ""), ("s/d.csv", "x"), ("s/_t/e.csv", "x"), ("_h.csv", "x"), (".i.csv", "x"), ("k=_1/j.csv", "x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    for glob in ("*", "*.csv", "{a,d}.*", "[!a]*", "?.csv"):
+        source = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(str(tmp_path))
+        want = source.select("path", "length", "modificationTime")
+        found = M.list_files(spark, str(tmp_path), glob)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+        assert "Scan binaryFile" not in plan_of(found)
+    # One part of a listing holds as many files as opening and reading them is worth.
+    monkeypatch.setattr(listing, "_TASK", 2 * listing._OPENING)
+    assert M.list_files(spark, str(tmp_path)).rdd.getNumPartitions() == 3  # of five files
