@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ MANIFEST_SCHEMA = (
 )
 HASH_SCHEMA = "path string, sha256 string, bytes bigint, header_line boolean"
 _CHUNK = 1 << 20
+_BATCH_BYTES = 4 << 20
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -331,10 +333,38 @@ def _describe_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "sha256", "bytes", "id"])
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    paths, contents, size = [], [], 0
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            with _open(path) as stream:
+                contents.append(stream.read())
+            paths.append(path)
+            size += len(contents[-1])
+            if size >= _BATCH_BYTES:
+                yield batch_of()
+                paths, contents, size = [], [], 0
+    if paths:
+        yield batch_of()
+
+
+def stored_documents(files: DataFrame, root: str, whole: int = DOCUMENT_BYTES) -> DataFrame:
+    """``read_documents`` of files that ``list_files`` has listed below ``root``: no list of them passes through the driver."""
+    ship_package(files.sparkSession)
+    artifact = relative_path(F.col("path"), root).alias("artifact")
+    read = files.where(F.col("bytes") <= whole).select("path").mapInArrow(_contents, "path string, content binary")
+    large = files.where(F.col("bytes") > whole).select("path").mapInPandas(_describe_paths, "path string, sha256 string, bytes bigint, id string")
+    return describe_documents(read.select(artifact, "content")).unionByName(large.select(artifact, "sha256", "bytes", "id"))
+
+
 def read_documents(spark: SparkSession, root: str, glob: str = "*.json", whole: int = DOCUMENT_BYTES) -> DataFrame:
     """(artifact, sha256, bytes, id) of the JSON documents stored below ``root``; every file is opened once.
 
     Documents of at most ``whole`` bytes are values of a column. Larger ones are read in chunks by the tasks: hash and key alike.
+    Spark lists the folder in the driver, so ``stored_documents`` serves stores of many files.
     """
     files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(root)
     artifact = relative_path(F.col("path"), root).alias("artifact")
@@ -365,4 +395,4 @@ def document_violations(manifests: DataFrame, documents: DataFrame, sources: Dat
 
 def frozen_metadata_violations(spark: SparkSession, manifests: DataFrame, root: str, sources: DataFrame) -> DataFrame:
     """``document_violations`` of the metadata documents stored below ``root``."""
-    return document_violations(manifests, read_documents(spark, root), sources)
+    return document_violations(manifests, stored_documents(list_files(spark, root, "*.json"), root), sources)

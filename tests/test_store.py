@@ -204,3 +204,12 @@ def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypa
     # One part of a listing holds as many files as opening and reading them is worth.
     monkeypatch.setattr(listing, "_TASK", 2 * listing._OPENING)
     assert M.list_files(spark, str(tmp_path)).rdd.getNumPartitions() == 3  # of five files
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 0, 25])
+def test_stored_documents_are_those_that_spark_reads(spark, tmp_path, whole):
+    for i, text in enumerate(DOCUMENTS):
+        (tmp_path / f"d{i}.json").write_text(text)
+    found = M.stored_documents(M.list_files(spark, str(tmp_path), "*.json"), str(tmp_path), whole)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, M.read_documents(spark, str(tmp_path), whole=whole).collect()))
+    assert "Scan binaryFile" not in plan_of(found)
