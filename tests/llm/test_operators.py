@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +238,40 @@ def test_runs_cross_blocks(monkeypatch):
     assert [a for a, *_ in runs] == np.cumsum([0, *(n for _, n, *_ in runs)])[:-1].tolist() and sum(n for _, n, *_ in runs) == 4601
 
 
+def test_a_shard_takes_a_bounded_multiple_of_its_bytes():
+    base = bytes(np.random.default_rng(5).integers(97, 123, 4000).astype(np.uint8))
+    regions = [base[k % 3000 :][:600] + bytes([97 + k % 26]) * 400 for k in range(0, 300)]
+    suffix_dedup.repeated_starts(regions[:2])
+    tracemalloc.start()
+    suffix_dedup.repeated_starts(regions)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * sum(map(len, regions))
+
+
+def test_batches_are_bounded_by_bytes():
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes().decode() for n in [8000] * 2000 + [6_000_000, 0, 300]]
+    key = pa.array([{"a": i, "b": -i} for i in range(len(texts))])
+    ids = pa.array(range(len(texts)), pa.int64())
+    given = lambda **more: iter([pa.RecordBatch.from_pydict({"doc_id": ids, "key": key, "text": pa.array(texts), **more})])
+    runs = list(suffix_dedup._runs(given()))
+    assert max(b.nbytes for b in runs) < 3 << 20
+    assert sum(r for b in runs for r in b.column("n_starts").to_pylist()) == sum(max(0, len(t) - 399) for t in texts)
+    wanted = [[] for _ in texts]
+    for b in runs:
+        for r in b.select(["doc_id", "start", "n_starts", "anchor", "region"]).to_pylist():
+            wanted[r.pop("doc_id")].append(r | {"hot": False})
+    cut = list(suffix_dedup._cut(given(wanted=pa.array(wanted))))
+    assert max(b.nbytes for b in cut) < 3 * (1 << 21)
+    slow = [(w["anchor"], t[w["start"] : w["start"] + w["n_starts"] + 399].encode()) for t, ws in zip(texts, wanted) for w in ws]
+    assert [x for b in cut for x in zip(b.column("anchor").to_pylist(), b.column("bytes").to_pylist())] == slow
+    covered = pa.array([[{"a": 10, "b": 20}] if i % 2 else None for i in range(len(texts))])
+    kept = list(suffix_dedup._kept(given(covered=covered)))
+    assert max(b.nbytes for b in kept) < 7_000_000 and len(kept) > 4
+    assert [x.decode() for b in kept for x in b.column("kept").to_pylist()] == [t[:10] + t[20:] if i % 2 else t for i, t in enumerate(texts)]
+
+
 def test_chat_round_trip():
     random.seed(1)
     alphabet = ["\\", "<turn>", "</turn>", "### ", ": ", "Assistant", "assistant", "user", "<", "/", "turn>", ":", " ", "\n", "x", "é", "\U0001f600"]
