@@ -23,6 +23,7 @@ from recordloom.session import stage
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEEDS = 8
+_WHOLE = "decimal(19,0)"
 
 
 def size_of(text: str = "text") -> Column:
@@ -51,9 +52,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     sources = stage(with_position(stage(totals, "sources"), "key", "place").withColumn("weight", weight), "weighted")
     cap = F.col("source_size") * MAX_REPEATS
+
+    def exceeds(words: int, weight: int) -> Column:  # products of two such numbers pass 32 and 64 bits
+        return cap.cast(_WHOLE) * F.lit(weight).cast(_WHOLE) < F.col("weight").cast(_WHOLE) * F.lit(words).cast(_WHOLE)
+
     free_words = free_weight = None
     while True:  # the level only rises, and every round holds at least one more source
-        above = F.lit(False) if free_words is None else cap * free_weight < F.col("weight") * free_words
+        above = F.lit(False) if free_words is None else exceeds(free_words, free_weight)
         row = sources.agg(
             F.sum("source_size").alias("all"),
             F.coalesce(F.sum(F.when(above, cap)), F.lit(0)).alias("held"),
@@ -64,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
             break
         free_words, free_weight = words, weight_left
     share = F.col("weight") * F.lit(float(free_words)) / F.lit(float(free_weight or 1))
-    held = cap * (free_weight or 1) < F.col("weight") * free_words
+    held = exceeds(free_words, free_weight or 1)
     target = F.when(held, cap.cast("double")).otherwise(share)
     rate = F.when(held, float(MAX_REPEATS)).when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(MAX_REPEATS))))
     return sources.select("key", "source_size", "n_docs", target.alias("target"), F.coalesce(rate, F.lit(0.0)).alias("rate"))

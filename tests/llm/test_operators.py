@@ -86,6 +86,23 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2_500_000, 10**16])
+def test_mixing_of_many_words(spark, size, monkeypatch):
+    """Words times weights pass 32 bits (5 times a billion) and 64 bits; a small source is held at three times its size."""
+    monkeypatch.setattr(mixing, "size_of", lambda text="text": F.when(F.col(text) == "few", 7).otherwise(size).cast("long"))
+    texts = [(i, "many", f"s{i % 20:02}") for i in range(400)] + [(400, "few", "t")]
+    docs = table(spark, texts)
+    sizes, sources = mixing.plan_mixture(docs)
+    words, weights = 400 * size + 7 - 21, [(5, 2, 1)[k % 3] for k in range(20)]
+    found = {r.key[1:]: r for r in sources.collect()}
+    assert found["t"].target == 21 and found["t"].rate == 3
+    for k, weight in enumerate(weights):
+        assert found[f"s{k:02}"].target == pytest.approx(words * weight / sum(weights))
+    copies = Counter({r.doc_id: r.copies for r in mixing.with_copies(sizes, sources, sizes.count()).collect()})
+    mixed = Counter(r.doc_id for r in mixing.mix(docs).select("doc_id").collect())
+    assert mixed == +copies and mixed[400] == 3 and len(mixed) > 200
+
+
 def test_mixing_awkward(docs):
     sizes, sources = mixing.plan_mixture(docs)
     assert mixing.with_copies(sizes, sources, sizes.count()).count() == len(AWKWARD)
