@@ -49,6 +49,8 @@ TOP = 2000
 CHUNK = 1 << 19
 #: Suffixes of a group.
 BUDGET = 1 << 18
+#: Suffixes of a group that are taken apart into words at a time.
+LINES = 1 << 16
 #: Prefixes of one length that can be beyond the budget.
 MOST_PREFIXES = 1 << 16
 
@@ -259,6 +261,69 @@ def subtree_totals(words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int,
         yield depth, order[starts[deep]], np.add.reduceat(counts, starts)[deep]
 
 
+def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``words`` with the sums of their counts."""
+    order = np.lexsort(words.T[::-1])
+    words = words[order]
+    starts = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]).any(axis=1)])
+    return words[starts], np.add.reduceat(counts[order], starts)
+
+
+class _Leaves:
+    """The distinct suffixes of a group with their counts, as rows of DEPTH numbers; 0 stands behind a suffix's last word.
+
+    A group's hash decides what it holds, so some hold several budgets. Texts are turned into numbers about LINES at a time, and
+    repeated suffixes are added up whenever the rows have doubled: memory follows the distinct suffixes, 24 bytes each.
+    """
+
+    def __init__(self) -> None:
+        self.names = pa.array([""], pa.large_string())
+        self.texts: list[bytes] = []
+        self.text_counts: list[np.ndarray] = []
+        self.waiting = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows, self.bound = 0, 4 * LINES
+
+    def add(self, text: bytes, counts: np.ndarray) -> None:
+        """``text`` has a line for each of ``counts``."""
+        self.texts.append(text)
+        self.text_counts.append(counts)
+        self.waiting += len(counts)
+        if self.waiting >= LINES:
+            self._number()
+
+    def _number(self) -> None:
+        lines = pc.split_pattern(pa.array([b"\n".join(self.texts)], pa.binary()).cast(pa.large_string()), "\n").flatten()
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.names)
+        fresh = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        place[fresh] = len(self.names) + np.arange(fresh.sum(), dtype=np.int32)
+        self.names = pa.concat_arrays([self.names, coded.dictionary.filter(pa.array(fresh))])
+        words = np.zeros((len(lines), DEPTH), np.int32)
+        # Rows are filled from left to right, so the places of a row's words come in their order.
+        words[np.arange(DEPTH) < pc.list_value_length(split).to_numpy()[:, None]] = place[coded.indices.to_numpy()]
+        self.parts.append((words, np.concatenate(self.text_counts)))
+        self.rows += len(words)
+        self.texts, self.text_counts, self.waiting = [], [], 0
+        if self.rows >= self.bound:
+            self._sum()
+            self.bound = max(self.bound, 2 * self.rows)
+
+    def _sum(self) -> None:
+        words, counts = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = [_summed(words, counts)]
+        self.rows = len(self.parts[0][0])
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(rows, counts, the word of each number)."""
+        if self.waiting:
+            self._number()
+        self._sum()
+        return *self.parts[0], self.names
+
+
 def _nodes(least: int):
     """(lang, phrase, n) of the nodes with ``least`` occurrences, from rows that come sorted by group."""
 
@@ -267,33 +332,27 @@ def _nodes(least: int):
 
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def built(lang: str, blocks: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            text = b"\n".join(unpack(text) for text, _ in blocks)
-            lines = pc.split_pattern(pa.array([text], pa.binary()).cast(pa.large_string()), "\n").flatten()
-            counts = np.concatenate([np.frombuffer(unpack(n), "<i8") for _, n in blocks])
-            split = pc.split_pattern(lines, " ")
-            numbers = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-            length = pc.list_value_length(split).to_numpy()
-            words = np.zeros((len(lines), DEPTH), np.int64)
-            words[np.repeat(np.arange(len(lines)), length), np.arange(len(numbers)) - np.repeat(np.cumsum(length) - length, length)] = numbers
+        def built(lang: str, leaves: _Leaves) -> pa.RecordBatch:
+            words, counts, names = leaves.all()
             phrases, totals = [], []
             for depth, leaf, total in subtree_totals(words, counts):
                 often = total >= least
-                phrases += [" ".join(line.split(" ")[:depth]) for line in lines.take(pa.array(leaf[often])).to_pylist()]
-                totals += total[often].tolist()
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(totals, pa.int64())], names=["lang", "phrase", "n"])
+                phrases.append(pc.binary_join_element_wise(*(names.take(pa.array(k)).cast(pa.string()) for k in words[leaf[often], :depth].T), " "))
+                totals.append(total[often])
+            phrases = pa.concat_arrays(phrases)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(np.concatenate(totals))], names=["lang", "phrase", "n"])
 
-        held, last = [], None
+        leaves, last = _Leaves(), None
         for batch in batches:
-            for group, lang, text, n in zip(*(batch.column(c).to_pylist() for c in ("group", "lang", "phrases", "counts"))):
-                if (group, lang) != last and held:
-                    yield built(last[1], held)
-                    held = []
+            for group, lang, text, n in zip(*(batch.column(c) for c in ("group", "lang", "phrases", "counts"))):
+                if (group.as_py(), lang.as_py()) != last and last is not None:
+                    yield built(last[1], leaves)
+                    leaves = _Leaves()
                     pa.default_memory_pool().release_unused()
-                last = (group, lang)
-                held.append((text, n))
-        if held:
-            yield built(last[1], held)
+                last = (group.as_py(), lang.as_py())
+                leaves.add(unpack(text.as_py()), np.frombuffer(unpack(n.as_py()), "<i8"))
+        if last is not None:
+            yield built(last[1], leaves)
 
     return run
 
@@ -301,6 +360,8 @@ def _nodes(least: int):
 # --- Spark -------------------------------------------------------------------------------------------
 
 _COUNTS = "lang string, phrase string, n bigint"
+#: Rows of chunks are megabytes long. Parquet would gather a hundred of them before it looks at their size, and readers take a row group at a time.
+_ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -308,7 +369,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chunks = stage(texts.mapInArrow(_encoded, "lang string, words array<binary>, ids binary"), "word_chunks")
+    chunks = stage(texts.mapInArrow(_encoded, "lang string, words array<binary>, ids binary"), "word_chunks", **_ROW_GROUPS)
 
     def prefixes(hot: dict[str, set[str]], depth: int) -> DataFrame:
         return chunks.mapInArrow(_prefix_counts(hot, depth), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))

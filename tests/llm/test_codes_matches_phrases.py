@@ -2,12 +2,17 @@
 
 import collections
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from recordloom.llm import collocations, decontamination, vector_codes
+from recordloom.session import stage
 from tests.llm.common import AWKWARD, SCHEMA, empty, rows, table
 
 # --- vector codes ------------------------------------------------------------------------------------
@@ -235,6 +240,65 @@ def test_collocations_of_little(spark):
     assert collocations.top_collocations(spark.createDataFrame(rows(AWKWARD[:6]), SCHEMA)).collect() == []
 
 
+def test_memory_of_a_group_follows_its_distinct_suffixes(monkeypatch):
+    """Two chunks' rows of a group, repeated: the same sums, in memory that the number of rows does not multiply."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    lines = sorted(f"a w{i % 700} x{i % 90} y{i % 11}" for i in range(20_000)) + ["z end", "\x01 b\x00c"]
+
+    def batches(times):
+        row = [pa.array([5, 5]), pa.array(["en", "en"])]
+        for part in range(times):
+            texts = [pack("\n".join(lines[a::2]).encode()) for a in (0, 1)]
+            counts = [pack(np.full(len(lines[a::2]), 1 + a, "<i8").tobytes()) for a in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*row, pa.array(texts), pa.array(counts)], names=["group", "lang", "phrases", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([5]), pa.array(["fr"]), pa.array([pack(b"z end")]), pa.array([pack(np.full(1, 9, "<i8").tobytes())])], names=["group", "lang", "phrases", "counts"])
+
+    def plain(times):
+        totals = collections.Counter()
+        for at, line in enumerate(lines):
+            w = line.split(" ")
+            for depth in range(2, len(w) + 1):
+                totals["en", " ".join(w[:depth])] += times * (1 + at % 2)
+        return totals + collections.Counter({("fr", "z end"): 9})
+
+    def measured(times):
+        found = collections.Counter()
+        tracemalloc.start()
+        for batch in collocations._nodes(1)(batches(times)):
+            for lang, phrase, n in zip(*(c.to_pylist() for c in batch.columns)):
+                assert (lang, phrase) not in found
+                found[lang, phrase] = n
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == plain(times)
+        return peak
+
+    monkeypatch.setattr(collocations, "LINES", 1 << 12)
+    assert measured(40) < 2 * measured(4)
+
+
+def test_chunks_lie_in_small_row_groups(spark, monkeypatch):
+    """A row group of chunks is read whole, so it must not gather a hundred of them."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(collocations, "CHUNK", 20_000)
+    monkeypatch.setitem(collocations._ROW_GROUPS, "parquet.block.size", 200_000)
+    written = []
+    monkeypatch.setattr(collocations, "stage", lambda df, label, *a, **k: written.append((label, stage(df, label, *a, **k))) or written[-1][1])
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 20_000)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    cloudpickle.register_pickle_by_value(collocations)
+    try:
+        collocations.count_phrases(docs)
+    finally:
+        cloudpickle.unregister_pickle_by_value(collocations)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in dict(written)["word_chunks"].inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40
+    assert max(g.total_byte_size for g in groups) < 600_000
+
+
 def test_leaf_totals():
     words = np.array([[2, 1, 0, 0], [1, 2, 3, 0], [1, 2, 3, 4], [1, 2, 0, 0], [1, 2, 3, 0]])
     counts = np.array([5, 1, 10, 100, 1000])
